@@ -36,7 +36,7 @@ select match_id, role, frame, frame / 30e0 as t_s,
   case when k in (10, 11) then null
        when r < 2 then 3.4e0 + 1.8e0 * cos(frame / 20e0 + r)
        else {num(COURT_LENGTH_M)} - (3.4e0 + 1.8e0 * cos(frame / 20e0 + r)) end as y_m,
-  4e-1 + 6e-3 * k as confidence,
+  4e-1 + k / 165e0 as confidence,
   case when k < 4 then 'outside' when k < 8 then 'ambiguous' when k < 30 then 'near' else 'inside' end as region,
   case when k = 12 then 'suspected_identity_switch' when k in (10, 11) then 'temporarily_missing'
        when k % 17 = 5 then 'reacquired' else 'observed' end as state
@@ -55,8 +55,8 @@ from events where event_id % 400 < 4
 # A rally table and its shots in star form: one rally per order.
 STAR_RALLIES = """
 select o_custkey as match_id, o_orderkey as rally_id, o_orderkey % 9000 as start_frame,
-  o_orderkey % 9000 / 30e0 as start_s, o_orderkey % 9000 / 30e0 + 1e0 + o_totalprice / 1e4 as end_s,
-  2e-1 + (o_orderkey % 80) / 1e2 as confidence
+  o_orderkey % 9000 / 30e0 as start_s, o_orderkey % 9000 / 30e0 + 1e0 + o_totalprice / 7e4 as end_s,
+  2e-1 + (o_orderkey % 80) / 101e0 as confidence
 from orders
 """
 
@@ -65,7 +65,7 @@ select o_custkey as match_id, l_orderkey as rally_id,
   l_orderkey * 1000000 + l_partkey * 10 + l_linenumber as shot_id,
   cast(l_linenumber as bigint) as shot_index,
   {_HITTER.format(k='(l_suppkey % 5)')} as hitter_id, {_TYPE.format(k='(l_partkey % 9)')} as shot_type,
-  4e-1 + (l_partkey % 60) / 1e2 as confidence, 3e-1 + (l_suppkey % 70) / 1e2 as hitter_confidence,
+  4e-1 + (l_partkey % 60) / 101e0 as confidence, 3e-1 + (l_suppkey % 70) / 103e0 as hitter_confidence,
   case when l_linenumber = 7 then null else l_quantity / 50e0 * 6e0 end as hitter_x_m,
   case when l_linenumber = 7 then null else (l_partkey % 134) / 1e1 end as hitter_y_m,
   case l_suppkey % 4 when 0 then 'near' when 1 then 'ambiguous' else 'inside' end as hitter_region
@@ -80,13 +80,13 @@ select match_id, frame, frame / 30e0 as t_s,
   case when k < 6 then null when frame % 250 < 160 then 960e0 + 700e0 * sin(frame / 9e0) + value / 1e2 else 960e0 + k / 5e1 end as x_px,
   case when k < 6 then null when frame % 250 < 160 then 300e0 + 400e0 * abs(sin(frame / 6e0)) + value / 1e2
        else 650e0 + (k % 7) / 5e0 end as y_px,
-  3e-1 + 7e-3 * k as confidence, k
+  3e-1 + k / 143e0 as confidence, k
 from (select {_div('event_id', 1000)} as match_id, event_id % 1000 as frame, {_K} as k, value from events) e
 """
 
 AUDIO = f"""
 select {_div('event_id', 1000)} as match_id, event_id as transient_id,
-  (event_id % 1000) / 30e0 + (k - 50) / 1e3 as video_s, (k % 50) / 5e1 as confidence
+  (event_id % 1000) / 30e0 + (k - 50) / 1e3 as video_s, (k % 50) / 51e0 as confidence
 from (select *, {_K} as k from events) e where k % 4 = 0
 """
 
@@ -119,7 +119,7 @@ PLAYER_BOXES = f"""
 select match_id, frame, role, r,
   1e2 + 450e0 * r + (value * 3e0) % 150e0 as l, 250e0 + (value * 7e0) % 90e0 as t,
   1e2 + 450e0 * r + (value * 3e0) % 150e0 + 120e0 as r_px, 250e0 + (value * 7e0) % 90e0 + 330e0 as b,
-  4e-1 + 6e-3 * k as tracking_confidence,
+  4e-1 + k / 165e0 as tracking_confidence,
   case when k % 11 = 0 then 'reacquired' when k % 23 = 0 then 'suspected_identity_switch' else 'observed' end as state,
   case when r < 2 then 'near_side' else 'far_side' end as side,
   case when k < 25 then 'near' when k < 30 then 'ambiguous' else 'inside' end as region
@@ -155,7 +155,7 @@ select {_div('event_id', 400)} as match_id, event_id as detection_id, {_div('eve
   150e0 + 130e0 * (event_id % 4) + value / 7e0 as t,
   4e2 + 260e0 * (event_id % 4) + 40e0 * sin({_div('event_id % 400', 4)} / 12e0) + value / 9e0 + 90e0 as r_px,
   150e0 + 130e0 * (event_id % 4) + value / 7e0 + 260e0 + {_K} * 3e0 as b,
-  3e-1 + 7e-3 * {_K} as confidence, event_id % 4 + 10 * {_div('event_id % 400', 160)} as tracker_id
+  3e-1 + {_K} / 143e0 as confidence, event_id % 4 + 10 * {_div('event_id % 400', 160)} as tracker_id
 from events
 """
 
@@ -177,7 +177,33 @@ select page_id as match_id,
 from pages
 """
 
+# Ball detections: the ball itself and, now and then, a distractor beside it.
+CANDIDATES = f"""
+select match_id, frame, t_s, frame * 10 as detection_id, x_px, y_px, confidence, 1e0 as relevance from fx_ball where status = 'OBSERVED'
+union all
+select match_id, frame, t_s, frame * 10 + 1, x_px + 300e0, y_px - 80e0, 9e-1, 55e-2 from fx_ball where status = 'OBSERVED' and k % 3 = 0
+"""
+
+# Activity bursts of a match, some close together.
+BURSTS = """
+select o_custkey as match_id, o_orderkey as candidate_no, o_orderkey % 3000 as start_frame,
+  o_orderkey % 3000 + 20 + o_orderkey % 57 as end_frame, o_totalprice / 497e3 as quality, (o_orderkey % 83) / 83e0 as confidence
+from orders
+"""
+
+# Predicted events with a visual and a fused score, to be compared with the truth.
+PREDICTED = f"""
+select {_div('event_id', 1000)} as match_id, event_id as event_id, event_id % 1000 as frame, (event_id % 1000) / 30e0 as t_s,
+  6e-1 + k / 257e0 as visual, least(1e0, 6e-1 + k / 257e0 + (k % 7) / 50e0) as fused,
+  {_HITTER.format(k='(k % 5)')} as player_id, {_TYPE.format(k='((k + event_id) % 9)')} as shot_type,
+  case when k % 3 = 0 then 'near_side' when k % 3 = 1 then 'far_side' else null end as true_side
+from (select *, {_K} as k from events) e where event_id % 6 = 1
+"""
+
 TABLES = {
+    "fx_predicted": (PREDICTED, ("events",)),
+    "fx_bursts": (BURSTS, ("orders",)),
+    "fx_candidates": (CANDIDATES, ("fx_ball",)),
     "fx_raw_positions": (RAW_POSITIONS, ("events",)),
     "fx_rallies": (RALLIES, ("events",)),
     "fx_star_rallies": (STAR_RALLIES, ("orders",)),
@@ -213,7 +239,7 @@ class Tables:
         text, sources = TABLES[key]
         for source in sources:
             text = _mark(text, source)
-        return self.spark.sql(text, **{s: self.read(s) for s in sources})
+        return self.spark.sql(text, **{s: getattr(self, s[3:]) if s.startswith("fx_") else self.read(s) for s in sources})
 
 
 def _mark(text: str, source: str) -> str:

@@ -183,3 +183,37 @@ def interval_join(
     for k in [*keys, "_b"]:
         out = out.drop(b[k])
     return out.drop(a["_b"])
+
+
+def merged_starts(
+    df: DataFrame,
+    keys: Sequence[str],
+    start: str,
+    end: str,
+    gap: float,
+    size: float,
+    out: str = "cluster",
+) -> DataFrame:
+    """Label intervals with the first start of their chain of neighbours.
+
+    An interval joins the chain when it starts within ``gap`` of the furthest end
+    so far. Furthest ends and labels are carried between chunks of the start axis.
+    """
+    keys = list(keys)
+    w = W.partitionBy(*keys, CHUNK).orderBy(start, end)
+    local = df.withColumn(CHUNK, F.floor(F.col(start) / F.lit(size)).cast("bigint"))
+    local = local.withColumn("_reach", F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    ends = local.groupBy(*keys, CHUNK).agg(F.max(end).alias("_m"))
+    ends = ends.select(*keys, CHUNK, F.max("_m").over(before).alias("_far"))
+    local = local.join(ends, [*keys, CHUNK])
+    reach = F.greatest("_reach", "_far")
+    local = local.withColumn("_brk", F.when(reach.isNull() | (F.col(start) > reach + gap), F.col(start)))
+    local = local.withColumn("_run", F.max("_brk").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    heads = local.groupBy(*keys, CHUNK).agg(F.max("_brk").alias("_m"))
+    heads = heads.select(*keys, CHUNK, F.max("_m").over(before).alias("_carry"))
+    return (
+        local.join(heads, [*keys, CHUNK])
+        .withColumn(out, F.coalesce("_run", "_carry"))
+        .drop(CHUNK, "_reach", "_far", "_brk", "_run", "_carry")
+    )
