@@ -98,8 +98,8 @@ OFFSETS = [("ME", 0.1, -0.2), ("OPPONENT_2", -0.05, 0.15)]
     "x_m y_m cx_m cy_m",
 )
 def p3(t):
-    per_match = t.raw_positions.select("match_id").distinct()
-    offsets = per_match.crossJoin(F.broadcast(t.spark.createDataFrame(OFFSETS, "role string, dx_m double, dy_m double")))
+    rows = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(x).alias("dx_m"), F.lit(y).alias("dy_m")) for r, x, y in OFFSETS])
+    offsets = t.raw_positions.select("match_id").distinct().select("match_id", F.inline(rows))
     return P.apply_offsets(t.raw_positions, offsets).select("match_id", "role", "frame", "x_m", "y_m", "cx_m", "cy_m")
 
 

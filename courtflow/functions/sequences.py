@@ -209,7 +209,9 @@ def merged_starts(
     local = local.join(ends, [*keys, CHUNK])
     reach = F.greatest("_reach", "_far")
     local = local.withColumn("_brk", F.when(reach.isNull() | (F.col(start) > reach + gap), F.col(start)))
-    local = local.withColumn("_run", F.max("_brk").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    # Equal starts belong together, in whatever order they were sorted.
+    peers = W.partitionBy(*keys, CHUNK).orderBy(start).rangeBetween(W.unboundedPreceding, W.currentRow)
+    local = local.withColumn("_run", F.max("_brk").over(peers))
     heads = local.groupBy(*keys, CHUNK).agg(F.max("_brk").alias("_m"))
     heads = heads.select(*keys, CHUNK, F.max("_m").over(before).alias("_carry"))
     return (

@@ -50,8 +50,7 @@ def match_metrics(rallies: DataFrame, shots: DataFrame) -> DataFrame:
 
 
 def _players(shots: DataFrame) -> DataFrame:
-    roles = shots.sparkSession.createDataFrame([(r,) for r in C.ROLES], "player_id string")
-    return shots.select("match_id").distinct().crossJoin(F.broadcast(roles))
+    return shots.select("match_id").distinct().withColumn("player_id", F.explode(F.array(*map(F.lit, C.ROLES))))
 
 
 def _count(cond: Column) -> Column:
@@ -138,8 +137,7 @@ def kitchen_arrivals(
     seen = seen.groupBy("match_id", "rally_id", "team").agg(
         F.count("*").alias("joint"), F.min(F.when(F.col("there"), F.col("frame"))).alias("first")
     )
-    teams = rallies.sparkSession.createDataFrame([(t,) for t in C.TEAMS], "team string")
-    out = bounds.crossJoin(F.broadcast(teams)).join(seen, ["match_id", "rally_id", "team"], "left")
+    out = bounds.withColumn("team", F.explode(F.array(*map(F.lit, C.TEAMS)))).join(seen, ["match_id", "rally_id", "team"], "left")
     expected = F.greatest(F.lit(1), F.col("end_frame") - F.col("start_frame") + 1)
     out = out.withColumn("coverage", F.coalesce("joint", F.lit(0)) / expected)
     out = out.withColumn("evaluable", F.col("coverage") >= settings.min_coverage)

@@ -206,20 +206,28 @@ def match_boxes(detections: DataFrame, truth: DataFrame, threshold: float = 0.5)
 
 
 def detection_metrics(matched: DataFrame, truth: DataFrame, duration_s: DataFrame | None = None) -> DataFrame:
-    """TP/FP/FN, precision, recall, frame coverage; duration adds false positives per minute."""
-    hit = F.col("truth_id").isNotNull()
-    pred = matched.agg(F.count("*").alias("predicted"), F.count_if(hit).alias("true_positives"))
-    covered = matched.filter(hit).agg(F.countDistinct("frame_id").alias("covered_frames"))
-    base = truth.agg(F.count("*").alias("truth"), F.countDistinct("frame_id").alias("positive_frames"))
-    out = pred.crossJoin(covered).crossJoin(base)
+    """TP/FP/FN, precision, recall, frame coverage, and false positives per minute.
+
+    Detections, truth and covered seconds are stacked and summed in one pass.
+    """
+    columns = "frame_id bigint, kind string, hit boolean, seconds double"
+    part = lambda df, kind, hit, sec: df.select(
+        *[c.cast(t).alias(n) for c, (n, t) in zip((F.col("frame_id") if "frame_id" in df.columns else F.lit(None), F.lit(kind), hit, sec), [x.split() for x in columns.split(", ")])])
+    none = F.lit(None)
+    rows = part(matched, "d", F.col("truth_id").isNotNull(), none).unionByName(part(truth, "t", none, none))
+    if duration_s is not None:
+        rows = rows.unionByName(part(duration_s, "s", none, F.col("duration_s")))
+    found, true = F.col("kind") == "d", F.col("kind") == "t"
+    out = rows.agg(
+        F.count_if(found).alias("predicted"), F.count_if(true).alias("truth"), F.count_if(found & F.col("hit")).alias("true_positives"),
+        F.countDistinct(F.when(F.col("hit"), F.col("frame_id"))).alias("covered_frames"),
+        F.countDistinct(F.when(true, F.col("frame_id"))).alias("positive_frames"), F.sum("seconds").alias("duration_s"))
     out = out.withColumn("false_positives", F.col("predicted") - F.col("true_positives"))
     out = out.withColumn("false_negatives", F.col("truth") - F.col("true_positives"))
     out = out.withColumn("precision", G.ratio(F.col("true_positives"), F.col("predicted")))
     out = out.withColumn("recall", G.ratio(F.col("true_positives"), F.col("truth")))
     out = out.withColumn("coverage", G.ratio(F.col("covered_frames"), F.col("positive_frames")))
-    if duration_s is not None:
-        out = out.crossJoin(duration_s).withColumn("fp_per_minute", G.ratio(F.col("false_positives"), F.col("duration_s") / 60))
-    return out
+    return out.withColumn("fp_per_minute", G.ratio(F.col("false_positives"), F.col("duration_s") / 60))
 
 
 def side_metrics(matched: DataFrame, truth: DataFrame) -> DataFrame:
@@ -241,17 +249,17 @@ def merged_duration(clips: DataFrame, size: float = 3600.0) -> DataFrame:
     return parts.groupBy("source_id").agg(F.sum(F.col("_e") - F.col("cluster")).alias("duration_s"), F.count("*").alias("ranges"))
 
 
-def compare_strategies(matched: DataFrame, truth: DataFrame) -> DataFrame:
+def compare_strategies(matched: DataFrame) -> DataFrame:
     """One metric row per detection strategy over the same frames.
 
     ``matched`` holds the box matches of all strategies with a ``strategy`` column.
     """
     hit = F.col("truth_id").isNotNull()
     out = matched.groupBy("strategy").agg(
-        F.count("*").alias("predicted"), F.count_if(hit).alias("true_positives"), F.countDistinct(F.when(hit, F.col("frame_id"))).alias("covered_frames"))
-    out = out.crossJoin(truth.agg(F.count("*").alias("truth")))
-    p, r = G.ratio(F.col("true_positives"), F.col("predicted")), G.ratio(F.col("true_positives"), F.col("truth"))
-    return out.withColumn("precision", p).withColumn("recall", r)
+        F.count("*").alias("predicted"), F.count_if(hit).alias("true_positives"),
+        F.countDistinct("frame_id").alias("frames"), F.countDistinct(F.when(hit, F.col("frame_id"))).alias("covered_frames"))
+    out = out.withColumn("precision", G.ratio(F.col("true_positives"), F.col("predicted")))
+    return out.withColumn("coverage", G.ratio(F.col("covered_frames"), F.col("frames")))
 
 
 def frame_set_difference(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:

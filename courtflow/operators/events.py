@@ -10,6 +10,7 @@ from courtflow import config as C
 from courtflow.functions import geometry as G
 from courtflow.functions.sequences import CHUNK, CHUNK_FRAMES, home_rows, interval_join, last_before, with_halo
 from courtflow.operators.matching import suppress_near, time_matches
+from courtflow.session import cut_lineage
 
 KEYS = ("match_id",)
 
@@ -129,8 +130,8 @@ def detect_bounces(
     s: C.BounceSettings = C.BounceSettings(),
     chunk: int = CHUNK_FRAMES,
 ) -> DataFrame:
-    raw = bounce_candidates(track, video, corners, homography, rallies, s, chunk)
-    kept = suppress_near(raw, KEYS, "frame", "visual", C.frames_for(s.spacing_s, video.fps), False, chunk)
+    raw = cut_lineage(bounce_candidates(track, video, corners, homography, rallies, s, chunk))
+    kept = cut_lineage(suppress_near(raw, KEYS, "frame", "visual", C.frames_for(s.spacing_s, video.fps), False, chunk))
     return evidence(kept, audio_matches(kept, audio, s.tolerance_s), s.accepted, s.audio_weight)
 
 
@@ -194,11 +195,11 @@ def contact_candidates(
     rows = rows.withColumn("direction_deg", G.angle_degrees("bx", "by", "ax", "ay"))
     sb, sa = G.hypot(F.col("bx"), F.col("by")) / d, G.hypot(F.col("ax"), F.col("ay")) / d
     rows = rows.withColumn("speed_ratio", F.greatest(sb, sa) / F.greatest(F.lit(1e-6), F.least(sb, sa)))
-    rows = rows.filter(
+    rows = cut_lineage(rows.filter(
         (F.col("velocity_change") >= s.min_velocity_change)
         & ((F.col("direction_deg") >= s.min_direction_deg) | (F.col("speed_ratio") >= s.min_speed_ratio))
         & (F.col("continuity") >= s.min_continuity)
-    )
+    ))
     rows = bounce_context(rows, bounces, video.fps, s.bounce_exclusion_s, chunk).filter(~F.col("coincident"))
     nearest = candidate_players(rows, boxes, video, s.max_proximity).filter("rank = 1").select(
         "match_id", "frame", F.col("role").alias("nearest_role"), "proximity", "tracking_confidence", F.col("region").alias("nearest_region"))
@@ -231,9 +232,9 @@ def detect_contacts(
     s: C.ContactSettings = C.ContactSettings(),
     chunk: int = CHUNK_FRAMES,
 ) -> DataFrame:
-    raw = contact_candidates(track, boxes, video, bounces, rallies, s, chunk)
-    kept = suppress_near(raw, KEYS, "frame", "visual", C.frames_for(s.spacing_s, video.fps), True, chunk)
-    fused = evidence(kept, audio_matches(kept, audio, s.tolerance_s), s.accepted, s.audio_weight)
+    raw = cut_lineage(contact_candidates(track, boxes, video, bounces, rallies, s, chunk))
+    kept = cut_lineage(suppress_near(raw, KEYS, "frame", "visual", C.frames_for(s.spacing_s, video.fps), True, chunk))
+    fused = cut_lineage(evidence(kept, audio_matches(kept, audio, s.tolerance_s), s.accepted, s.audio_weight))
     previous = last_before(fused, KEYS, "frame", F.col("frame"), chunk, "previous_frame")
     return previous.withColumn("since_previous_s", (F.col("frame") - F.col("previous_frame")) / video.fps)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from courtflow.functions.folds import GreedyPairs, KeepApart, sorted_fold
 from courtflow.functions.sequences import band_join, cluster_starts, merged_starts
+from courtflow.session import cut_lineage
 
 CHUNK_SECONDS = 600
 
@@ -29,7 +30,8 @@ def greedy_pairs(
     chains of touching spans are decided apart from each other, and a long match
     falls into many of them. ``order`` must be total; add ids as last terms.
     """
-    spans = proposals.withColumn("_lo", low).withColumn("_hi", high)
+    # The chain labels read the proposals several times, so their join is run once.
+    spans = cut_lineage(proposals.withColumn("_lo", low).withColumn("_hi", high))
     chained = merged_starts(spans, keys, "_lo", "_hi", 0, size, "_chain").drop("_lo", "_hi")
     taken = sorted_fold(chained, [*keys, "_chain"], order, GreedyPairs, (left, right), "taken boolean")
     return taken.filter("taken").drop("taken", "_chain")

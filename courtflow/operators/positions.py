@@ -203,7 +203,7 @@ def joint_frames(positions: DataFrame, x: str = "x_m", y: str = "y_m") -> DataFr
 def partner_spacing(positions: DataFrame, x: str = "x_m", y: str = "y_m") -> DataFrame:
     """Mean partner distance per team, with its coverage of the match's frames."""
     size = positions.groupBy("match_id").agg((F.max("frame") + 1).alias("frame_count"))
-    size = size.crossJoin(positions.sparkSession.createDataFrame([(t,) for t in C.TEAMS], "team string"))
+    size = size.withColumn("team", F.explode(F.array(*map(F.lit, C.TEAMS))))
     spacing = joint_frames(positions, x, y).groupBy("match_id", "team").agg(
         F.avg(G.distance("ax", "ay", "bx", "by")).alias("spacing_m"), F.count("*").alias("samples")
     )

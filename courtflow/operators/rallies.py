@@ -367,7 +367,7 @@ def segment_rallies(
 
     kin = cut_lineage(kinematics(track, video, s, chunk))
     rallies = candidate_rallies(kin, video, s, chunk)
-    evidence = interval_support(kin, rallies, video, s, chunk, reset, audio)
+    evidence = cut_lineage(interval_support(kin, cut_lineage(rallies), video, s, chunk, reset, audio))
     return resolve_bursts(evidence, video, s, chunk)
 
 
