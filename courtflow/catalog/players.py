@@ -369,15 +369,15 @@ def e24(t):
 
 
 FEATS = """
-select l_orderkey as match_id, cast(0 as bigint) as rally_id, rn as shot_index, case l_suppkey % 6 when 0 then 'UNKNOWN' when 1 then 'ME' when 2 then 'PARTNER' else 'OPPONENT_1' end as hitter_id,
- 5e-1 + l_discount * 5 as hitter_confidence, case when l_suppkey % 6 in (1, 2) then 'near_side' else 'far_side' end as hitter_side,
- case when l_partkey % 19 = 0 then null when l_suppkey % 6 in (1, 2) then 46e-1 - l_quantity / 2e1 else 88e-1 + l_quantity / 2e1 end as hitter_y_m,
- 4e-1 + l_discount * 6 as known_fraction, l_partkey % 9 as known_points, case when l_partkey % 23 = 0 then null else 5e-2 + l_tax * 7 end as initial_speed,
- case when l_partkey % 2 = 0 then l_partkey end as bounce_id, case when l_partkey % 2 = 0 then 45e-1 + (l_partkey % 45) / 1e1 end as landing_y_m,
- (l_partkey % 10) / 1e1 as height_ratio, 7e-1 + l_tax as visual
-from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as rn from {lineitem}) z
+select cast(floor(event_id / 1000) as bigint) as match_id, cast(floor(event_id / 8) as bigint) as rally_id, event_id % 8 + 1 as shot_index, case k % 6 when 0 then 'UNKNOWN' when 1 then 'ME' when 2 then 'PARTNER' else 'OPPONENT_1' end as hitter_id,
+ 5e-1 + (k % 41) / 83e0 as hitter_confidence, case when k % 6 in (1, 2) then 'near_side' else 'far_side' end as hitter_side,
+ case when k % 19 = 0 then null when k % 6 in (1, 2) then 46e-1 - v / 2e1 else 88e-1 + v / 2e1 end as hitter_y_m,
+ 4e-1 + (k % 51) / 87e0 as known_fraction, (k + event_id) % 9 as known_points, case when k % 23 = 0 then null else 5e-2 + (v * 7e0) % 61e-2 end as initial_speed,
+ case when (k + event_id) % 2 = 0 then event_id end as bounce_id, case when (k + event_id) % 2 = 0 then 45e-1 + (k % 45) / 1e1 end as landing_y_m,
+ (k % 10) / 1e1 as height_ratio, 7e-1 + (k % 31) / 113e0 as visual
+from (select event_id, value as v, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k from {events}) z
 """
-SHARED["ck_feat"] = FEATS.format(lineitem="lineitem")
+SHARED["ck_feat"] = FEATS.format(events="events")
 DEP = f"case when hitter_side = 'near_side' then greatest(0e0, {NEAR} - hitter_y_m) else greatest(0e0, hitter_y_m - {FAR}) end"
 OPP = f"case when hitter_side = 'near_side' then landing_y_m between {NET} and {FAR} else landing_y_m between {NEAR} and {NET} end"
 SHARED["ck_cls"] = f"""
@@ -387,27 +387,27 @@ select *, case when miss then 'UNKNOWN' when serve then 'SERVE' when shot_index
 from (select *, shot_index > 2 and not coalesce(pb, false) as late from (select *, lag(serve) over w as ps, lag(bounce_id is not null) over w as pb from (
  select *, not miss and shot_index = 1 and bounce_id is not null and depth_m >= 12e-1 as serve from (
  select *, {DEP} as depth_m, {OPP} as opp, hitter_id = 'UNKNOWN' or hitter_confidence < 62e-2 or hitter_y_m is null or known_fraction < 5e-1 or known_points < 3 or initial_speed is null as miss from ck_feat))
- window w as (partition by match_id order by shot_index)))
+ window w as (partition by match_id, rally_id order by shot_index)))
 """
 
 
 @query(
     "f15_shot_rules",
-    """select match_id, shot_index, shot_type, depth_m, opp as in_opponent_kitchen, case when miss then 1 - greatest(0e0, least(1e0, case when hitter_id <> 'UNKNOWN' then 1e0 else 0 end, case when hitter_y_m is not null then 1e0 else 0 end,
+    """select match_id, rally_id, shot_index, shot_type, depth_m, opp as in_opponent_kitchen, case when miss then 1 - greatest(0e0, least(1e0, case when hitter_id <> 'UNKNOWN' then 1e0 else 0 end, case when hitter_y_m is not null then 1e0 else 0 end,
       case when initial_speed is not null then 1e0 else 0 end, hitter_confidence / 62e-2, known_fraction / 5e-1, known_points / 3))
      else least(1e0, least(visual, hitter_confidence, greatest(5e-1, known_fraction)) * (7e-1 + 3e-1 * case shot_type when 'SERVE' then least(1e0, depth_m / 12e-1) when 'RETURN' then 1 when 'OVERHEAD' then least(1e0, initial_speed / 35e-2)
        when 'DINK' then 1 - least(1e0, initial_speed / 28e-2) when 'DROP' then least(1e0, depth_m / 9e-1) when 'VOLLEY' then 1 - least(1e0, depth_m / 9e-1) when 'DRIVE' then least(1e0, initial_speed / 45e-2) else 5e-1 end)) end as confidence from ck_cls""",
     "depth_m confidence",
 )
 def f15(t):
-    features = t.spark.sql(FEATS, lineitem=t.read("lineitem"))
-    return S.classify(features).select("match_id", "shot_index", "shot_type", "depth_m", "in_opponent_kitchen", "confidence")
+    features = t.spark.sql(FEATS, events=t.read("events"))
+    return S.classify(features).select("match_id", "rally_id", "shot_index", "shot_type", "depth_m", "in_opponent_kitchen", "confidence")
 
 
-@query("e25_landing_kitchen", f"select match_id, shot_index, {OPP} as in_opponent_kitchen from ck_feat where landing_y_m is not null")
+@query("e25_landing_kitchen", f"select match_id, rally_id, shot_index, {OPP} as in_opponent_kitchen from ck_feat where landing_y_m is not null")
 def e25(t):
-    features = t.spark.sql(FEATS, lineitem=t.read("lineitem"))
-    return features.filter("landing_y_m is not null").select("match_id", "shot_index", G.lands_in_opponent_kitchen("landing_y_m", "hitter_side").alias("in_opponent_kitchen"))
+    features = t.spark.sql(FEATS, events=t.read("events"))
+    return features.filter("landing_y_m is not null").select("match_id", "rally_id", "shot_index", G.lands_in_opponent_kitchen("landing_y_m", "hitter_side").alias("in_opponent_kitchen"))
 
 
 def shots_of(t):
