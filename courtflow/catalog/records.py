@@ -248,12 +248,12 @@ select correction_id, type2 as type, case type2
   when 'bounce' then case when correction_id % 4 = 0 then '{"frame":3}' when correction_id % 6 = 1 then '{"isBounce":false,"timestampSeconds":-1}' else '{"isBounce":true,"frame":12}' end
   when 'hitter' then case when correction_id % 4 = 0 then '{"playerId":""}' else '{"playerId":"ME"}' end
   else case when correction_id % 5 = 0 then '{}' when correction_id % 7 = 0 then '{"shotType":"LOB"}' else concat('{"shotType":"', new_type, '"}') end end as value, corrected_at, revision
-from (select distinct *, case when correction_id % 10 = 7 then 'bounce' else type end as type2 from fx_corrections)
+from (select *, case when correction_id % 10 = 7 then 'bounce' else type end as type2 from fx_corrections)
 """
 
 
 def correction_values(t):
-    c = t.corrections.distinct()
+    c = t.corrections
     n = F.col("correction_id")
     kind = F.when(n % 10 == 7, "bounce").otherwise(F.col("type"))
     at, rev = F.col("corrected_at"), F.col("revision")

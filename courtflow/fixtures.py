@@ -36,7 +36,7 @@ select match_id, role, frame, frame / 30e0 as t_s,
   case when k in (10, 11) then null
        when r < 2 then 3.4e0 + 1.8e0 * cos(frame / 20e0 + r)
        else {num(COURT_LENGTH_M)} - (3.4e0 + 1.8e0 * cos(frame / 20e0 + r)) end as y_m,
-  4e-1 + k / 165e0 as confidence,
+  40625e-5 + k * 3 / 512e0 as confidence,
   case when k < 4 then 'outside' when k < 8 then 'ambiguous' when k < 30 then 'near' else 'inside' end as region,
   case when k = 12 then 'suspected_identity_switch' when k in (10, 11) then 'temporarily_missing'
        when k % 17 = 5 then 'reacquired' else 'observed' end as state
@@ -119,7 +119,7 @@ PLAYER_BOXES = f"""
 select match_id, frame, role, r,
   1e2 + 450e0 * r + (value * 3e0) % 150e0 as l, 250e0 + (value * 7e0) % 90e0 as t,
   1e2 + 450e0 * r + (value * 3e0) % 150e0 + 120e0 as r_px, 250e0 + (value * 7e0) % 90e0 + 330e0 as b,
-  4e-1 + k / 165e0 as tracking_confidence,
+  40625e-5 + k * 3 / 512e0 as tracking_confidence,
   case when k % 11 = 0 then 'reacquired' when k % 23 = 0 then 'suspected_identity_switch' else 'observed' end as state,
   case when r < 2 then 'near_side' else 'far_side' end as side,
   case when k < 25 then 'near' when k < 30 then 'ambiguous' else 'inside' end as region

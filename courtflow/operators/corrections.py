@@ -21,9 +21,10 @@ ALLOWED = {
 
 def validate(corrections: DataFrame, type_: str = "type", value: str = "value") -> DataFrame:
     """Corrections whose JSON value breaks the rules of their type, with the reason."""
-    kind, v = F.col(type_), F.col(value)
-    field = lambda name: F.get_json_object(v, f"$.{name}")
-    keys = F.coalesce(F.json_object_keys(v), F.array().cast("array<string>"))
+    rows = corrections.withColumn("_m", F.from_json(value, "map<string,string>"))
+    kind = F.col(type_)
+    field = lambda name: F.col("_m")[name]
+    keys = F.coalesce(F.map_keys("_m"), F.array().cast("array<string>"))
     extra = F.lit(False)
     for name, allowed in ALLOWED.items():
         extra = F.when(kind == name, F.size(F.array_except(keys, F.array(*map(F.lit, allowed)))) > 0).otherwise(extra)
@@ -45,7 +46,8 @@ def validate(corrections: DataFrame, type_: str = "type", value: str = "value")
         .when((kind == "hitter") & blank(field("playerId")), "hitter_empty")
         .when((kind == "shot_type") & ~F.coalesce(field("shotType").isin(*C.SHOT_TYPES), F.lit(False)), "shot_type_unknown")
     )
-    return corrections.withColumn("reason", reason).filter("reason is not null")
+    # Exploding the one reason found keeps the rules from being evaluated twice.
+    return rows.withColumn("reason", F.explode(F.array_compact(F.array(reason)))).drop("_m")
 
 
 def snapshot(type_: Column, fields: dict[str, tuple[str, ...]]) -> Column:

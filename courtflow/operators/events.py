@@ -56,9 +56,9 @@ def with_rally(points: DataFrame, rallies: DataFrame | None) -> DataFrame:
     if rallies is None:
         return points.withColumn("rally_id", F.lit(None).cast("bigint")).withColumn("rally_confidence", F.lit(None).cast("double"))
     bounds = rallies.select("match_id", "start_frame", "end_frame", "rally_id", F.col("confidence").alias("rally_confidence"))
-    inside = interval_join(points.select("match_id", "frame").distinct(), bounds, ["match_id"], "frame", "start_frame", "end_frame", 2048)
-    first = inside.groupBy("match_id", "frame").agg(F.min_by(F.struct("rally_id", "rally_confidence"), F.struct("start_frame", "end_frame")).alias("r"))
-    return points.join(first, ["match_id", "frame"], "left").select(points["*"], F.col("r.rally_id").alias("rally_id"), F.col("r.rally_confidence").alias("rally_confidence"))
+    joined = interval_join(points, bounds, ["match_id"], "frame", "start_frame", "end_frame", 2048, "left")
+    first = F.row_number().over(W.partitionBy("match_id", "frame").orderBy("start_frame", "end_frame", "rally_id"))
+    return joined.withColumn("_r", first).filter("_r = 1").drop("_r", "start_frame", "end_frame")
 
 
 def bounce_candidates(

@@ -43,16 +43,53 @@ def smoothing_status(settings: C.PositionSettings = C.PositionSettings(), x: str
     )
 
 
-def _weighted_median(support: Column, field: str) -> Column:
-    ordered = F.array_sort(F.transform(support, lambda s: F.struct(s[field].alias("v"), s["w"].alias("w"))))
-    half = F.aggregate(ordered, F.lit(0.0), lambda a, s: a + s["w"]) / 2
-    start = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("double").alias("v"))
+def _weighted_median(values: list[Column], weights: list[Column]) -> Column:
+    """Least value at which the weight of all values up to it reaches half.
 
-    def take(a: Column, s: Column) -> Column:
-        cum = a["cum"] + s["w"]
-        return F.struct(cum.alias("cum"), F.coalesce(a["v"], F.when(cum >= half, s["v"])).alias("v"))
+    ``weights`` are null for neighbours left out. Plain expressions over a handful
+    of columns stay inside generated code, unlike functions over an array.
+    """
+    at = [F.coalesce(w, F.lit(0.0)) for w in weights]
+    half = sum(at[1:], at[0]) / 2
+    options = []
+    for v, w in zip(values, weights):
+        below = [F.when(other <= v, k).otherwise(0.0) for other, k in zip(values, at)]
+        options.append(F.when(w.isNotNull() & (sum(below[1:], below[0]) >= half), v))
+    return F.least(*options) if len(options) > 1 else options[0]
+
+
+def _smoothed(rows: DataFrame, settings: C.PositionSettings, x: str, y: str) -> DataFrame:
+    """Smoothing columns on rows already laid out in chunks with their halo.
+
+    Neighbours come by ``lag`` and ``lead`` and count while the run of eligible
+    frames between them and the row is unbroken.
+    """
+    radius = settings.smoothing_window // 2
+    w = chunk_window(KEYS, "frame")
+    eligible = F.col("status") == SMOOTHED
+    sample = F.when(eligible, F.struct(F.col("frame").alias("f"), F.col(x).alias("x"), F.col(y).alias("y"), F.greatest("confidence", F.lit(1e-6)).alias("w")))
+    rows = rows.withColumn("_0", sample)
+    for o in range(1, radius + 1):
+        rows = rows.withColumn(f"_-{o}", F.lag("_0", o).over(w)).withColumn(f"_{o}", F.lead("_0", o).over(w))
+    for sign in (-1, 1):
+        for o in range(1, radius + 1):
+            name, inner = f"_{sign * o}", f"_{sign * (o - 1)}" if o > 1 else "_0"
+            whole = F.col(f"`{inner}`").isNotNull() & (F.col(f"`{name}`.f") == F.col("frame") + sign * o)
+            rows = rows.withColumn(name, F.when(whole, F.col(f"`{name}`")))
+    near = [F.col(f"`_{o}`") for o in range(-radius, radius + 1)]
+    weights = [n["w"] for n in near]
+    rows = rows.withColumn("_mx", F.when(eligible, _weighted_median([n["x"] for n in near], weights)))
+    rows = rows.withColumn("_my", F.when(eligible, _weighted_median([n["y"] for n in near], weights)))
+    rows = rows.withColumn("support_frames", F.when(eligible, F.array_compact(F.array(*[n["f"] for n in near]))))
+    shift = G.hypot(F.col("_mx") - F.col(x), F.col("_my") - F.col(y))
+    rows = rows.withColumn("_s", F.when(shift > settings.max_adjustment_m, settings.max_adjustment_m / shift))
+
+    def bounded(median: str, raw: str) -> Column:
+        moved = F.col(raw) + (F.col(median) - F.col(raw)) * F.col("_s")
+        return F.when(F.col("_s").isNull(), F.col(median)).otherwise(moved)
 
-    return F.aggregate(ordered, start, take)["v"]
+    rows = rows.withColumn("sx_m", bounded("_mx", x)).withColumn("sy_m", bounded("_my", y))
+    return rows.drop("_mx", "_my", "_s", *[f"_{o}" for o in range(-radius, radius + 1)])
 
 
 def smooth(
@@ -69,32 +106,7 @@ def smooth(
     """
     radius = settings.smoothing_window // 2
     rows = with_halo(raw.withColumn("status", smoothing_status(settings, x)), "frame", radius, radius, chunk)
-    w = chunk_window(KEYS, "frame").rangeBetween(-radius, radius)
-    eligible = F.col("status") == SMOOTHED
-    sample = F.struct(
-        F.col("frame"), F.col(x).alias("x"), F.col(y).alias("y"), F.greatest("confidence", F.lit(1e-6)).alias("w")
-    )
-    rows = home_rows(rows.withColumn("_near", F.collect_list(F.when(eligible, sample)).over(w)))
-    here = F.col("frame")
-
-    def unbroken(s: Column) -> Column:
-        low, high = F.least(s["frame"], here), F.greatest(s["frame"], here)
-        between = F.filter(F.col("_near"), lambda o: (o["frame"] >= low) & (o["frame"] <= high))
-        return F.size(between) == high - low + 1
-
-    rows = rows.withColumn("_near", F.when(eligible, F.filter("_near", unbroken)))
-    rows = rows.withColumn("_mx", _weighted_median(F.col("_near"), "x")).withColumn(
-        "_my", _weighted_median(F.col("_near"), "y")
-    )
-    shift = G.hypot(F.col("_mx") - F.col(x), F.col("_my") - F.col(y))
-    scale = F.when(shift > settings.max_adjustment_m, settings.max_adjustment_m / shift)
-    return (
-        rows.withColumn("_s", scale)
-        .withColumn("sx_m", F.when(F.col("_s").isNull(), F.col("_mx")).otherwise(F.col(x) + (F.col("_mx") - F.col(x)) * F.col("_s")))
-        .withColumn("sy_m", F.when(F.col("_s").isNull(), F.col("_my")).otherwise(F.col(y) + (F.col("_my") - F.col(y)) * F.col("_s")))
-        .withColumn("support_frames", F.transform(F.array_sort("_near"), lambda s: s["frame"]))
-        .drop("_near", "_mx", "_my", "_s")
-    )
+    return home_rows(_smoothed(rows, settings, x, y))
 
 
 def steps(
@@ -247,13 +259,15 @@ def player_summary(
 ) -> DataFrame:
     """All position metrics of a player in one row, on smoothed points.
 
-    Everything but partner spacing is one aggregation over the smoothed rows with
-    their steps, so the timeline is shuffled once for the windows and once to sum up.
+    Smoothing and steps share one layout of chunks, so the timeline is shuffled once
+    for all windows, and the sums combine on the map side.
     """
-    rows = smooth(raw, settings, chunk=chunk).drop("support_frames")
     x, y = "sx_m", "sy_m"
+    radius = settings.smoothing_window // 2
     ok, inside = metric_eligible(x), in_court_eligible(x, y)
-    halo = with_halo(rows.withColumn("_ok", ok), "frame", 1, 0, chunk)
+    # The step needs the smoothed row before, so the halo reaches one frame further back.
+    halo = with_halo(raw.withColumn("status", smoothing_status(settings)), "frame", radius + 1, radius, chunk)
+    halo = _smoothed(halo, settings, "x_m", "y_m").drop("support_frames").withColumn("_ok", ok)
     w = chunk_window(KEYS, "frame")
     dt = F.col("t_s") - F.lag("t_s").over(w)
     linked = F.col("_ok") & F.lag("_ok").over(w) & (F.col("frame") == F.lag("frame").over(w) + 1)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from courtflow import config as C
 from courtflow.functions import geometry as G
@@ -51,6 +52,22 @@ def motion_support(moving: DataFrame, video: C.Video, s: C.RallySettings = C.Ral
     return home_rows(rows).withColumn("supported", F.col("support_fraction") >= s.min_support)
 
 
+@F.pandas_udf(T.DoubleType())
+def widest_pair(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    """Largest distance between any two points of each row's arrays (null for none)."""
+    out = np.full(len(xs), np.nan)
+    rows = [i for i, x in enumerate(xs) if x is not None and len(x)]
+    for low in range(0, len(rows), 512):
+        part = rows[low : low + 512]
+        longest = max(len(xs.iat[i]) for i in part)
+        # Shorter rows repeat their last point, which adds no new distance.
+        px = np.array([np.pad(xs.iat[i], (0, longest - len(xs.iat[i])), "edge") for i in part])
+        py = np.array([np.pad(ys.iat[i], (0, longest - len(ys.iat[i])), "edge") for i in part])
+        squares = (px[:, :, None] - px[:, None, :]) ** 2 + (py[:, :, None] - py[:, None, :]) ** 2
+        out[part] = np.sqrt(squares.max(axis=(1, 2)))
+    return pd.Series(out)
+
+
 def kinematics(track: DataFrame, video: C.Video, s: C.RallySettings = C.RallySettings(), chunk: int = CHUNK_FRAMES) -> DataFrame:
     """W5 to W8 in windows over one partitioning of the timeline.
 
@@ -77,7 +94,7 @@ def kinematics(track: DataFrame, video: C.Video, s: C.RallySettings = C.RallySet
     rows = rows.withColumn("baseline", F.coalesce(F.percentile(F.coalesce("speed", F.lit(0.0)), F.lit(0.5)).over(back), F.lit(0.0)))
     rows = rows.withColumn("known_fraction", F.avg(is_known.cast("int")).over(ahead))
     rows = rows.withColumn("motion_fraction", F.avg(F.col("moving").cast("int")).over(ahead))
-    rows = rows.withColumn("_pts", F.collect_list(F.when(is_known, F.struct("x_px", "y_px"))).over(ahead))
+    rows = rows.withColumn("_xs", F.collect_list("x_px").over(ahead)).withColumn("_ys", F.collect_list("y_px").over(ahead))
     early = F.greatest(F.lit(0), F.col("frame") - base)
     still = F.max(F.when(~F.col("moving"), F.col("frame"))).over(back)
     blank = F.max(F.when(~is_known, F.col("frame"))).over(back)
@@ -93,12 +110,12 @@ def kinematics(track: DataFrame, video: C.Video, s: C.RallySettings = C.RallySet
     )
     rows = rows.withColumn("surge", surge).withColumn("_gate", F.coalesce(gate, F.lit(False)))
     # The widest pair is only sought where the cheap gates hold.
-    far = lambda a: F.array_max(F.transform("_pts", lambda b: G.distance(a["x_px"], a["y_px"], b["x_px"], b["y_px"])))
-    spread = F.when(F.col("_gate"), F.coalesce(F.array_max(F.transform("_pts", far)), F.lit(0.0)) / video.diagonal)
-    rows = rows.withColumn("displacement", spread)
+    gated = lambda c: F.when(F.col("_gate"), F.col(c))
+    spread = F.nanvl(widest_pair(gated("_xs"), gated("_ys")), F.lit(0.0)) / video.diagonal
+    rows = rows.withColumn("displacement", F.when(F.col("_gate"), F.coalesce(spread, F.lit(0.0))))
     rows = rows.withColumn("onset", F.coalesce(F.col("displacement") >= s.serve_min_displacement, F.lit(False)))
     walked = F.when(F.col("_walk") < F.col("frame"), F.col("_walk")).otherwise(F.col("_walk2"))
-    return rows.withColumn("refined_start", F.when(F.col("onset"), walked)).drop("_pts", "_walk", "_walk2", "_gate")
+    return rows.withColumn("refined_start", F.when(F.col("onset"), walked)).drop("_xs", "_ys", "_walk", "_walk2", "_gate")
 
 
 JUMPS = "match_id bigint, frame bigint, start_frame bigint, end_frame bigint, cursor bigint, long_enough boolean"
