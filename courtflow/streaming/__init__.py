@@ -1,0 +1 @@
+"""Left empty on purpose: matches arrive as finished recordings, so all work is batch."""
