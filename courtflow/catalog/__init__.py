@@ -9,4 +9,4 @@ def queries():
 
 
 def checks():
-    return base.CHECKS
+    return {name: base.check_sql(*parts) for name, parts in base.CHECKS.items()}

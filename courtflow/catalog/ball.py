@@ -58,12 +58,49 @@ select match_id, frame, detection_id, (cast(bool_or(coalesce(hit and d < 0, fals
 """.replace("DIAG", D)
 
 
-@query("f8_ball_association")
+def _h(dx: str, dy: str) -> str:
+    return f"sqrt(({dx}) * ({dx}) + ({dy}) * ({dy}))"
+
+
+# Walk over the frames that hold candidates. The last element carries the running segment:
+# l and q are its last two points, seg the frame in which it starts.
+_PT = "struct(f bigint, t double, x double, y double)"
+_NO = f"'sel': cast(null as bigint), 'sc': cast(null as double), 'seg': cast(null as bigint), 'l': cast(null as {_PT}), 'q': cast(null as {_PT})"
+_STATE = "case when x[1].f - acc[len(acc)].l.f > 7 then {'seg': cast(null as bigint), 'l': cast(null as PT), 'q': cast(null as PT)} else {'seg': acc[len(acc)].seg, 'l': acc[len(acc)].l, 'q': acc[len(acc)].q} end".replace("PT", _PT)
+_L1 = "list_transform(x[1].c, lambda k: {'k': k, 'dt': k.t - s.l.t, 'vx': case when s.q.t < s.l.t then (s.l.x - s.q.x) / (s.l.t - s.q.t) end, 'vy': case when s.q.t < s.l.t then (s.l.y - s.q.y) / (s.l.t - s.q.t) end})"
+_L2 = (
+    f"list_transform({_L1}, lambda m: {{'k': m.k, 'sp': {_h('m.k.x - s.l.x', 'm.k.y - s.l.y')} / (m.dt * {D}), "
+    f"'turn': coalesce({_h('(m.k.x - s.l.x) / m.dt - m.vx', '(m.k.y - s.l.y) / m.dt - m.vy')} / (m.dt * {D}), 0e0), "
+    f"'miss': {_h('m.k.x - (s.l.x + coalesce(m.vx, 0e0) * m.dt)', 'm.k.y - (s.l.y + coalesce(m.vy, 0e0) * m.dt)')}, 'gate': {D} * (12e-3 + 3e0 * m.dt)}})"
+)
+_L3 = f"list_filter({_L2}, lambda m: m.sp <= 3 and m.turn <= 80 and m.miss <= m.gate)"
+_L4 = f"list_transform({_L3}, lambda m: {{'n': -(42e-2 * (1 - m.miss / m.gate) + 18e-2 * (1 - m.turn / 80) + 18e-2 * m.k.rel + 12e-2 * m.k.conf + 1e-1 * m.k.sup), 'c': -m.k.conf, 'i': -m.k.id, 't': m.k.t, 'x': m.k.x, 'y': m.k.y}})"
+_LINK = f"list_sort(list_filter(case when s.l is null then [] else {_L4} end, lambda m: -m.n >= 32e-2))"
+_START = "list_sort(list_filter(list_transform(x[1].c, lambda k: {'n': -(45e-2 * k.rel + 35e-2 * k.sup + 2e-1 * k.conf), 'c': -k.conf, 'i': -k.id, 't': k.t, 'x': k.x, 'y': k.y, 'r': k.rel}), lambda m: m.r > 0 and -m.n >= 4e-1))"
+
+
+def _take(source: str, seg: str, q: str) -> str:
+    point = f"{{'f': x[1].f, 't': {source}[1].t, 'x': {source}[1].x, 'y': {source}[1].y}}"
+    return f"{{'f': x[1].f, 'c': x[1].c, 'sel': -{source}[1].i, 'sc': -{source}[1].n, 'seg': {seg}, 'l': {point}, 'q': {q}}}"
+
+
+_STEP = f"""case when len(w.link) > 0 then {_take('w.link', 'w.s.seg', 'w.s.l')}
+  when w.s.l is not null and x[1].f - w.s.l.f <= 6 then {{'f': x[1].f, 'c': x[1].c, 'sel': cast(null as bigint), 'sc': cast(null as double), 'seg': w.s.seg, 'l': w.s.l, 'q': w.s.q}}
+  when len(w.start) > 0 then {_take('w.start', 'x[1].f', f'cast(null as {_PT})')} else {{'f': x[1].f, 'c': x[1].c, {_NO}}} end"""
+SHARED["ck_cand"] = "select match_id, frame, list({'id': detection_id, 't': t_s, 'x': x_px, 'y': y_px, 'conf': confidence, 'rel': cast(relevance as double), 'sup': cast(support as double)} order by detection_id) as c from ck_sup group by 1, 2"
+SHARED["ck_bwalk"] = f"""
+select match_id, unnest(kept[2:]) as h from (select match_id, list_reduce(list_prepend([{{'f': cast(-100 as bigint), 'c': any_value(c)[1:0], {_NO}}}], list([{{'f': frame, 'c': c, {_NO}}}] order by frame)),
+  lambda acc, x: list_concat(acc, list_transform(list_transform([{_STATE}], lambda s: {{'s': s, 'link': {_LINK}, 'start': {_START}}}), lambda w: {_STEP}))) as kept from ck_cand group by 1)
+"""
+SHARED["ck_pick"] = "select * from (select match_id, h.f as frame, h.sel as detection_id, h.sc as link_confidence, h.seg as segment_id, count(*) over (partition by match_id, h.seg) as n from ck_bwalk where h.sel is not null) where n >= 2"
+
+
+@query("f8_ball_association", "select match_id, frame, detection_id, link_confidence, segment_id from ck_pick", "link_confidence")
 def f8(t):
     return B.associate(B.temporal_support(t.candidates, V), V)
 
 
-@query("f9_ball_reconstruction")
+@query("f9_ball_reconstruction", "select * from ck_final9", "t_s x_px y_px detection_confidence relevance support confidence sx_px sy_px")
 def f9(t):
     matches = t.ball.groupBy("match_id").agg((F.max("frame") + 1).alias("frame_count"))
     out = B.reconstruct(t.candidates, matches, V)
@@ -116,6 +153,23 @@ def w12(t):
     return B.smooth(t.ball, V).select("match_id", "frame", "sx_px", "sy_px")
 
 
+SHARED["ck_obs9"] = """
+select b.match_id, b.frame, case when p.frame is null then 'UNKNOWN' else 'OBSERVED' end as status, p.seg_no as segment_id, s.x_px, s.y_px, p.link_confidence as confidence, p.detection_id, s.confidence as detection_confidence, s.relevance, s.support
+from fx_ball b left join (select *, dense_rank() over (partition by match_id order by segment_id) as seg_no from ck_pick) p on p.match_id = b.match_id and p.frame = b.frame
+left join ck_sup s on s.match_id = p.match_id and s.frame = p.frame and s.detection_id = p.detection_id
+"""
+SHARED["ck_fill9"] = SHARED["ck_fill"].replace("ck_obs", "ck_obs9")
+SHARED["ck_tr9"] = """
+select match_id, frame, case when fill then 'INTERPOLATED' else status end as status, case when fill then seg else segment_id end as segment_id, case when fill then px + (frame - pf) / (nf - pf) * (nx - px) else x_px end as x_px,
+  case when fill then py + (frame - pf) / (nf - pf) * (ny - py) else y_px end as y_px, case when fill then least(pc, nc) * power(85e-2, nf - pf - 1) else confidence end as confidence from ck_fill9
+"""
+SHARED["ck_bsm9"] = SHARED["ck_bsm"].replace("fx_ball", "ck_tr9")
+SHARED["ck_final9"] = f"""
+select k.match_id, k.frame, k.frame / 30e0 as t_s, o.detection_id, k.x_px, k.y_px, o.detection_confidence, o.relevance, o.support, k.confidence, k.segment_id, k.status, coalesce(c.n, 0) as candidate_count,
+  case when d > lim then x + (mx - x) * lim / d else mx end as sx_px, case when d > lim then y + (my - y) * lim / d else my end as sy_px, coalesce(c.n, 0) - cast(o.detection_id is not null as bigint) as rejected
+from ck_tr9 k join ck_obs9 o on o.match_id = k.match_id and o.frame = k.frame left join (select match_id, frame, count(*) as n from fx_candidates group by 1, 2) c on c.match_id = k.match_id and c.frame = k.frame
+left join (select *, sqrt(power(mx - x, 2) + power(my - y, 2)) as d, {D} * 15e-3 as lim from ck_bsm9) m on m.match_id = k.match_id and m.frame = k.frame
+"""
 SHARED["ck_lost"] = """
 select match_id, min(frame) as start_frame, max(frame) as end_frame, count(*) as missing_frames from
 (select *, frame - row_number() over (partition by match_id order by frame) as g from fx_ball where status = 'UNKNOWN') group by match_id, g
@@ -289,7 +343,23 @@ def f5(t):
     return R.resolve_bursts(t.bursts, V).select("match_id", "candidate_no", "accepted", "stronger_no", "gap_s", "margin")
 
 
-@query("f10_segmented_rallies")
+SHARED["ck_evid2"] = """
+select e.* exclude (confidence, pe), r.reset_score, coalesce(u.hit, false) as audio_support, least(99e-2, e.confidence + coalesce(3e-2 * r.reset_score, 0) + case when u.hit then 2e-2 else 0 end) as confidence
+from ck_evid e left join (select match_id, frame, case when roles >= 3 then slow / roles end as reset_score from ck_reset) r on r.match_id = e.match_id and r.frame = e.start_frame
+left join (select distinct e.match_id, e.candidate_no, true as hit from ck_evid e join fx_audio a on a.match_id = e.match_id and (abs(a.video_s - e.start_frame / 30e0) <= 12e-2 or abs(a.video_s - e.end_frame / 30e0) <= 12e-2)) u
+  on u.match_id = e.match_id and u.candidate_no = e.candidate_no
+"""
+SHARED["ck_burst2"] = SHARED["ck_burst"].replace("fx_bursts", "ck_evid2")
+
+
+@query(
+    "f10_segmented_rallies",
+    """select b.*, k.k is not null as accepted, s.no as stronger_no, s.gap_s, s.q - b.quality as margin from ck_evid2 b left join ck_burst2 k on k.match_id = b.match_id and k.k.no = b.candidate_no
+    left join (select b.match_id, b.candidate_no, k.k.no as no, k.k.q as q, greatest(0e0, (case when b.start_frame >= k.k.s then b.start_frame - k.k.e - 1 else k.k.s - b.end_frame - 1 end) / 30e0) as gap_s,
+         row_number() over (partition by b.match_id, b.candidate_no order by k.k.q desc) as rn from ck_evid2 b join ck_burst2 k on k.match_id = b.match_id and k.k.no <> b.candidate_no and k.k.q - b.quality >= 5e-2
+         and (case when b.start_frame >= k.k.s then b.start_frame - k.k.e - 1 else k.k.s - b.end_frame - 1 end) <= 675e-1) s on s.match_id = b.match_id and s.candidate_no = b.candidate_no and s.rn = 1 and k.k is null""",
+    "known_fraction motion_fraction sustained_fraction max_speed preceding_unknown_s following_unknown_s since_previous_s confidence quality reset_score gap_s margin",
+)
 def f10_all(t):
     reset = R.player_reset(t.raw_positions, V.fps)
     out = R.segment_rallies(t.ball, V, reset=reset, audio=t.audio)

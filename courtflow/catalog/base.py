@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from courtflow.fixtures import TABLES, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, tuple[str, str, dict[str, str]]] = {}
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None, doubles: str = "", with_: dict[str,
     def register(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, folder: rounded(fn(Tables(spark, folder)))
         if sql is not None:
-            CHECKS[name] = check_sql(sql, doubles, with_ or {})
+            CHECKS[name] = (sql, doubles, with_ or {})
         return fn
 
     return register
@@ -56,4 +56,11 @@ def check_sql(sql: str, doubles: str, extra: dict[str, str]) -> str:
 
 
 # Intermediate tables that several checks share.
-SHARED: dict[str, str] = {}
+class _Once(dict):
+    def __setitem__(self, key: str, value: str) -> None:
+        if key in self:
+            raise KeyError(f"{key} is defined twice")
+        super().__setitem__(key, value)
+
+
+SHARED: dict[str, str] = _Once()

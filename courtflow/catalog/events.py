@@ -470,7 +470,20 @@ def e3(t):
     return t.boxes.select("frame_id", "box_id", c[0].alias("cx"), c[1].alias("cy"), g[0].alias("gx"), g[1].alias("gy"))
 
 
-@query("f2_frame_box_matching")
+# Per frame: detections from the most confident down, each with its true boxes by falling IoU.
+SHARED["ck_boxopt"] = """
+select d.frame_id, d.box_id, d.confidence, list({'n': -iou, 't': truth_id} order by -iou, truth_id) filter (where iou >= 5e-1) as opts from fx_boxes d
+left join (select frame_id, box_id, truth_id, case when da + ga - inter > 0 then inter / (da + ga - inter) else 0 end as iou from ck_ioup) p on p.frame_id = d.frame_id and p.box_id = d.box_id group by 1, 2, 3
+"""
+SHARED["ck_boxm"] = """
+select frame_id, unnest(kept[2:]) as m from (select frame_id, list_reduce(list_prepend([{'box': cast(-1 as bigint), 'opts': cast(null as struct(n double, t bigint)[]), 'got': cast(null as struct(n double, t bigint))}],
+   list([{'box': box_id, 'opts': opts, 'got': cast(null as struct(n double, t bigint))}] order by confidence desc, box_id)),
+  lambda acc, x: list_concat(acc, [{'box': x[1].box, 'opts': x[1].opts, 'got': list_filter(x[1].opts, lambda o: len(list_filter(acc, lambda a: a.got.t = o.t)) = 0)[1]}])) as kept from ck_boxopt group by 1)
+"""
+SHARED["ck_boxr"] = "select frame_id, m.box as box_id, m.got.t as truth_id, -m.got.n as iou from ck_boxm"
+
+
+@query("f2_frame_box_matching", "select * from ck_boxr", "iou")
 def f2(t):
     return E.match_boxes(t.boxes, t.truth_boxes).select("frame_id", "box_id", "truth_id", "iou")
 
@@ -479,12 +492,33 @@ def _clips(t):
     return t.dataset_frames.select("source_id", "clip_start_s", "clip_end_s")
 
 
-@query("a27_detection_metrics")
+SHARED["ck_dur"] = """
+select sum(e - s) as d from (select source_id, min(clip_start_s) as s, max(clip_end_s) as e from (
+      select *, sum(cast(brk as int)) over (partition by source_id order by clip_start_s, clip_end_s rows unbounded preceding) as g from (
+       select *, coalesce(clip_start_s > max(clip_end_s) over (partition by source_id order by clip_start_s, clip_end_s rows between unbounded preceding and 1 preceding), true) as brk
+       from (select distinct source_id, clip_start_s, clip_end_s from fx_dataset_frames))) group by source_id, g)
+"""
+
+
+@query(
+    "a27_detection_metrics",
+    """select predicted, truth, true_positives, covered_frames, positive_frames, d as duration_s, predicted - true_positives as false_positives, truth - true_positives as false_negatives,
+      true_positives / predicted as precision, true_positives / truth as recall, covered_frames / positive_frames as coverage, (predicted - true_positives) / (d / 60) as fp_per_minute
+    from (select count(*) as predicted, count(truth_id) as true_positives, count(distinct case when truth_id is not null then frame_id end) as covered_frames from ck_boxr),
+      (select count(*) as truth, count(distinct frame_id) as positive_frames from fx_truth_boxes), ck_dur""",
+    "duration_s precision recall coverage fp_per_minute",
+)
 def a27(t):
     return E.detection_metrics(E.match_boxes(t.boxes, t.truth_boxes), t.truth_boxes, E.merged_duration(_clips(t)))
 
 
-@query("a27_side_metrics")
+@query(
+    "a27_side_metrics",
+    """select *, true_positives / truth as recall, covered_frames / positive_frames as coverage from (select side, count(*) as truth, count(b.truth_id) as true_positives, count(distinct g.frame_id) as positive_frames,
+      count(distinct case when b.truth_id is not null then g.frame_id end) as covered_frames from fx_truth_boxes g left join (select distinct frame_id, truth_id from ck_boxr) b on b.frame_id = g.frame_id and b.truth_id = g.truth_id
+    where side in ('near', 'far') group by 1)""",
+    "recall coverage",
+)
 def a27s(t):
     return E.side_metrics(E.match_boxes(t.boxes, t.truth_boxes), t.truth_boxes)
 
@@ -501,7 +535,16 @@ def a28(t):
     return E.merged_duration(_clips(t))
 
 
-@query("a29_strategy_comparison")
+SHARED["ck_boxopt5"] = SHARED["ck_boxopt"].replace("p.box_id = d.box_id group by", "p.box_id = d.box_id where d.confidence >= 5e-1 group by")
+SHARED["ck_boxm5"] = SHARED["ck_boxm"].replace("ck_boxopt", "ck_boxopt5")
+
+
+@query(
+    "a29_strategy_comparison",
+    """select *, true_positives / predicted as precision, covered_frames / frames as coverage from (select strategy, count(*) as predicted, count(m.got.t) as true_positives, count(distinct frame_id) as frames,
+      count(distinct case when m.got.t is not null then frame_id end) as covered_frames from (select 'full' as strategy, * from ck_boxm union all select 'confident', * from ck_boxm5) group by 1)""",
+    "precision coverage",
+)
 def a29(t):
     full = E.match_boxes(t.boxes, t.truth_boxes).withColumn("strategy", F.lit("full"))
     strict = E.match_boxes(t.boxes.filter("confidence >= 0.5"), t.truth_boxes).withColumn("strategy", F.lit("confident"))

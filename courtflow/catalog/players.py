@@ -304,13 +304,44 @@ def hitters_of(t, contacts):
     return HT.identify(contacts, players_at(t, contacts), V)
 
 
-@query("f14_hitters")
+# One step of the walk over contacts: score with the hitter before, decide, carry on.
+SHARED["ck_hin"] = """
+select c.match_id, c.frame, c.t_s, c.visual, c.rally_id, list({'role': s.role, 'side': p.side, 'base': s.base_score, 'near': p.inside or p.distance_px / DIAG <= 12e-2, 'tr': p.tracking_confidence} order by s.role) as ps
+from ck_cn c join ck_pscore s on s.match_id = c.match_id and s.frame = c.frame join ck_players p on p.match_id = s.match_id and p.frame = s.frame and p.role = s.role group by 1, 2, 3, 4, 5
+""".replace("DIAG", D)
+_NONE = "'id': cast(null as varchar), 'conf': cast(null as double), 'side': cast(null as varchar), 'best': cast(null as double), 'margin': cast(null as double), 'used': false, 'ps': cast(null as varchar), 'pt': cast(null as double), 'pr': cast(null as bigint)"
+_IN = "'f': frame, 't': t_s, 'v': visual, 'r': rally_id, 'p': ps"
+_SCORED = """list_sort(list_transform(x[1].p, lambda p: {'n': -least(1e0, greatest(0e0, p.base + 1e-1 * case when use.u and use.a.ps is not null then case when p.side <> use.a.ps then 1e0 else 0e0 end else 5e-1 end)), 'role': p.role, 'side': p.side, 'near': p.near, 'tr': p.tr}))"""
+_DECIDE = """{'f': x[1].f, 't': x[1].t, 'v': x[1].v, 'r': x[1].r, 'p': x[1].p, 'id': case when d.sure then d.s[1].role else 'UNKNOWN' end,
+  'conf': case when d.sure then -d.s[1].n else 1 - least(1e0, greatest(0e0, least(x[1].v / 78e-2, -d.s[1].n / 62e-2, d.m / 8e-2, d.s[1].tr / 45e-2, case when d.s[1].near then 1e0 else 0e0 end))) end,
+  'side': case when d.sure then d.s[1].side end, 'best': -d.s[1].n, 'margin': d.m, 'used': d.u,
+  'ps': case when x[1].v < 78e-2 then d.a.ps when d.sure and -d.s[1].n >= 7e-1 then d.s[1].side end, 'pt': case when x[1].v < 78e-2 then d.a.pt when d.sure and -d.s[1].n >= 7e-1 then x[1].t end,
+  'pr': case when x[1].v < 78e-2 then d.a.pr when d.sure and -d.s[1].n >= 7e-1 then x[1].r end}"""
+_SURE = "{'s': s.s, 'm': s.s[2].n - s.s[1].n, 'u': s.u, 'a': s.a, 'sure': x[1].v >= 78e-2 and s.s[1].near and s.s[1].tr >= 45e-2 and -s.s[1].n >= 62e-2 and s.s[2].n - s.s[1].n >= 8e-2}"
+SHARED["ck_hwalk"] = f"""
+select match_id, unnest(kept[2:]) as h from (select match_id, list_reduce(list_prepend([{{'f': cast(-1 as bigint), 't': cast(-1 as double), 'v': cast(0 as double), 'r': cast(null as bigint), 'p': any_value(ps)[1:0], {_NONE}}}], list([{{{_IN}, {_NONE}}}] order by frame)),
+  lambda acc, x: list_concat(acc, list_transform(list_transform(list_transform([{{'a': acc[len(acc)], 'u': acc[len(acc)].pt is not null and x[1].t - acc[len(acc)].pt <= 4 and x[1].r = acc[len(acc)].pr}}],
+     lambda use: {{'s': {_SCORED}, 'u': use.u, 'a': use.a}}), lambda s: {_SURE}), lambda d: {_DECIDE}))) as kept from ck_hin group by 1)
+"""
+
+
+@query(
+    "f14_hitters",
+    "select match_id, h.f as frame, h.t as t_s, h.v as visual, h.r as rally_id, h.id as hitter_id, h.conf as hitter_confidence, h.side as hitter_side, h.best as best_score, h.margin as margin, h.used as context_used, cast(case when h.id = 'UNKNOWN' then 4 else 3 end as bigint) as alternatives from ck_hwalk",
+    "t_s visual hitter_confidence best_score margin",
+)
 def f14(t):
     out = hitters_of(t, plain_contacts(t))
     return out.withColumn("alternatives", F.size("alternatives").cast("bigint"))
 
 
-@query("a17_hitter_statistics")
+@query(
+    "a17_hitter_statistics",
+    "select match_id, count(*) as contacts, count(*) filter (where h.id <> 'UNKNOWN') as assigned, count(*) filter (where h.id = 'UNKNOWN') as unknown, "
+    + ", ".join(f"count(*) filter (where h.id = '{r}') as {r}" for r in C.ROLES)
+    + ", avg(h.conf) filter (where h.id <> 'UNKNOWN') as mean_assigned_confidence, count(*) filter (where h.id <> 'UNKNOWN') / count(*) as assignment_rate from ck_hwalk group by 1",
+    "mean_assigned_confidence assignment_rate",
+)
 def a17_hitters(t):
     return HT.statistics(hitters_of(t, plain_contacts(t)))
 
@@ -493,13 +524,56 @@ def sample_blocks(t, block: int = 100):
     return ordered.select("match_id", "block_ix", F.array(F.transform("s", lambda v: v["a"]), F.transform("s", lambda v: v["b"])).alias("channels"))
 
 
-@query("f17_audio_windows")
+SHARED["ck_smp"] = f"""
+select cast(floor(event_id / 1000) as bigint) as match_id, event_id % 1000 as n, value / 400 * sin(event_id * 17e-1) as a, (cast(regexp_extract(props, '([0-9]+)', 1) as bigint) - 50) / 100e0 as b from events
+"""
+SHARED["ck_cut"] = "select w.st, s.match_id, s.n - w.st as i, s.a, s.b from ck_smp s join (select unnest(list_distinct(range(0, 969, 10) || [968])) as st) w on s.n >= w.st and s.n < w.st + 32"
+SHARED["ck_dft"] = """
+select match_id, st, k, sqrt(((pow(sum(a * h * cos(2 * pi() * k * i / 32)), 2) + pow(sum(a * h * sin(2 * pi() * k * i / 32)), 2)) + (pow(sum(b * h * cos(2 * pi() * k * i / 32)), 2) + pow(sum(b * h * sin(2 * pi() * k * i / 32)), 2))) / 2) as mag
+from (select *, 5e-1 - 5e-1 * cos(2 * pi() * i / 31) as h from ck_cut) cross join (select unnest(range(0, 17)) as k) group by 1, 2, 3
+"""
+SHARED["ck_spec"] = """
+select match_id, st, sum(k * 3125e-2 * mag * mag) / sum(mag * mag) as centroid_hz, arg_max(k, mag) filter (where k > 0) * 3125e-2 as dominant_hz,
+  sum(mag * mag) filter (where k * 3125e-2 < 500) / sum(mag * mag) as low, coalesce(sum(mag * mag) filter (where k * 3125e-2 >= 500), 0) / sum(mag * mag) as mid from ck_dft group by 1, 2
+"""
+SHARED["ck_amp"] = """
+select match_id, st, max(greatest(abs(a), abs(b))) as peak, sqrt(sum(a * a + b * b) / 64) as rms, st + arg_max(i, [greatest(abs(a), abs(b)), -i]) as peak_sample,
+  count(*) filter (where neg <> pneg) / 31 as zero_crossing from (select *, (a + b) / 2 < 0 as neg, lag((a + b) / 2 < 0) over (partition by match_id, st order by i) as pneg from ck_cut) group by 1, 2
+"""
+
+
+@query(
+    "f17_audio_windows",
+    "select a.match_id, a.st as start, a.peak_sample, a.peak, a.rms, centroid_hz, dominant_hz, low, mid, greatest(0, 1 - low - mid) as high, zero_crossing from ck_amp a join ck_spec s on s.match_id = a.match_id and s.st = a.st",
+    "peak rms centroid_hz dominant_hz low mid high zero_crossing",
+)
 def f17(t):
     out = A.spectra(A.cut_windows(sample_blocks(t), 100, 1000), 1000)
     return out.drop("spectrum", "channel_peak", "channel_rms", "channel_spectra")
 
 
-@query("f17_audio_analysis")
+SHARED["ck_flux"] = """
+select match_id, st, sqrt(avg(power(greatest(l - p, 0), 2))) as onset from (select match_id, st, ln(1 + mag) as l, coalesce(lag(ln(1 + mag)) over (partition by match_id, k order by st), 1e9) as p from ck_dft) group by 1, 2
+"""
+SHARED["ck_fz"] = """
+select *, (onset - baseline) / scale as z from (select *, greatest(14826e-4 * median(abs(onset - baseline)) over (partition by match_id), 1e-6) as scale from (select *, median(onset) over (partition by match_id) as baseline from ck_flux))
+"""
+SHARED["ck_fpk"] = """
+select z.*, a.peak_sample, a.peak from (select *, lag(z) over w as pz, lead(z) over w as nz from ck_fz window w as (partition by match_id order by st)) z join ck_amp a on a.match_id = z.match_id and a.st = z.st
+where pz is not null and z >= 2 and z >= pz and (nz is null or z > nz)
+"""
+SHARED["ck_fkept"] = """
+select match_id, unnest(kept) as k from (select match_id, list_reduce(list([{'st': st, 'p': peak_sample}] order by z desc, peak_sample),
+ lambda acc, x: case when len(list_filter(acc, lambda a: abs(a.p - x[1].p) < 80)) > 0 then acc else list_concat(acc, x) end) as kept from ck_fpk group by 1)
+"""
+
+
+@query(
+    "f17_audio_analysis",
+    """select p.match_id, p.st as start, p.peak_sample, p.onset, p.z, least(1e0, 85e-2 * (5e-1 + 5e-1 * (1 - exp(-(z - 2) / 2))) + 15e-2 * least(1e0, peak * 4)) as confidence, p.peak_sample / 1000e0 as analysis_s
+    from ck_fpk p join ck_fkept k on k.match_id = p.match_id and k.k.st = p.st""",
+    "onset z confidence analysis_s",
+)
 def f17_all(t):
     s = C.AudioSettings(strength=2.0, low_hz=100.0, high_hz=300.0)
-    return A.analyse(sample_blocks(t), 100, 1000, s)
+    return A.analyse(sample_blocks(t), 100, 1000, s).select("match_id", "start", "peak_sample", "onset", "z", "confidence", "analysis_s")

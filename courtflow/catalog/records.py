@@ -663,7 +663,11 @@ def e19(t):
     return t.titles.select("match_id", F.array_join(roster(F.col("title")), ",").alias("names"))
 
 
-@query("e17_inference_tiles", None)
+@query(
+    "e17_inference_tiles",
+    "select match_id, y.i as row_ix, x.i as column_ix, x.v as tile_left, y.v as tile_top, x.v + 640 as tile_right, y.v + 640 as tile_bottom from ck_vid "
+    "cross join (select unnest([0, 1, 2, 3]) as i, unnest([0, 512, 1024, 1280]) as v) x cross join lateral (select unnest([0, 1]) as i, unnest([0, height - 640]) as v) y",
+)
 def e17(t):
     events = t.read("events")
     videos = t.spark.sql(VID, events=events)
@@ -699,7 +703,16 @@ def f1(t):
     return RG.kept_boxes(merged).select("frame_id", F.col("keeper_id").alias("box_id"))
 
 
-@query("e23_racket_features", None)
+SHARED["ck_rk"] = "select *, row_number() over (partition by l_orderkey order by m, v[1], v[2], v[11]) as rn from (select l_orderkey, (l_quantity * 20 + 2) as m, [l_quantity * 20 / 1920, l_extendedprice % 700 / 1080] || list_transform(range(1, 5), lambda i: 0e0) || [0e0, 0e0, 0e0, 0e0, 2e-1 + 8e0 * l_discount + (l_partkey % 97) / 1e5, 1e0] as v from lineitem)"
+
+
+@query(
+    "e23_racket_features",
+    """select coalesce(o_orderkey, k) as match_id, cast(0 as bigint) as frame, case when o_orderkey % 2 = 1 then o_totalprice / 300 / 1920 else 0 end as v0, case when o_orderkey % 2 = 1 then 500e0 / 1080 else 0 end as v1,
+      case when o_orderkey % 2 = 1 then 1e0 else 0 end as v2, 8e-1 as v3, coalesce(a[1], 0) as v4, coalesce(a[11], 0) as v14, coalesce(a[12], 0) as v15, coalesce(b[1], 0) as v16, coalesce(b[12], 0) as v27
+    from orders left join (select l_orderkey as k, any_value(v) filter (where rn = 1) as a, any_value(v) filter (where rn = 2) as b from ck_rk group by 1) r on r.k = o_orderkey""",
+    "v0 v1 v2 v3 v4 v14 v15 v16 v27",
+)
 def e23(t):
     rows = t.boxes.select(
         F.col("frame_id").alias("match_id"), F.lit(0).cast("bigint").alias("frame"), "box_id",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtflow import config as C
+from courtflow.functions.sequences import CHUNK_FRAMES, chunk_of
 from courtflow.operators import analytics as A
 from courtflow.operators import ball as B
 from courtflow.operators import events as X
@@ -39,8 +40,9 @@ class Inputs:
 class Stages:
     """Keeps each stage as a table, so a lost run picks up after the last whole one.
 
-    Rows are laid out by match and position ranges: files stay even when one match is
-    huge, and readers of one match skip the others by file statistics.
+    Rows are laid out by match and stretch of its timeline, in one shuffle and without
+    a sampling pass: a huge match spreads over many files, and sorted files let readers
+    of one match skip row groups by their statistics.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -56,7 +58,7 @@ class Stages:
         if not self._finished(path):
             df = build()
             if position:
-                df = df.repartitionByRange("match_id", position).sortWithinPartitions("match_id", position)
+                df = df.repartition("match_id", chunk_of(position, CHUNK_FRAMES)).sortWithinPartitions("match_id", position)
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
