@@ -266,6 +266,14 @@ def a15(t):
     return PL.tracking_summary(states_of(t), matches, 30.0)
 
 
+@query("s2_rows_with_boxes", "select c.match_id, c.role, c.frame, p.l, p.t, p.r_px as r, p.b from ck_chosen c join fx_persons p on p.match_id = c.match_id and p.detection_id = c.observation_id", "l t r b")
+def s2(t):
+    from courtflow.sources.artifacts import with_boxes
+
+    rows = states_of(t).select("match_id", "role", "frame", "observation_id")
+    return with_boxes(rows, t.persons.withColumnRenamed("r", "role_ix").withColumnRenamed("r_px", "r")).drop("observation_id")
+
+
 # --- hitters and shots ------------------------------------------------------
 
 CN = "select b.match_id, b.frame, b.t_s, b.x_px, b.y_px, 6e-1 + b.k / 251e0 as visual, cast(floor(b.frame / 250) as bigint) * 250 as rally_id, (b.k - 50) * 11e0 as by_, (47 - b.k) * 9e0 as ay from fx_ball b where b.frame % 37 = 5 and b.x_px is not null and b.frame % 250 < 160"
