@@ -95,3 +95,27 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from courtflow.llm.mixing import mix_sources
 
     return mix_sources(read(spark, folder, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM split
+), tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
+), shared AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS common
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (SELECT x, y FROM shared WHERE 100 * common >= 80 * (nx + ny - common)
+), sym AS (SELECT x, y FROM links UNION SELECT y, x FROM links
+), reach(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT s.y, r.root FROM reach r JOIN sym s ON r.node = s.x)
+SELECT s.doc_id, len(s.s)::INT AS n_shingles, c.component_id FROM sets s
+JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY node) c ON c.node = s.doc_id
+"""
+
+
+@query("op8_ngram_join", OP8_SQL)
+def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    from courtflow.llm.ngram_join import link_components
+
+    return link_components(read(spark, folder, "documents"))
