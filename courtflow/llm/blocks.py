@@ -35,7 +35,8 @@ ANSWERS_SCHEMA = "block int, bucket int, answer binary"
 class Blocks:
     """``rows``: doc_id, text, tie, block and ``extra`` columns; ``count`` blocks of ``total`` bytes in all."""
 
-    def __init__(self, docs: DataFrame, extra: tuple[str, ...] = (), halo: bool = False, block_bytes: int = BLOCK_BYTES):
+    def __init__(self, docs: DataFrame, extra: tuple[str, ...] = (), halo: bool = False, block_bytes: int | None = None):
+        block_bytes = block_bytes or BLOCK_BYTES
         sized = docs.select("doc_id", F.xxhash64("text").alias("tie"), (n_bytes() + F.lit(64)).alias("size"))
         placed, self.total = prefix_sums(sized, ["doc_id", "tie"], "size")
         firsts = (

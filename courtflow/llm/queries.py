@@ -119,3 +119,11 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     from courtflow.llm.ngram_join import link_components
 
     return link_components(read(spark, folder, "documents"))
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from courtflow.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(read(spark, folder, "documents"), with_kept=False)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
