@@ -132,3 +132,18 @@ def distinct_per_text(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray
             keep[a + 1 : b] = out[a + 1 : b] != out[a : b - 1]
     counted = np.concatenate([[0], np.cumsum(keep)])
     return out[keep], counted[first]
+
+
+#: Text bytes that one piece of a batch holds, unless a single text is longer.
+PIECE_BYTES = 2 << 20
+
+
+def pieces(batches, column: str):
+    """Batches cut into runs of rows of about ``PIECE_BYTES`` text each."""
+    for batch in batches:
+        _, offsets = text_bytes(batch.column(column))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE_BYTES, "right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
