@@ -159,3 +159,13 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items_digest().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from courtflow.llm.language_id import identify, learn, remainder
+
+    docs = read(spark, folder, "documents")
+    prototypes = learn(docs.where(remainder(3) != 1))
+    held = docs.select("doc_id", "text", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"))
+    return identify(held, prototypes, ["doc_id", "held_out"])
