@@ -169,3 +169,10 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     prototypes = learn(docs.where(remainder(3) != 1))
     held = docs.select("doc_id", "text", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"))
     return identify(held, prototypes, ["doc_id", "held_out"])
+
+
+@query("op6_fingerprints")
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from courtflow.llm.fingerprints import compare_with_edits
+
+    return compare_with_edits(read(spark, folder, "documents"))
