@@ -176,3 +176,14 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     from courtflow.llm.fingerprints import compare_with_edits
 
     return compare_with_edits(read(spark, folder, "documents"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from courtflow.llm.language_id import remainder
+    from courtflow.llm.toxicity import learn, score
+
+    docs = read(spark, folder, "documents")
+    model = learn(docs.select("doc_id", "text"), read(spark, folder, "labels").where(remainder(4) != 2))
+    held = docs.select("doc_id", "text", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"))
+    return score(held, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
