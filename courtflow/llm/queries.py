@@ -187,3 +187,18 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = learn(docs.select("doc_id", "text"), read(spark, folder, "labels").where(remainder(4) != 2))
     held = docs.select("doc_id", "text", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"))
     return score(held, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+OP3_SQL = """
+WITH payloads AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), heads AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS head FROM payloads)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to FROM heads
+"""
+
+
+@query("op3_warc", OP3_SQL)
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from courtflow.llm.warc import archive_and_read
+
+    return archive_and_read(read(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
