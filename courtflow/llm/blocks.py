@@ -107,7 +107,7 @@ def ask(keys: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarray |
         parts = [unpacked(k, width) for k in pdf["keys"]]
         sizes = np.array([len(p) for p in parts])
         more = None if pdf["more"].isna().any() else np.concatenate([np.frombuffer(m, np.uint8) for m in pdf["more"]])
-        got = answer(np.concatenate(parts), np.repeat(pdf["block"].to_numpy(), sizes), more).astype(np.uint8)
+        got = answer(np.concatenate(parts), np.repeat(pdf["block"].to_numpy(np.int64), sizes), more).astype(np.uint8)
         ends = np.cumsum(sizes)
         return pd.DataFrame({
             "block": pdf["block"].to_numpy(), "bucket": pdf["bucket"].to_numpy(),

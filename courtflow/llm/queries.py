@@ -202,3 +202,10 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     from courtflow.llm.warc import archive_and_read
 
     return archive_and_read(read(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_line_dedup")
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from courtflow.llm.line_dedup import remove_similar_lines
+
+    return remove_similar_lines(read(spark, folder, "documents"), with_kept=False)
