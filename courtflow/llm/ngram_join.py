@@ -10,9 +10,12 @@ of every order before they are verified exactly.
 
 Groups of copies would make quadratically many pairs.  Rows of equal text are one
 node from the start.  Nodes that agree in their first shingles under two hash
-orders are compared with one leader first, and what is linked to it is one class.
-The join then pairs nodes of different classes only, which is all that components
-need.
+orders are compared with one leader first, the one with the least shingles of its
+own, and what is linked to it is one class; a second round has other leaders.  The
+join then pairs nodes of different classes only, which is all that components
+need.  It puts out a pair only if the shingles that one has and the other lacks
+can be few enough: those of one document, and the bits in which parity maps of the
+others differ, are a lower bound of their number.
 
 Documents' frequencies are looked up block by block (see ``blocks``): only keys
 and one byte per key are shuffled, and texts once.
@@ -34,7 +37,9 @@ SIMILARITY = (4, 5)  # 0.8 as a fraction
 SHINGLE = 5
 #: Hash orders whose first shingles choose leaders, two to a band.
 BANDS = 4
-SETS_SCHEMA = "doc_id long, node long, n int, tokens binary, first array<long>, second array<long>, third array<long>"
+#: Bits of the parity map of a node's shared shingles.
+MAP_BITS = 512
+SETS_SCHEMA = "doc_id long, node long, n int, own int, tokens binary, first array<long>, second array<long>, third array<long>, map array<long>"
 
 
 def shingle_sets(text, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +98,7 @@ def token_sets(docs: DataFrame) -> DataFrame:
         left = np.diff(shared) - -(-up * n // down) + 1  # of the prefix, behind the document's own shingles
         nodes = table.column("tie").to_pylist()
         seen: set[int] = set()
-        tokens, prefixes = [None] * len(n), ([None] * len(n), [None] * len(n), [None] * len(n))
+        tokens, prefixes, maps = [None] * len(n), ([None] * len(n), [None] * len(n), [None] * len(n)), [None] * len(n)
         for i in np.flatnonzero((left > 0) & (n > 0)).tolist():
             if nodes[i] in seen:
                 continue
@@ -101,13 +106,15 @@ def token_sets(docs: DataFrame) -> DataFrame:
             own, ranks = values[bounds[i] : bounds[i + 1]], rank[bounds[i] : bounds[i + 1]]
             own, ranks = own[ranks > 0], ranks[ranks > 0]
             tokens[i] = own.tobytes()
+            maps[i] = _longs(np.packbits((np.bincount(own % np.uint64(MAP_BITS), minlength=MAP_BITS) % 2).astype(bool)).view(np.uint64))
             prefixes[0][i] = _longs(own[np.lexsort((own, ranks))[: left[i]]])
             for k in (1, 2):
                 prefixes[k][i] = _longs(own[np.argsort(_order(own, k))[: left[i]]])
         longs = pa.list_(pa.int64())
         return pa.table({
-            "doc_id": table.column("doc_id"), "node": table.column("tie"), "n": pa.array(n, pa.int32()), "tokens": pa.array(tokens, pa.binary()),
+            "doc_id": table.column("doc_id"), "node": table.column("tie"), "n": pa.array(n, pa.int32()), "own": pa.array(n - np.diff(shared), pa.int32()), "tokens": pa.array(tokens, pa.binary()),
             "first": pa.array(prefixes[0], longs), "second": pa.array(prefixes[1], longs), "third": pa.array(prefixes[2], longs),
+            "map": pa.array(maps, longs),
         })
 
     return blocks.rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(use, SETS_SCHEMA)
@@ -130,8 +137,8 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "na", "ta", "b", "nb", "tb").mapInArrow(check, "a long, b long")
 
 
-def _leaders(nodes: DataFrame) -> DataFrame:
-    """Pairs of a node and the leader of each band in which it agrees with others."""
+def _band_keys(nodes: DataFrame) -> DataFrame:
+    """node and key of every band: nodes with a key have the first two shingles of two orders in common."""
 
     def bands(batches):
         for batch in batches:
@@ -140,30 +147,42 @@ def _leaders(nodes: DataFrame) -> DataFrame:
                 own = np.frombuffer(data, np.uint64)
                 least = [int(_order(own, 10 + k).min()) for k in range(2 * BANDS)]
                 keys.append(_longs(K.mix(np.array([(least[2 * b] * 3 + least[2 * b + 1] * 5 + b) % (1 << 64) for b in range(BANDS)], np.uint64))))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("own"), pa.array(keys, pa.list_(pa.int64()))], ["node", "own", "keys"])
 
-    keyed = nodes.select("node", "tokens").mapInArrow(bands, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    return keyed.join(heads, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    return nodes.select("node", "own", "tokens").mapInArrow(bands, "node long, own int, keys array<long>").select("node", "own", F.explode("keys").alias("key"))
+
+
+def _leader_pairs(keyed: DataFrame, rank: list[str]) -> DataFrame:
+    """Pairs of a node and the leader of each key, the node that is least by ``rank``; keys of one class make none."""
+    heads = keyed.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.struct(*rank)).alias("head"), F.min("root").alias("x"), F.max("root").alias("y"))
+    heads = heads.where("x <> y").select("key", F.col("head.node").alias("b"), F.col("head.root").alias("rb"))
+    return keyed.join(heads, "key").where("root <> rb").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    return rows.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _candidates(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of nodes of different classes that meet in the prefixes of all three orders and in size."""
+    """Pairs of nodes of different classes that meet in the prefixes of all three orders, in size and in their maps."""
     up, down = SIMILARITY
-    known = nodes.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    index = known.select("node", "root", "n", F.explode("first").alias("token"))
+    known = keep(_with_class(nodes.select("node", "n", "own", "map", "first"), classes))
+    index = known.select("node", "root", F.explode("first").alias("token"))
     # In a token's bucket every pair of classes has a node outside the largest class.
     mixed = (
         index.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
         .groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
         .where("roots > 1").select("token", "main")
     )
-    index = keep(index.join(mixed, "token"))
-    left = index.where("root <> main").select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    right = index.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "main")
-    fits = (F.col("na") * up <= F.col("nb") * down) & (F.col("nb") * up <= F.col("na") * down)
-    pairs = left.join(right, "token").where((F.col("ra") != F.col("rb")) & fits & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    index = keep(index.join(mixed, "token").select("token", "node", "main").join(known.drop("first"), "node"))
+    left = index.where("root <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "own", "map")])
+    right = index.select("token", "main", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "own", "map")])
+    sizes = (F.col("n_a") * up <= F.col("n_b") * down) & (F.col("n_b") * up <= F.col("n_a") * down)
+    apart = F.col("own_a") + F.col("own_b") + sum((F.bit_count(F.col("map_a")[k].bitwiseXOR(F.col("map_b")[k])) for k in range(MAP_BITS // 64)), F.lit(0))
+    near = apart * (down + up) <= (F.col("n_a") + F.col("n_b")) * (down - up)
+    once = (F.col("root_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
+    pairs = left.join(right, "token").where((F.col("root_a") != F.col("root_b")) & sizes & once & near)
+    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     one = nodes.select(F.col("node").alias("a"), F.col("second").alias("sa"), F.col("third").alias("ta"))
     two = nodes.select(F.col("node").alias("b"), F.col("second").alias("sb"), F.col("third").alias("tb"))
     return pairs.join(one, "a").join(two, "b").where(F.arrays_overlap("sa", "sb") & F.arrays_overlap("ta", "tb")).select("a", "b")
@@ -180,7 +199,11 @@ def link_components(docs: DataFrame) -> DataFrame:
     """
     sets = keep(token_sets(docs))
     nodes = keep(sets.where("tokens IS NOT NULL").drop("doc_id").dropDuplicates(["node"]))
-    near = keep(verified(_leaders(nodes), nodes))
+    keyed = keep(_band_keys(nodes))
+    near = keep(verified(_leader_pairs(keyed.withColumn("root", F.col("node")), ["own", "node"]), nodes))
+    classes = keep(components(near))
+    other = keyed.withColumn("draw", F.xxhash64("node", "key"))
+    near = keep(near.union(verified(_leader_pairs(_with_class(other, classes), ["draw"]), nodes)))
     classes = keep(components(near))
     more = verified(_candidates(nodes, classes), nodes)
     roots = components(near.union(more))
