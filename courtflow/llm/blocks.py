@@ -81,7 +81,7 @@ def unpacked(data: bytes, width: int) -> np.ndarray:
 
 
 def send_keys(block: int, keys: np.ndarray, space: int, bits: int, more: np.ndarray | None = None) -> list[dict]:
-    """Rows for ``KEYS_SCHEMA``: sorted distinct keys below 2**``space``, cut by their leading ``bits``."""
+    """Rows for ``KEYS_SCHEMA``: sorted keys below 2**``space``, cut by their leading ``bits``."""
     width = (space - bits + 7) // 8
     cuts = np.searchsorted(keys >> np.uint64(space - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     return [
@@ -95,10 +95,11 @@ def keys_table(rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("more", pa.binary())]))
 
 
-def ask(keys: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarray | None], np.ndarray], space: int, bits: int) -> DataFrame:
+def ask(keys: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarray | None], np.ndarray], space: int, bits: int, kind: type = np.uint8) -> DataFrame:
     """Answer the keys of all blocks: ``answer(keys, block of each, more)`` gives one byte for each key of one bucket.
 
-    Keys come without their leading ``bits``, which are those of the bucket, or with some of them.
+    Keys come without their leading ``bits``, which are those of the bucket, or
+    with some of them; ``kind`` is the type of what was sent with each key.
     """
     width = (space - bits + 7) // 8
 
@@ -106,7 +107,7 @@ def ask(keys: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarray |
         pdf = pdf.sort_values("block")
         parts = [unpacked(k, width) for k in pdf["keys"]]
         sizes = np.array([len(p) for p in parts])
-        more = None if pdf["more"].isna().any() else np.concatenate([np.frombuffer(m, np.uint8) for m in pdf["more"]])
+        more = None if pdf["more"].isna().any() else np.concatenate([np.frombuffer(m, kind) for m in pdf["more"]])
         got = answer(np.concatenate(parts), np.repeat(pdf["block"].to_numpy(np.int64), sizes), more).astype(np.uint8)
         ends = np.cumsum(sizes)
         return pd.DataFrame({
