@@ -24,6 +24,8 @@ from courtflow.llm.blocks import Blocks, in_order
 SAMPLES = 64
 #: Texts whose words are sampled together, so that their arrays stay in the cache.
 GROUP = 64
+#: Characters of texts that are worked on together, besides as much again of edited texts.
+PIECE = 1 << 20
 
 
 def weighted_words(text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,17 +126,28 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         if not texts:  # only a guest: another block holds its own row
             return pa.Table.from_pydict({f: [] for f in names}, schema=kind)
         texts.append(next((t or "" for t in in_order(guests).column("text").to_pylist()), texts[0]))
+        ids, parts, a = own.column("doc_id").combine_chunks(), [], 0
+        while a < len(texts) - 1:
+            b, size = a + 1, len(texts[a])
+            while b < len(texts) - 1 and size < PIECE:
+                size += len(texts[b])
+                b += 1
+            parts.append(pa.Table.from_arrays([ids.slice(a, b - a), *of_texts(texts[a : b + 1])], schema=kind))
+            a = b
+        return pa.concat_tables(parts)
+
+    def of_texts(texts: list[str]) -> list[pa.Array]:
+        """Columns of all texts but the last, which only follows."""
         changed = [edited(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
         m = len(changed)
         prints = signatures(pa.array(texts + changed))
         empty = np.array([not t.strip(" \t\n\v\f\r") for t in texts + changed])
         mine, after, other = slice(0, m), slice(1, m + 1), slice(m + 1, None)
         shown = as_text(prints)
-        return pa.Table.from_arrays([
-            own.column("doc_id").combine_chunks(), pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
-            pa.array(shown[mine]), pa.array(shown[other]),
+        return [
+            pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]), pa.array(shown[mine]), pa.array(shown[other]),
             pa.array(likeness(prints[mine], prints[other], empty[mine], empty[other])), pa.array(likeness(prints[mine], prints[after], empty[mine], empty[after])),
-        ], schema=kind)
+        ]
 
     kind = pa.schema([
         ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
