@@ -119,7 +119,7 @@ def document_hits(docs: DataFrame, table: np.ndarray, lengths: list[int]) -> Dat
                 [batch.column("row"), batch.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(hits, kind)], ["row", "doc_id", "n_words", "hits"]
             )
 
-    return docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(of_documents, HITS)
+    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(of_documents, HITS)
 
 
 def occurrences(hits: DataFrame, prints: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are runs of ASCII letters and digits and of other code points, with A to
     Z lower-cased.  A window is ``SPAN`` consecutive words of an item, or all of a
-    shorter one.  Returns doc_id, n_words, n_hit, spans (hit runs in words), items
+    shorter one.  Returns row (a hash of doc_id and text), doc_id, n_words, n_hit, spans (hit runs in words), items
     (ids with a window in the document, ordered as strings).  Null and wordless
     texts have no words and no hits, such items no windows; items without id are
     left out, and rows of equal doc_id and text are told apart only by what they
@@ -177,7 +177,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     found = found.withColumn("spans", merged).withColumn("n_hit", n_hit).drop("runs")
     return hits.select("row", "doc_id", "n_words").join(found, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans",
     )
 
@@ -185,3 +185,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def items_digest(items: str = "items"):
     """SHA-256 of the ids, comma-joined."""
     return F.sha2(F.concat_ws(",", items), 256)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those that have a word in an occurrence of a benchmark window."""
+    hit = contamination(docs, benchmark).where("n_hit > 0").select(F.col("row").alias("_row"))
+    return docs.join(hit, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == F.col("_row"), "left_anti")

@@ -25,6 +25,8 @@ from courtflow.llm import kernels as K
 
 DIMENSIONS = 512
 UNKNOWN = "und"
+#: A text of so many trigrams is in none of the learned languages if its cosine is below the floor.
+ENOUGH, FLOOR = 50, 0.15
 
 
 @lru_cache(1)
@@ -125,7 +127,7 @@ def learn(labelled: DataFrame) -> Prototypes:
 
 
 def identify(docs: DataFrame, prototypes: Prototypes, carry: list[str]) -> DataFrame:
-    """``carry`` columns of every row with lang_pred and score, the largest cosine (0 to 1, six digits).
+    """``carry`` columns of every row with lang_pred, score (the largest cosine, 0 to 1, six digits) and trigrams (their number).
 
     Whole texts are used.  Null texts and texts without letters get ``und`` and 0,
     as do all rows if nothing was learned.
@@ -133,7 +135,7 @@ def identify(docs: DataFrame, prototypes: Prototypes, carry: list[str]) -> DataF
 
     def of_batches(batches):
         for batch in K.pieces(batches, "_text"):
-            langs, scores = [], []
+            langs, scores, sizes = [], [], []
             for counts, vectors in _piece_counts(batch.column("_text").to_pylist()):
                 bundled = (counts @ vectors).astype(np.float64)
                 norm = np.linalg.norm(bundled, axis=1)
@@ -143,16 +145,23 @@ def identify(docs: DataFrame, prototypes: Prototypes, carry: list[str]) -> DataF
                     score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
                 else:
                     best, score = np.zeros(len(counts), int), np.zeros(len(counts))
-                known = (counts.sum(axis=1) > 0) & bool(prototypes.langs)
+                trigrams = counts.sum(axis=1).astype(np.int64)
+                sizes += trigrams.tolist()
+                known = (trigrams > 0) & bool(prototypes.langs)
                 langs += [prototypes.langs[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist(), strict=True)]
                 scores += np.where(known, np.round(score, 6), 0.0).tolist()
             columns = [batch.column(c) for c in carry]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], [*carry, "lang_pred", "score", "trigrams"])
 
-    schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double").add("trigrams", "long")
     return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(of_batches, schema)
 
 
+def rejected():
+    """Whether a row of ``identify`` is in none of the learned languages: without letters, or long and unlike all of them."""
+    return (F.col("lang_pred") == UNKNOWN) | ((F.col("trigrams") >= ENOUGH) & (F.col("score") < FLOOR))
+
+
 def remainder(modulus: int, of: str = "doc_id"):
     """crc32 of an id as text modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(of).cast("string").cast("binary")) % modulus

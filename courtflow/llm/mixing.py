@@ -78,25 +78,18 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return budgets.join(found, "key", "left").select("key", F.coalesce("below", F.lit(1 << top)).alias("below"))
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """How many words of each document a mix by source weights takes, repeats counted.
-
-    Sizes are words separated by ASCII white space (null text: none).  Returns
-    doc_id, source, size, source_size, target (of the source), passes (times the
-    document is taken) and taken.  No document is taken more than ``cap`` times.
-    Null is a source of its own, the last.  The hash comes from doc_id and source
-    alone; rows that share both are taken or left together.  An empty table gives
-    no rows, and a source without words has target 0.
-    """
-    rows = keep(
-        docs.select(
-            "doc_id",
-            "source",
-            F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("key"),
-            word_count().alias("size"),
-            F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")))), 1, 12), 16, 10).cast("long").alias("hash"),
-        )
+def _marked(docs: DataFrame, *columns) -> DataFrame:
+    """``columns`` with key (sorts null last) and hash of every row."""
+    identity = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")))
+    return docs.select(
+        *columns,
+        F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("key"),
+        F.conv(F.substring(F.md5(identity), 1, 12), 16, 10).cast("long").alias("hash"),
     )
+
+
+def _plan(rows: DataFrame, share: float, cap: int, weights: tuple[int, ...]) -> DataFrame:
+    """One row per source: key, source_size, target, full (passes of all its rows), below (hashes that are taken once more)."""
     sources = rows.groupBy("key").agg(F.sum("size").alias("source_size"))
     targets = keep(
         water_filling(sources, share, float(cap), weights)
@@ -105,10 +98,31 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
     )
     cuts = thresholds(rows, targets.select("key", "budget"))
     # A source that is already taken as often as allowed has nothing left to add.
-    per_source = targets.join(cuts, "key").select(
+    return targets.join(cuts, "key").select(
         "key", "source_size", "target", "full", F.when((F.col("budget") > 0) & (F.col("full") < cap), F.col("below")).otherwise(0).alias("below")
     )
+
+
+def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """How many words of each document a mix by source weights takes, repeats counted.
+
+    Sizes are words separated by ASCII white space (null text: none).  Returns
+    doc_id, source, size, source_size, target (of the source), passes (times the
+    document is taken) and taken.  No document is taken more than ``cap`` times.
+    Null is a source of its own, the last.  The hash comes from doc_id and source
+    alone; rows that share both are taken or left together.  An empty table gives
+    no rows, and a source without words has target 0.
+    """
+    rows = keep(_marked(docs, "doc_id", "source", word_count().alias("size")))
     passes = F.col("full") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
-    return rows.join(per_source, "key").select(
+    return rows.join(_plan(rows, share, cap, weights), "key").select(
         "doc_id", "source", "size", "source_size", "target", passes.alias("passes"), (F.col("size") * passes).alias("taken")
     )
+
+
+def take(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix_sources`` takes them; texts are not shuffled where the plan has few sources."""
+    plan = _plan(keep(_marked(docs, word_count().alias("size"))), share, cap, weights).select("key", "full", "below")
+    rows = _marked(docs, F.struct(*docs.columns).alias("whole")).join(plan, "key")
+    times = F.col("full") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
+    return rows.select("whole", F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("time")).select("whole.*")

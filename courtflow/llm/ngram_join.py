@@ -213,3 +213,17 @@ def link_components(docs: DataFrame) -> DataFrame:
     return sets.select("doc_id", "node", F.col("n").alias("n_shingles")).join(labels, "node").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those that have near copies with a smaller doc_id.
+
+    One row of each component stays, the one with the least doc_id (of rows that
+    share it, the one with the least hash of its values); texts without shingles
+    and rows without doc_id all stay.
+    """
+    labels = link_components(docs).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    # An id is a component's own if all of its rows lead there and none leads to a smaller one.
+    copies = labels.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).where("component_id < doc_id").select("doc_id")
+    left = docs.join(copies, "doc_id", "left_anti")
+    return left.select(*docs.columns)

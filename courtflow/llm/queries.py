@@ -168,7 +168,7 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     prototypes = learn(docs.where(remainder(3) != 1))
     held = docs.select("doc_id", "text", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"))
-    return identify(held, prototypes, ["doc_id", "held_out"])
+    return identify(held, prototypes, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
 @query("op6_fingerprints")

@@ -50,11 +50,11 @@ def prefix_sums(rows: DataFrame, order: list[str], size: str) -> tuple[DataFrame
     return placed, int(total)
 
 
-def shard_by_bytes(docs: DataFrame, shards: int) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int, tie: str | None = None) -> DataFrame:
     """Put every row into one of ``shards`` contiguous shards of near-equal bytes.
 
-    Rows stand in the order of doc_id (null first), then of a hash of their text,
-    so repeated rows are neighbours.  A row goes to the shard in which its middle
+    Rows stand in the order of doc_id (null first), then of a hash of their text
+    or of the column ``tie``, so repeated rows are neighbours.  A row goes to the shard in which its middle
     byte lies.  Returns doc_id, size (UTF-8 bytes of the text, none for null, plus
     8), text_crc32 (0 for null), shard and slot (place within the shard).  Shards
     may be empty where rows are few or very long; other columns are not read.
@@ -63,12 +63,25 @@ def shard_by_bytes(docs: DataFrame, shards: int) -> DataFrame:
         "doc_id",
         (n_bytes() + F.lit(ROW_BYTES)).alias("size"),
         F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64("text").alias("tie"),
+        (F.col(tie) if tie else F.xxhash64("text")).alias("tie"),
     )
     placed, total = prefix_sums(rows, ["doc_id", "tie"], "size")
     target = F.call_function("div", (F.col("start") * 2 + F.col("size")) * shards, F.lit(2 * max(total, 1)))
     cut = placed.withColumn("shard", F.least(F.lit(shards - 1), target).cast("int"))
     firsts = cut.groupBy("shard").agg(F.min("row").alias("first"))
     return cut.join(F.broadcast(firsts), "shard").select(  # one row per shard
-        "doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("first")).alias("slot")
+        "doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("first")).alias("slot"), *(["tie"] if tie else [])
     )
+
+
+def sharded(docs: DataFrame, shards: int) -> DataFrame:
+    """The rows of ``docs`` with shard and slot of ``shard_by_bytes``; whole rows are shuffled once.
+
+    Rows that are equal in all columns take the places of all of them.
+    """
+    whole = docs.select("doc_id", F.xxhash64(*docs.columns).alias("tie"), F.struct(*docs.columns).alias("whole"), "text")
+    places = shard_by_bytes(whole.select("doc_id", "text", F.col("tie").alias("mark")), shards, "mark")
+    places = places.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("shard", "slot")).alias("places"))  # as many as a row has repeats
+    one = whole.groupBy("doc_id", "tie").agg(F.first("whole").alias("whole")).alias("one")
+    same = F.col("one.doc_id").eqNullSafe(F.col("places.doc_id")) & (F.col("one.tie") == F.col("places.tie"))
+    return one.join(places.alias("places"), same).select("whole", F.explode("places.places").alias("place")).select("whole.*", "place.shard", "place.slot")
