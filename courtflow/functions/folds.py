@@ -16,22 +16,32 @@ import pickle
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from courtflow.functions.sequences import CHUNK, chunk_of
 from courtflow.session import cut_lineage
 
 
-def _columns(batch: pd.DataFrame, names: Sequence[str]) -> list[list[Any]]:
-    out = []
+def _rows(batch: pa.RecordBatch, names: Sequence[str]) -> list[tuple]:
+    """Values of some columns row by row; not-a-number counts as unknown."""
+    columns = []
     for name in names:
-        column = batch[name]
-        out.append(column.astype(object).where(column.notna(), None).tolist())
-    return out
+        column = batch.column(name)
+        values = column.to_pylist()
+        columns.append([None if v != v else v for v in values] if pa.types.is_floating(column.type) else values)
+    return list(zip(*columns, strict=True))
+
+
+def _appended(batch: pa.RecordBatch, results: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
+    """``batch`` untouched, with one more column for every field."""
+    columns = zip(*results, strict=True) if results else [()] * len(fields)
+    arrays = [pa.array(list(values), field.type) for values, field in zip(columns, fields, strict=True)]
+    return pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *fields.names])
 
 
 def sorted_fold(
@@ -44,35 +54,25 @@ def sorted_fold(
 ) -> DataFrame:
     """Append ``outputs`` computed by ``machine().step(*inputs)`` row by row.
 
-    A fresh machine starts at every new value of ``group``.
+    A fresh machine starts at every new value of ``group``. Other columns pass
+    through as they are.
     """
     group, inputs = list(group), list(inputs)
     added = T._parse_datatype_string(outputs)
-    schema = T.StructType([*df.schema.fields, *added.fields])
-    names = [f.name for f in added.fields]
+    fields = to_arrow_schema(added)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
         for batch in batches:
             results = []
-            for key, row in zip(zip(*_columns(batch, group)), zip(*_columns(batch, inputs))):
+            for key, row in zip(_rows(batch, group), _rows(batch, inputs), strict=True):
                 if key != current:
                     current, state = key, machine()
                 results.append(state.step(*row))
-            extra = pd.DataFrame(results, columns=names, index=batch.index, dtype=object)
-            for f in added.fields:
-                if isinstance(f.dataType, T.BooleanType):
-                    extra[f.name] = extra[f.name].astype(bool)
-            yield pd.concat([batch, extra], axis=1)
+            yield _appended(batch, results, fields)
 
     ordered = df.repartition(*group).sortWithinPartitions(*group, *order)
-    return ordered.mapInPandas(run, schema)
-
-
-class _Entries:
-    """Chunk entry states of one round."""
-
-    SCHEMA = "entry binary"
+    return ordered.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
 
 
 def state_fold(
@@ -89,73 +89,60 @@ def state_fold(
     """Run ``machine(state)`` along each timeline; see the module text.
 
     ``machine`` takes a plain picklable state (``None`` at the start), offers
-    ``step(*inputs)`` for a row and ``state()`` for what it carries on.
+    ``step(*inputs)`` for a row and ``state()`` for what it carries on. A later
+    round reads and writes only the chunks that run again; a table with one row
+    per chunk tells which round of a chunk holds.
     """
     keys, inputs = list(keys), list(inputs)
     added = T._parse_datatype_string(outputs)
     names = [f.name for f in added.fields]
     source = df.withColumn(CHUNK, chunk_of(position, size))
     base = source.schema.fields
-    schema = T.StructType(
-        [*base, *added.fields, T.StructField("_used", T.BinaryType()), T.StructField("_end", T.BinaryType())]
-    )
+    states = T.StructType([T.StructField("_used", T.BinaryType()), T.StructField("_end", T.BinaryType())])
+    schema = T.StructType([*base, *added.fields, *states.fields])
+    fields = to_arrow_schema(T.StructType([*added.fields, *states.fields]))
     group = [*keys, CHUNK]
+    columns = [f.name for f in base]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, used, held = None, None, None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, used = None, None, None
+        held, results = None, []  # the last batch waits until it is known whether its chunk goes on
 
-        def close(frame: pd.DataFrame | None, end: bytes | None) -> pd.DataFrame | None:
-            if frame is None:
-                return None
-            frame.iat[len(frame) - 1, frame.columns.get_loc("_end")] = end
-            return frame
+        def ended() -> None:
+            results[-1] = (*results[-1][:-1], pickle.dumps(state.state()))
 
         for batch in batches:
-            rows = list(zip(*_columns(batch, inputs)))
-            chunks = list(zip(*_columns(batch, group)))
-            entries = batch["_entry"].tolist()
-            results, starts, ends = [], [], []
-            boundary_end = None
-            for i, (key, row) in enumerate(zip(chunks, rows)):
+            if not batch.num_rows:
+                continue
+            fresh = []
+            for key, row, (entry,) in zip(_rows(batch, group), _rows(batch, inputs), _rows(batch, ["_entry"]), strict=True):
                 if key != current:
                     if current is not None:
-                        if i == 0:
-                            boundary_end = pickle.dumps(state.state())
+                        if fresh:
+                            fresh[-1] = (*fresh[-1][:-1], pickle.dumps(state.state()))
                         else:
-                            ends[i - 1] = pickle.dumps(state.state())
-                    current = key
-                    used = entries[i]
+                            ended()
+                    current, used = key, entry
                     state = machine(pickle.loads(used) if used else None)
-                results.append(state.step(*row))
-                starts.append(used)
-                ends.append(None)
+                fresh.append((*state.step(*row), used, None))
             if held is not None:
-                yield close(held, boundary_end)
-            if not rows:
-                held = None
-                continue
-            out = batch.drop(columns=["_entry"])
-            extra = pd.DataFrame(results, columns=names, index=batch.index, dtype=object)
-            for f in added.fields:
-                if isinstance(f.dataType, T.BooleanType):
-                    extra[f.name] = extra[f.name].astype(bool)
-            out = pd.concat([out, extra], axis=1)
-            out["_used"] = pd.Series(starts, index=batch.index, dtype=object)
-            out["_end"] = pd.Series(ends, index=batch.index, dtype=object)
-            held = out
+                yield _appended(held, results, fields)
+            held, results = batch.drop_columns(["_entry"]), fresh
         if held is not None:
-            yield close(held, pickle.dumps(state.state()))
+            ended()
+            yield _appended(held, results, fields)
 
     def one_round(rows: DataFrame) -> DataFrame:
         ordered = rows.repartition(*group).sortWithinPartitions(*group, position, *order)
-        return cut_lineage(ordered.mapInPandas(run, schema))
+        return cut_lineage(ordered.mapInArrow(run, schema))
 
-    result = one_round(source.withColumn("_entry", F.lit(None).cast("binary")))
-    rounds = 1
+    def ends_of(part: DataFrame, number: int) -> DataFrame:
+        ends = part.filter(F.col("_end").isNotNull()).groupBy(*group).agg(F.first("_end").alias("_end"), F.first("_used").alias("_used"))
+        return ends.withColumn("_round", F.lit(number))
+
+    parts = [one_round(source.withColumn("_entry", F.lit(None).cast("binary")))]
+    ends = cut_lineage(ends_of(parts[0], 0))
     while True:
-        ends = (
-            result.filter(F.col("_end").isNotNull()).groupBy(*group).agg(F.first("_end").alias("_end"), F.first("_used").alias("_used"))
-        )
         wanted = ends.withColumn("_want", F.lag("_end").over(W.partitionBy(*keys).orderBy(CHUNK)))
         stale = wanted.filter(F.col("_want").isNotNull() & ~F.col("_want").eqNullSafe(F.col("_used"))).select(
             *group, F.col("_want").alias("_entry")
@@ -163,15 +150,18 @@ def state_fold(
         stale = cut_lineage(stale)
         if stale.isEmpty():
             break
-        if max_rounds is not None and rounds >= max_rounds:
+        if max_rounds is not None and len(parts) >= max_rounds:
             raise RuntimeError("chunk states did not settle")
-        again = result.join(stale, group).drop(*names, "_used", "_end")
-        kept = result.join(stale.select(*group), group, "left_anti")
-        fields = [f.name for f in schema.fields]
-        redone = one_round(again.select(*[f.name for f in base], "_entry"))
-        result = cut_lineage(kept.select(*fields).unionByName(redone.select(*fields)))
-        rounds += 1
-    return result.drop(CHUNK, "_used", "_end")
+        parts.append(one_round(parts[0].select(*columns).join(stale, group).select(*columns, "_entry")))
+        redone = ends_of(parts[-1], len(parts) - 1)
+        ends = cut_lineage(ends.join(stale.select(*group), group, "left_anti").unionByName(redone))
+    result = None
+    for number, part in enumerate(parts):
+        held = part.select(*columns, *names) if len(parts) == 1 else part.select(*columns, *names).join(
+            ends.filter(F.col("_round") == number).select(*group), group, "left_semi"
+        )
+        result = held if result is None else result.unionByName(held)
+    return result.drop(CHUNK)
 
 
 class GreedyPairs:

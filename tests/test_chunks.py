@@ -155,3 +155,27 @@ def test_sample_exactly_is_whole_and_seeded(spark):
     one = rows_of(DS.sample_exactly(df, ["k"], 40, 7, "id"))
     assert len(one) == 120 and one == rows_of(DS.sample_exactly(df.repartition(5), ["k"], 40, 7, "id"))
     assert one != rows_of(DS.sample_exactly(df, ["k"], 40, 8, "id"))
+
+
+def test_folds_keep_large_ids_beside_nulls(spark):
+    from courtflow.functions.folds import sorted_fold, state_fold
+
+    class _Sum:
+        def __init__(self, state=None):
+            self.total = state or 0
+
+        def state(self):
+            return self.total
+
+        def step(self, value):
+            self.total += value or 0
+            return (self.total,)
+
+    ids = [2**53 + 1, None, 2**53 + 3, None, -(2**62) - 1]
+    df = spark.createDataFrame([(1, k, i, v) for k, (i, v) in enumerate(zip(ids, [5, None, 7, 2**53 + 1, 1]))], "match_id long, frame long, big long, value long")
+    want = [(i, t) for i, t in zip(ids, [5, 5, 12, 2**53 + 13, 2**53 + 14])]
+    for out in (
+        sorted_fold(df, ["match_id"], ["frame"], _Sum, ["value"], "total bigint"),
+        state_fold(df, ["match_id"], "frame", (), _Sum, ["value"], "total bigint", 2),
+    ):
+        assert [(r.big, r.total) for r in out.orderBy("frame").collect()] == want
