@@ -40,7 +40,7 @@ def a7(t):
     "a8_player_hits",
     """select g.match_id, g.player_id, coalesce(c.hits, 0) as hits, coalesce(c.classified, 0) as classified, g.shot_type,
       coalesce(n.n, 0) as n, case when c.classified > 0 then coalesce(n.n, 0) / c.classified end as rate
-    from (select distinct match_id, player_id, shot_type from fx_shots s
+    from (select distinct match_id, player_id, shot_type from fx_star_rallies s
             cross join (select unnest(['ME','PARTNER','OPPONENT_1','OPPONENT_2']) as player_id) cross join (select unnest(['DINK','DROP','DRIVE','VOLLEY','OVERHEAD']) as shot_type) k) g
     left join (select match_id, hitter_id, count(*) as hits, count(*) filter (where shot_type <> 'UNKNOWN') as classified from fx_shots group by 1, 2) c
       on c.match_id = g.match_id and c.hitter_id = g.player_id
@@ -49,20 +49,21 @@ def a7(t):
     "rate",
 )
 def a8(t):
-    return A.player_hits(t.shots)
+    return A.player_hits(t.shots, t.star_rallies)
 
 
 @query(
     "a9_third_shot_rates",
     """select *, case when classified > 0 then drops / classified end as drop_rate, case when classified > 0 then drives / classified end as drive_rate
-    from (select match_id, count(*) filter (where shot_index = 3) as third_shots,
+    from (select m.match_id, count(*) filter (where shot_index = 3) as third_shots,
       count(*) filter (where shot_index = 3 and shot_type <> 'UNKNOWN') as classified,
       count(*) filter (where shot_index = 3 and shot_type = 'DROP') as drops,
-      count(*) filter (where shot_index = 3 and shot_type = 'DRIVE') as drives from fx_shots group by 1)""",
+      count(*) filter (where shot_index = 3 and shot_type = 'DRIVE') as drives
+      from (select distinct match_id from fx_star_rallies) m left join fx_shots s on s.match_id = m.match_id group by 1)""",
     "drop_rate drive_rate",
 )
 def a9(t):
-    return A.third_shots(t.shots)
+    return A.third_shots(t.shots, t.star_rallies)
 
 
 SHARED["ck_zone_shots"] = f"""
@@ -74,8 +75,8 @@ select match_id, shot_type, case when hitter_x_m is not null and hitter_region i
     "a10_shot_selection",
     """select m.match_id, excluded_position, excluded_type, z.zone, k.shot_type, coalesce(n, 0) as n, coalesce(zt, 0) as zone_total,
       case when zt > 0 then coalesce(n, 0) / zt end as rate
-    from (select match_id, count(*) filter (where zone is null) as excluded_position, count(*) filter (where zone is not null and shot_type = 'UNKNOWN') as excluded_type
-          from ck_zone_shots group by 1) m
+    from (select r.match_id, count(shot_type) filter (where zone is null) as excluded_position, count(*) filter (where zone is not null and shot_type = 'UNKNOWN') as excluded_type
+          from (select distinct match_id from fx_star_rallies) r left join ck_zone_shots s on s.match_id = r.match_id group by 1) m
     cross join (select unnest(['kitchen','transitionZone','backcourt']) as zone) z
     cross join (select unnest(['SERVE','RETURN','DRIVE','DROP','DINK','VOLLEY','OVERHEAD','OTHER']) as shot_type) k
     left join (select match_id, zone, shot_type, count(*) as n from ck_zone_shots where shot_type <> 'UNKNOWN' group by 1, 2, 3) c
@@ -85,7 +86,7 @@ select match_id, shot_type, case when hitter_x_m is not null and hitter_region i
     "rate",
 )
 def a10(t):
-    return A.shot_selection(t.shots)
+    return A.shot_selection(t.shots, t.star_rallies)
 
 
 REACH = "9e-1"
@@ -145,7 +146,7 @@ def a11_rate(t):
 
 @query(
     "a12_data_quality",
-    "select r.match_id, mean_rally_confidence, unknown_hitters, unknown_types, mean_shot_confidence, mean_hitter_confidence from "
+    "select r.match_id, mean_rally_confidence, coalesce(unknown_hitters, 0) as unknown_hitters, coalesce(unknown_types, 0) as unknown_types, mean_shot_confidence, mean_hitter_confidence from "
     "(select match_id, avg(confidence) as mean_rally_confidence from fx_star_rallies group by 1) r left join "
     "(select match_id, count(*) filter (where hitter_id = 'UNKNOWN') as unknown_hitters, count(*) filter (where shot_type = 'UNKNOWN') as unknown_types, "
     "avg(confidence) as mean_shot_confidence, avg(hitter_confidence) filter (where hitter_id <> 'UNKNOWN') as mean_hitter_confidence from fx_shots group by 1) s "
@@ -178,7 +179,7 @@ def a12(t):
         "match_id",
         F.col("d.match.rally_count").alias("rally_count"),
         F.col("d.match.shot_count").alias("shot_count"),
-        F.coalesce(F.col("d.thirdShots.third_shots"), F.lit(0)).cast("bigint").alias("third"),
+        F.col("d.thirdShots.third_shots").alias("third"),
         total.alias("distance_m"),
     )
 

@@ -301,8 +301,8 @@ def eval_sql(score: str, accepted: str, tol: str, scope: str) -> str:
     return f"""select *, above - evaluated as ignored, evaluated - matched as false_events, truth - matched as missed,
       case when evaluated > 0 then matched / evaluated else 0 end as precision, case when truth > 0 then matched / truth else 0 end as recall,
       case when matched > 0 then 2 * (matched / evaluated) * (matched / truth) / (matched / evaluated + matched / truth) else 0 end as f1
-    from (select q.match_id, truth, coalesce(above, 0) as above, coalesce(evaluated, 0) as evaluated, coalesce(matched, 0) as matched, mean_signed_ms, mean_absolute_ms, max_absolute_ms
-    from (select match_id, count(*) as truth from fx_truth group by 1) q
+    from (select q.match_id, coalesce(truth, 0) as truth, coalesce(above, 0) as above, coalesce(evaluated, 0) as evaluated, coalesce(matched, 0) as matched, mean_signed_ms, mean_absolute_ms, max_absolute_ms
+    from (select match_id, sum(n) as truth from (select match_id, 1 as n from fx_truth union all select distinct match_id, 0 from fx_predicted) group by 1) q
     left join (select match_id, count(*) as above, count(*) filter (where {scope}) as evaluated from fx_predicted p where {strong} group by 1) n on n.match_id = q.match_id
     left join (select k.match_id, count(*) as matched, avg(p.t_s - u.t_s) * 1000 as mean_signed_ms, avg(k.m.d) * 1000 as mean_absolute_ms, max(k.m.d) * 1000 as max_absolute_ms
        from ({_pairs(score, strong + ' and ' + scope, tol)}) k join fx_predicted p on p.event_id = k.m.a join fx_truth u on u.event_id = k.m.b group by 1) m on m.match_id = q.match_id)"""
@@ -374,9 +374,9 @@ def j8(t):
 
 @query(
     "a24_rally_evaluation",
-    """select *, predicted - evaluated as ignored, evaluated - matched as false_rallies, annotated - matched as missed, case when evaluated > 0 then matched / evaluated else 0 end as precision, matched / annotated as recall from (
+    """select *, predicted - evaluated as ignored, evaluated - matched as false_rallies, annotated - matched as missed, case when evaluated > 0 then matched / evaluated else 0 end as precision, case when annotated > 0 then matched / annotated else 0 end as recall from (
     select a.match_id, annotated, coalesce(predicted, 0) as predicted, coalesce(evaluated, 0) as evaluated, coalesce(matched, 0) as matched, mean_iou, mean_start_s, mean_abs_start_s, max_abs_start_s, mean_end_s, mean_abs_end_s, max_abs_end_s
-    from (select match_id, count(*) as annotated from ck_arl group by 1) a left join (select match_id, count(*) as predicted from ck_prl group by 1) p on p.match_id = a.match_id
+    from (select match_id, sum(n) as annotated from (select match_id, 1 as n from ck_arl union all select distinct match_id, 0 from ck_prl) group by 1) a left join (select match_id, count(*) as predicted from ck_prl group by 1) p on p.match_id = a.match_id
     left join (select match_id, count(*) as evaluated from ck_rlscope group by 1) e on e.match_id = a.match_id
     left join (select match_id, count(*) as matched, avg(m.iou) as mean_iou, avg(m.se / 30e0) as mean_start_s, avg(abs(m.se) / 30e0) as mean_abs_start_s, max(abs(m.se) / 30e0) as max_abs_start_s,
        avg(m.ee / 30e0) as mean_end_s, avg(abs(m.ee) / 30e0) as mean_abs_end_s, max(abs(m.ee) / 30e0) as max_abs_end_s from ck_rlm group by 1) m on m.match_id = a.match_id)""",

@@ -254,8 +254,11 @@ def w15(t):
 
 @query(
     "a15_tracking_summary",
-    """select s.match_id, s.role, s.observed_frames, s.switches, s.reacquisitions, s.observed_frames / 100 as coverage, coalesce(g.n, 0) as missing_frames, g.st as missing_start, coalesce(g.n, 0) / 30e0 as missing_s
-    from (select match_id, role, count(*) as observed_frames, count(*) filter (where state = 'suspected_identity_switch') as switches, count(*) filter (where state = 'reacquired') as reacquisitions from ck_states group by 1, 2) s
+    """select s.match_id, s.role, s.observed_frames, s.switches, s.reacquisitions, s.observed_frames / 100 as coverage, case when observed_frames = 0 then 100 else coalesce(g.n, 0) end as missing_frames,
+      case when observed_frames = 0 then 0 else g.st end as missing_start, case when observed_frames = 0 then 100 else coalesce(g.n, 0) end / 30e0 as missing_s
+    from (select m.match_id, r.role, count(x.role) as observed_frames, count(*) filter (where state = 'suspected_identity_switch') as switches, count(*) filter (where state = 'reacquired') as reacquisitions
+      from (select distinct match_id from fx_persons) m cross join (select unnest(['ME', 'PARTNER', 'OPPONENT_1', 'OPPONENT_2']) as role) r
+      left join ck_states x on x.match_id = m.match_id and x.role = r.role group by 1, 2) s
     left join (select *, row_number() over (partition by match_id, role order by n desc, st) as rn from (
       select match_id, role, coalesce(pf, -1) + 1 as st, frame - coalesce(pf, -1) - 1 as n from ck_states where frame - coalesce(pf, -1) > 1
       union all select match_id, role, max(frame) + 1, 99 - max(frame) from ck_states group by 1, 2 having max(frame) < 99)) g on g.match_id = s.match_id and g.role = s.role and g.rn = 1""",

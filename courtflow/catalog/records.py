@@ -419,9 +419,9 @@ def d3(t):
     return DS.sample_exactly(_clip_frames(t), ["source_id"], 25, 42, "clip_id", "frame").select("source_id", "clip_id", "frame")
 
 
-@query("d4_uniform_indices", "select match_id, s.sample, cast(floor((s.sample * (n - 1) + 4) / 9) as bigint) as frame from (select c_custkey as match_id, 20 + c_custkey % 977 as n from customer) cross join (select unnest(range(0, 10)) as sample) s")
+@query("d4_uniform_indices", "select match_id, s.sample, cast(floor((s.sample * (n - 1) + 4) / 9) as bigint) as frame, null as violation from (select c_custkey as match_id, c_custkey % 977 as n from customer) cross join (select unnest(range(0, 10)) as sample) s where n >= 10 union all select c_custkey, null, null, 'fewer_frames_than_samples' from customer where c_custkey % 977 < 10")
 def d4(t):
-    m = t.read("customer").select(F.col("c_custkey").alias("match_id"), (20 + F.col("c_custkey") % 977).alias("frame_count"))
+    m = t.read("customer").select(F.col("c_custkey").alias("match_id"), (F.col("c_custkey") % 977).alias("frame_count"))
     return DS.uniform_indices(m, 10)
 
 
@@ -693,13 +693,13 @@ def e18(t):
 IOU1 = "greatest(0, least(a.r, x[1].r) - greatest(a.l, x[1].l)) * greatest(0, least(a.b, x[1].b) - greatest(a.t, x[1].t))"
 SHARED["ck_nmsk"] = f"""
 select frame_id, unnest(kept) as k from (select frame_id, list_reduce(list([{{'id': box_id, 'l': l, 't': t, 'r': r, 'b': b}}] order by confidence desc, box_id),
- lambda acc, x: case when len(list_filter(acc, lambda a: {IOU1} >= 3e-1 * ((a.r - a.l) * (a.b - a.t) + (x[1].r - x[1].l) * (x[1].b - x[1].t) - {IOU1}))) > 0 or len(acc) >= 6 then acc else list_concat(acc, x) end) as kept from fx_boxes group by 1)
+ lambda acc, x: case when len(list_filter(acc, lambda a: {IOU1} >= 3e-1 * ((a.r - a.l) * (a.b - a.t) + (x[1].r - x[1].l) * (x[1].b - x[1].t) - {IOU1}))) > 0 then acc else list_concat(acc, x) end) as kept from fx_boxes group by 1)
 """
 
 
 @query("f1_cross_crop_nms", "select frame_id, k.id as box_id from ck_nmsk")
 def f1(t):
-    merged = RG.merge_crops(t.boxes, 0.3, 6)
+    merged = RG.merge_crops(t.boxes, 0.3)
     return RG.kept_boxes(merged).select("frame_id", F.col("keeper_id").alias("box_id"))
 
 

@@ -13,9 +13,14 @@ CAMEL = r"([A-Z][a-z]+(?:[-'][A-Z]?[a-z]+)?)"
 NAME = r"^[A-Za-z][A-Za-z .'-]{0,63}$"
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _team(text: Column) -> Column:
-    text = F.trim(text)
-    parts = F.filter(F.transform(F.split(text, SEPARATOR), F.trim), lambda p: p != "")
+    text = stripped(text)
+    parts = F.filter(F.transform(F.split(text, SEPARATOR), stripped), lambda p: p != "")
     listed = (F.size(parts) == 2) & F.forall(parts, lambda p: p.rlike(NAME))
     joined = F.regexp_replace(text, r"\s+", "")
     camel = F.regexp_extract_all(joined, F.lit(CAMEL), F.lit(1))
@@ -25,6 +30,6 @@ def _team(text: Column) -> Column:
 
 def roster(title: Column) -> Column:
     """Four distinct names in title order, or null when the title is not clear."""
-    sides = F.split(F.regexp_replace(F.trim(title), DATE, ""), VERSUS, 2)
+    sides = F.split(F.regexp_replace(stripped(title), DATE, ""), VERSUS, 2)
     names = F.when(F.size(sides) == 2, F.concat(_team(F.get(sides, F.lit(0))), _team(F.get(sides, F.lit(1)))))
     return F.when(F.size(F.array_distinct(F.transform(names, F.lower))) == 4, names)

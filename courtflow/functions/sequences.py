@@ -28,10 +28,10 @@ def with_halo(df: DataFrame, position: str, before: int, after: int, size: int =
     """Give each row to its chunk and to the neighbours that look at it.
 
     A row is copied to every chunk holding a row that reaches ``before`` units
-    back or ``after`` units forward to it; ``_home`` marks the original.
+    back or ``after`` units forward to it; ``_home`` marks the original. Chunks
+    are never shorter than the window.
     """
-    if before + after >= size:
-        raise ValueError("chunk size must exceed the window")
+    size = max(size, before + after + 1)
     low, high = chunk_of(F.col(position) - after, size), chunk_of(F.col(position) + before, size)
     return df.withColumn(CHUNK, F.explode(F.sequence(low, high))).withColumn(
         HOME, F.col(CHUNK) == chunk_of(position, size)
@@ -115,16 +115,20 @@ def last_before(
     size: int,
     out: str,
     inclusive: bool = False,
+    tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Latest non-null ``value`` before each row, however far back it lies."""
+    """Latest non-null ``value`` before each row, however far back it lies.
+
+    Rows at one position stand in the order of the ``tie`` columns.
+    """
     keys = list(keys)
     local = df.withColumn(CHUNK, chunk_of(position, size)).withColumn("_v", value)
-    w = W.partitionBy(*keys, CHUNK).orderBy(position)
+    w = W.partitionBy(*keys, CHUNK).orderBy(position, *tie)
     local = local.withColumn(
         "_near", F.last("_v", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1))
     )
     heads = local.groupBy(*keys, CHUNK).agg(
-        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(position))).alias("_tail")
+        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(position, *tie))).alias("_tail")
     )
     wh = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     heads = heads.select(*keys, CHUNK, F.last("_tail", ignorenulls=True).over(wh).alias("_carry"))

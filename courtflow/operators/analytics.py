@@ -49,31 +49,37 @@ def match_metrics(rallies: DataFrame, shots: DataFrame) -> DataFrame:
     return out.withColumn("longest_rally_id", -F.col("b.rid")).withColumn("longest_shots", F.col("b.shot_count")).drop("b")
 
 
-def _players(shots: DataFrame) -> DataFrame:
-    return shots.select("match_id").distinct().withColumn("player_id", F.explode(F.array(*map(F.lit, C.ROLES))))
+def _matches(shots: DataFrame, matches: DataFrame | None) -> DataFrame:
+    """Every match to report on: those given, or those with a shot."""
+    return (shots if matches is None else matches).select("match_id").distinct()
+
+
+def _players(shots: DataFrame, matches: DataFrame | None) -> DataFrame:
+    return _matches(shots, matches).withColumn("player_id", F.explode(F.array(*map(F.lit, C.ROLES))))
 
 
 def _count(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
-def player_hits(shots: DataFrame) -> DataFrame:
+def player_hits(shots: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """Hits per player and counted class, with the rate over classified hits.
 
-    Counts for all players of a match come from one pass; players without a shot
-    get zero counts and null rates.
+    Counts for all players of a match come from one pass; players without a shot,
+    in any of ``matches``, get zero counts and null rates.
     """
     counts = shots.groupBy("match_id", F.col("hitter_id").alias("player_id")).agg(
         F.count("*").alias("hits"),
         _count(F.col("shot_type") != C.UNKNOWN).alias("classified"),
         *[_count(F.col("shot_type") == name).alias(name) for name in C.COUNTED_SHOT_TYPES],
     )
-    wide = _players(shots).join(counts, ["match_id", "player_id"], "left").fillna(0)
+    wide = _players(shots, matches).join(counts, ["match_id", "player_id"], "left").fillna(0)
     long = wide.unpivot(["match_id", "player_id", "hits", "classified"], list(C.COUNTED_SHOT_TYPES), "shot_type", "n")
     return long.withColumn("rate", G.ratio(F.col("n"), F.col("classified")))
 
 
-def third_shots(shots: DataFrame) -> DataFrame:
+def third_shots(shots: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """Third shots with the shares of drops and drives; zero counts where a match has no shot."""
     third = F.col("shot_index") == 3
     known = third & (F.col("shot_type") != C.UNKNOWN)
     out = shots.groupBy("match_id").agg(
@@ -82,6 +88,7 @@ def third_shots(shots: DataFrame) -> DataFrame:
         _count(third & (F.col("shot_type") == "DROP")).alias("drops"),
         _count(third & (F.col("shot_type") == "DRIVE")).alias("drives"),
     )
+    out = _matches(shots, matches).join(out, "match_id", "left").fillna(0)
     return out.withColumn("drop_rate", G.ratio(F.col("drops"), F.col("classified"))).withColumn(
         "drive_rate", G.ratio(F.col("drives"), F.col("classified"))
     )
@@ -92,7 +99,7 @@ def shot_zone(depth: float = C.NVZ_DEPTH_M) -> Column:
     return F.when(ok, G.zone("hitter_y_m", depth))
 
 
-def shot_selection(shots: DataFrame) -> DataFrame:
+def shot_selection(shots: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """Class counts and rates per zone, with what was left out."""
     z = shot_zone()
     out_position, out_type = z.isNull(), z.isNotNull() & (F.col("shot_type") == C.UNKNOWN)
@@ -102,6 +109,7 @@ def shot_selection(shots: DataFrame) -> DataFrame:
         _count(out_type).alias("excluded_type"),
         *[_count((F.col("_z") == zone) & (F.col("shot_type") == kind)).alias(f"{zone}|{kind}") for zone, kind in names],
     )
+    wide = _matches(shots, matches).join(wide, "match_id", "left").fillna(0)
     totals = {zone: sum((F.col(f"`{zone}|{k}`") for k in C.KNOWN_SHOT_TYPES), F.lit(0)) for zone in C.ZONES}
     cells = F.array(
         *[
@@ -164,7 +172,7 @@ def data_quality(rallies: DataFrame, shots: DataFrame) -> DataFrame:
         F.avg(F.when(known, F.col("hitter_confidence"))).alias("mean_hitter_confidence"),
     )
     base = rallies.groupBy("match_id").agg(F.avg("confidence").alias("mean_rally_confidence"))
-    return base.join(out, "match_id", "left")
+    return base.join(out, "match_id", "left").fillna(0, ["unknown_hitters", "unknown_types"])
 
 
 def match_document(
@@ -184,14 +192,14 @@ def match_document(
 
     arrivals = kitchen_arrivals(rallies, positions, fps)
     parts = [
-        nest(player_hits(shots), "players"),
+        nest(player_hits(shots, rallies), "players"),
         nest(P.movement(P.steps(positions)), "movement"),
         nest(P.occupancy(positions, fps), "occupancy"),
         nest(P.partner_spacing(positions), "spacing"),
         nest(P.coverage(positions), "coverage"),
         nest(kitchen_arrival_rate(arrivals), "kitchenArrival"),
-        single(third_shots(shots), "thirdShots"),
-        nest(shot_selection(shots), "shotSelection"),
+        single(third_shots(shots, rallies), "thirdShots"),
+        nest(shot_selection(shots, rallies), "shotSelection"),
         single(data_quality(rallies, shots), "dataQuality"),
     ]
     out = single(match_metrics(rallies, shots), "match")

@@ -28,7 +28,7 @@ def validate(corrections: DataFrame, type_: str = "type", value: str = "value")
     extra = F.lit(False)
     for name, allowed in ALLOWED.items():
         extra = F.when(kind == name, F.size(F.array_except(keys, F.array(*map(F.lit, allowed)))) > 0).otherwise(extra)
-    blank = lambda c: c.isNull() | (F.trim(c) == "")
+    blank = lambda c: c.isNull() | ~c.rlike(r"\S")
     whole = lambda n: field(n).isNull() | field(n).rlike(r"^[0-9]+$")
     seconds = lambda n: field(n).isNull() | field(n).rlike(r"^[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$")
     number = lambda n: field(n).try_cast("double")

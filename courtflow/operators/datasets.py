@@ -62,13 +62,16 @@ def sample_exactly(frames: DataFrame, keys: Sequence[str], n: int, seed: int, *i
 
 
 def uniform_indices(matches: DataFrame, count: int) -> DataFrame:
-    """``count`` frame numbers spread over each match, ends included."""
-    last = F.col("frame_count") - 1
-    if count == 1:
-        return matches.select("match_id", F.lit(0).cast("bigint").alias("sample"), F.floor(last / 2).alias("frame"))
+    """``count`` frame numbers spread over each match, ends included.
+
+    A match with fewer frames, or an unknown number, is one row with a violation.
+    """
+    last, enough = F.col("frame_count") - 1, F.coalesce(F.col("frame_count") >= count, F.lit(False))
+    samples = F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
+    rows = matches.withColumn("sample", F.explode(F.when(enough, samples).otherwise(F.array(F.lit(None).cast("bigint")))))
     d = count - 1
-    rows = matches.filter(F.col("frame_count") >= count).withColumn("sample", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(d).cast("bigint"))))
-    return rows.select("match_id", "sample", F.floor((F.col("sample") * last + d // 2) / d).alias("frame"))
+    frame = F.floor(last / 2) if count == 1 else F.floor((F.col("sample") * last + d // 2) / d)
+    return rows.select("match_id", "sample", F.when(enough, frame).alias("frame"), F.when(~enough, "fewer_frames_than_samples").alias("violation"))
 
 
 class _Balance:

@@ -35,6 +35,12 @@ def rates(matched: Column, predicted: Column, truth: Column) -> tuple[Column, Co
     return precision, recall, G.ratio0(2 * precision * recall, precision + recall)
 
 
+def _of_all_matches(predicted: DataFrame, truth: DataFrame, name: str) -> DataFrame:
+    """Annotations per match, for every match that has annotations or predictions."""
+    counts = truth.groupBy("match_id").agg(F.count("*").alias(name))
+    return predicted.select("match_id").distinct().join(counts, "match_id", "full_outer")
+
+
 def evaluate_events(
     predicted: DataFrame,
     truth: DataFrame,
@@ -46,18 +52,19 @@ def evaluate_events(
     """Precision, recall, F1 and timing error per match for one score column.
 
     Predictions above the threshold but outside ``scope`` are ignored, not false.
+    A match with predictions and no annotation is reported too: all it has is false.
     """
     strong = predicted.filter(F.col(score) >= accepted)
     evaluated = strong if scope is None else strong.join(scope.select("match_id", "event_id"), ["match_id", "event_id"], "left_semi")
     right = truth.select("match_id", F.col("event_id").alias("truth_id"), F.col("t_s").alias("truth_s"))
     hits = time_matches(evaluated.select("match_id", "event_id", "t_s", score), right, ["match_id"], "event_id", "truth_id", "t_s", "truth_s", score, tolerance_s)
-    base = truth.groupBy("match_id").agg(F.count("*").alias("truth"))
+    base = _of_all_matches(predicted, truth, "truth")
     base = base.join(strong.groupBy("match_id").agg(F.count("*").alias("above")), "match_id", "left")
     base = base.join(evaluated.groupBy("match_id").agg(F.count("*").alias("evaluated")), "match_id", "left")
     errors = hits.groupBy("match_id").agg(
         F.count("*").alias("matched"), (F.avg("signed_s") * 1000).alias("mean_signed_ms"),
         (F.avg("delta_s") * 1000).alias("mean_absolute_ms"), (F.max("delta_s") * 1000).alias("max_absolute_ms"))
-    out = base.join(errors, "match_id", "left").fillna(0, ["above", "evaluated", "matched"])
+    out = base.join(errors, "match_id", "left").fillna(0, ["truth", "above", "evaluated", "matched"])
     p, r, f = rates(F.col("matched"), F.col("evaluated"), F.col("truth"))
     return (
         out.withColumn("ignored", F.col("above") - F.col("evaluated"))
@@ -95,7 +102,7 @@ def evaluate_rallies(
     """Interval matching with precision, recall and boundary errors per match."""
     evaluated = predicted if complete else rally_scope(predicted, truth, round(s.sparse_margin_s * fps))
     hits = interval_matches(evaluated, truth, ["match_id"], round(s.eval_boundary_s * fps), s.eval_min_iou)
-    base = truth.groupBy("match_id").agg(F.count("*").alias("annotated"))
+    base = _of_all_matches(predicted, truth, "annotated")
     base = base.join(predicted.groupBy("match_id").agg(F.count("*").alias("predicted")), "match_id", "left")
     base = base.join(evaluated.groupBy("match_id").agg(F.count("*").alias("evaluated")), "match_id", "left")
     se, ee = F.col("start_error") / fps, F.col("end_error") / fps
@@ -103,7 +110,7 @@ def evaluate_rallies(
         F.count("*").alias("matched"), F.avg("iou").alias("mean_iou"),
         F.avg(se).alias("mean_start_s"), F.avg(F.abs(se)).alias("mean_abs_start_s"), F.max(F.abs(se)).alias("max_abs_start_s"),
         F.avg(ee).alias("mean_end_s"), F.avg(F.abs(ee)).alias("mean_abs_end_s"), F.max(F.abs(ee)).alias("max_abs_end_s"))
-    out = base.join(stats, "match_id", "left").fillna(0, ["predicted", "evaluated", "matched"])
+    out = base.join(stats, "match_id", "left").fillna(0, ["annotated", "predicted", "evaluated", "matched"])
     p, r, _ = rates(F.col("matched"), F.col("evaluated"), F.col("annotated"))
     return (
         out.withColumn("ignored", F.col("predicted") - F.col("evaluated"))

@@ -80,7 +80,7 @@ def lineage_breaks(shots: DataFrame, rallies: DataFrame) -> DataFrame:
 def rally_violations(rallies: DataFrame, frame_count: Column | int, chunk: int = 16384) -> DataFrame:
     """Rallies out of range, reversed, overlapping the one before, or with a used id."""
     limit = frame_count if isinstance(frame_count, Column) else F.lit(frame_count)
-    rows = last_before(rallies, ("match_id",), "start_frame", F.col("end_frame"), chunk, "_pe")
+    rows = last_before(rallies, ("match_id",), "start_frame", F.col("end_frame"), chunk, "_pe", tie=["rally_id", "end_frame"])
     ids = rallies.groupBy("match_id", "rally_id").agg(F.count("*").alias("_n")).filter("_n > 1")
     rows = rows.join(ids, ["match_id", "rally_id"], "left")
     reasons = F.array_compact(F.array(

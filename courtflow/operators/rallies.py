@@ -259,7 +259,7 @@ def interval_support(
     out = out.join(ends, "match_id")
     out = out.withColumn("preceding_unknown_s", (F.col("start_frame") - F.coalesce(F.col("_kp"), F.lit(-1)) - 1) / video.fps)
     out = out.withColumn("following_unknown_s", (F.coalesce(F.col("_kn"), F.col("_last") + 1) - F.col("end_frame") - 1) / video.fps)
-    previous = last_before(base, KEYS, "start_frame", F.col("end_frame"), chunk, "_pe").select("match_id", "candidate_no", "_pe")
+    previous = last_before(base, KEYS, "start_frame", F.col("end_frame"), chunk, "_pe", tie=["candidate_no"]).select("match_id", "candidate_no", "_pe")
     out = out.join(previous, ["match_id", "candidate_no"])
     pause = F.greatest(F.lit(0.0), (F.col("start_frame") - F.col("_pe") - 1) / video.fps)
     out = out.withColumn("since_previous_s", F.when(F.col("_pe").isNotNull(), pause))

@@ -53,10 +53,10 @@ def to_source(boxes: DataFrame, left: str, top: str, width: str, height: str) ->
 
 
 class _Crops:
-    """Keeps the most confident of overlapping boxes of a frame, up to a number."""
+    """Keeps the most confident of overlapping boxes of a frame."""
 
-    def __init__(self, threshold: float, most: int) -> None:
-        self.threshold, self.most, self.kept = threshold, most, []
+    def __init__(self, threshold: float) -> None:
+        self.threshold, self.kept = threshold, []
 
     def step(self, box_id: int, l: float, t: float, r: float, b: float) -> tuple:  # noqa: E741
         area = (r - l) * (b - t)
@@ -66,22 +66,17 @@ class _Crops:
                 both = w * h
                 if both / (area + (kr - kl) * (kb - kt) - both) >= self.threshold:
                     return (k,)
-        if len(self.kept) >= self.most:
-            return (None,)
         self.kept.append((box_id, l, t, r, b))
         return (box_id,)
 
 
-def merge_crops(boxes: DataFrame, threshold: float = 0.5, most: int = 50) -> DataFrame:
-    """Boxes with the box that stands for them; null when the frame is full.
-
-    ``most`` is the detector's own limit per frame, and all that a task remembers.
-    """
+def merge_crops(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Boxes with the box that stands for them; a task remembers the kept boxes of one frame."""
     return sorted_fold(
-        boxes, ["frame_id"], [F.desc("confidence"), F.asc("box_id")], lambda: _Crops(threshold, most), ("box_id", "l", "t", "r", "b"), "keeper_id bigint")
+        boxes, ["frame_id"], [F.desc("confidence"), F.asc("box_id")], lambda: _Crops(threshold), ("box_id", "l", "t", "r", "b"), "keeper_id bigint")
 
 
 def kept_boxes(merged: DataFrame) -> DataFrame:
     """Kept boxes with the ids that support them."""
-    return merged.filter("keeper_id is not null").groupBy("frame_id", "keeper_id").agg(
+    return merged.groupBy("frame_id", "keeper_id").agg(
         F.array_sort(F.collect_list("box_id")).alias("supporting_ids"), F.max("confidence").alias("confidence"))
