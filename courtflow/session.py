@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +22,19 @@ def build_session(app: str = "courtflow", master: str | None = None, shuffle: in
         builder = builder.master(master).config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
     if shuffle:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, which need not see the driver's folders."""
+    home = pathlib.Path(__file__).parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="courtflow-")) / "courtflow.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(home.rglob("*.py")):
+            out.write(path, path.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
