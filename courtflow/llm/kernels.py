@@ -147,3 +147,24 @@ def pieces(batches, column: str):
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE_BYTES, "right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    ranked = np.sort(values)
+    begins = np.ones(len(ranked), bool)
+    begins[1:] = ranked[1:] != ranked[:-1]
+    at = np.flatnonzero(begins)
+    return ranked[at], np.diff(np.append(at, len(ranked)))
+
+
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, the place of each value among them, and the first index of each."""
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    begins = np.ones(len(ranked), bool)
+    begins[1:] = ranked[1:] != ranked[:-1]
+    at = np.flatnonzero(begins)
+    which = np.empty(len(values), np.int64)
+    which[order] = np.cumsum(begins) - 1
+    return ranked[at], which, order[at]

@@ -60,8 +60,8 @@ class _Block:
         self.data, self.offsets = K.text_bytes(self.table.column("text"))
         self.prefix = K.prefix_sums(self.data)
         lengths = np.diff(self.offsets)
-        place = np.arange(len(self.data)) - np.repeat(self.offsets[:-1], lengths)
-        self.left = np.repeat(lengths, lengths) - place  # bytes up to the end of the text
+        place = np.arange(len(self.data), dtype=np.int32) - np.repeat(self.offsets[:-1].astype(np.int32), lengths)
+        self.left = np.repeat(lengths.astype(np.int32), lengths) - place  # bytes up to the end of the text
         in_cover = np.zeros(PERIOD, bool)
         in_cover[list(COVER)] = True
         self.sampled = np.flatnonzero(in_cover[place % PERIOD] & (self.left >= SAMPLE))
@@ -71,10 +71,9 @@ class _Block:
 
     def suffixes(self, answer: pa.Table) -> np.ndarray:
         """Starts of the windows that reach a sample whose rank is shared."""
-        samples = self.samples()
-        keys = np.unique(samples)
+        keys, which, _ = K.grouped(self.samples())
         seen = np.zeros(len(self.data) + PERIOD + 1, np.int32)
-        seen[self.sampled[answers_in_order(answer, len(keys))[np.searchsorted(keys, samples)] > 0] + 1] = 1
+        seen[self.sampled[answers_in_order(answer, len(keys))[which] > 0] + 1] = 1
         seen = np.cumsum(seen, dtype=np.int32)
         n = len(self.data)
         return np.flatnonzero((seen[PERIOD : PERIOD + n] > seen[:n]) & (self.left >= WIDTH))
@@ -177,7 +176,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
 
     def send_samples(table: pa.Table) -> pa.Table:
         block = _Block(table, space)
-        keys, counts = np.unique(block.samples(), return_counts=True)
+        keys, counts = K.distinct(block.samples())
         return keys_table(send_keys(block.number, keys, space, bits, np.minimum(counts, 255).astype(np.uint8)))
 
     ranks = keep(ask(texts.applyInArrow(send_samples, KEYS_SCHEMA), _repeated, space, bits).withColumn("step", F.lit("ranks")))
@@ -210,7 +209,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     def send_suffixes(table: pa.Table, answer: pa.Table) -> pa.Table:
         block = _Block(table, space)
         starts, _, single = settle(block, answer)
-        return keys_table(send_keys(block.number, np.unique(K.window_hash(block.prefix, WIDTH, starts[single])), 64, own_bits))
+        return keys_table(send_keys(block.number, K.distinct(K.window_hash(block.prefix, WIDTH, starts[single]))[0], 64, own_bits))
 
     suffixes = texts.cogroup(known.groupBy("block")).applyInArrow(send_suffixes, KEYS_SCHEMA)
     answers = known.union(ask(suffixes, _in_earlier_block, 64, own_bits).withColumn("step", F.lit("suffixes")))
@@ -219,7 +218,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
         block = _Block(table, space)
         starts, earlier, single = settle(block, answer)
         windows = K.window_hash(block.prefix, WIDTH, starts[single])
-        keys, first, which = np.unique(windows, return_index=True, return_inverse=True)
+        keys, which, first = K.grouped(windows)
         before = answer_of(answer, len(keys), "suffixes")
         earlier[single] = (before[which] > 0) | (first[which] != np.arange(len(windows)))
         starts = starts[earlier]
