@@ -61,7 +61,7 @@ def signatures(text) -> np.ndarray:
     out = np.zeros((len(bounds) - 1, SAMPLES), np.uint16)
     if not len(words):
         return out
-    distinct, which = np.unique(words, return_inverse=True)
+    distinct, which, _ = K.grouped(words)
     logs = np.log(weights).astype(np.float32)
     groups = []
     for a in range(0, len(out), GROUP):

@@ -69,7 +69,7 @@ class _Lines:
         """Which lines have words and are the first of their kind in the block."""
         out = np.zeros(len(self.sizes), bool)
         some = np.flatnonzero(self.sizes > 0)
-        out[some[np.unique(self.whole[some], return_index=True)[1]]] = True
+        out[some[K.grouped(self.whole[some])[2]]] = True
         return out
 
     def halves(self, lines: np.ndarray) -> np.ndarray:
@@ -137,8 +137,8 @@ def remove_similar_lines(docs: DataFrame, with_kept: bool = True) -> DataFrame:
         fresh = np.flatnonzero(lines.first_ones())
         long = fresh[lines.sizes[fresh] >= EDIT_FROM]
         halves = lines.halves(long)
-        keys, at, counts = np.unique(np.concatenate([lines.whole[fresh], halves.reshape(-1)]), return_inverse=True, return_counts=True)
-        return fresh, long, keys, at, counts
+        keys, at, _ = K.grouped(np.concatenate([lines.whole[fresh], halves.reshape(-1)]))
+        return fresh, long, keys, at, np.bincount(at, minlength=len(keys))
 
     def send_halves(table: pa.Table) -> pa.Table:
         lines = _Lines(table)

@@ -77,11 +77,11 @@ def token_sets(docs: DataFrame) -> DataFrame:
 
     def send(table: pa.Table) -> pa.Table:
         values, _ = shingle_sets(table.column("text"))
-        keys, counts = np.unique(values >> np.uint64(64 - space), return_counts=True)
+        keys, counts = K.distinct(values >> np.uint64(64 - space))
         return keys_table(send_keys(table.column("block")[0].as_py(), keys, space, bits, np.minimum(counts, 255).astype(np.uint8)))
 
     def frequency(keys, _, counts):
-        _, at = np.unique(keys, return_inverse=True)
+        _, at, _ = K.grouped(keys)
         total = np.bincount(at, counts.astype(np.float64))
         return np.minimum(255, np.ceil(8 * np.log2(total)))[at]
 
@@ -91,8 +91,8 @@ def token_sets(docs: DataFrame) -> DataFrame:
 
     def use(table: pa.Table, answer: pa.Table) -> pa.Table:
         values, bounds = shingle_sets(table.column("text"))
-        keys = np.unique(values >> np.uint64(64 - space))
-        rank = answers_in_order(answer, len(keys))[np.searchsorted(keys, values >> np.uint64(64 - space))]
+        keys, which, _ = K.grouped(values >> np.uint64(64 - space))
+        rank = answers_in_order(answer, len(keys))[which]
         n = np.diff(bounds)
         shared = np.concatenate([[0], np.cumsum(rank > 0)])[bounds]
         left = np.diff(shared) - -(-up * n // down) + 1  # of the prefix, behind the document's own shingles
