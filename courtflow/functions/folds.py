@@ -89,8 +89,9 @@ def state_fold(
     """Run ``machine(state)`` along each timeline; see the module text.
 
     ``machine`` takes a plain picklable state (``None`` at the start), offers
-    ``step(*inputs)`` for a row and ``state()`` for what it carries on. A later
-    round reads and writes only the chunks that run again; a table with one row
+    ``step(*inputs)`` for a row and ``state()`` for what it carries on, or
+    ``state_at(position)`` for what of it still matters from there on; where that is
+    ``None``, the next chunk's guess was right. A later round reads and writes only the chunks that run again; a table with one row
     per chunk tells which round of a chunk holds.
     """
     keys, inputs = list(keys), list(inputs)
@@ -108,8 +109,9 @@ def state_fold(
         current, state, used = None, None, None
         held, results = None, []  # the last batch waits until it is known whether its chunk goes on
 
-        def ended() -> None:
-            results[-1] = (*results[-1][:-1], pickle.dumps(state.state()))
+        def end() -> bytes:
+            at = getattr(state, "state_at", None)
+            return pickle.dumps(at((current[-1] + 1) * size) if at else state.state())
 
         for batch in batches:
             if not batch.num_rows:
@@ -118,10 +120,8 @@ def state_fold(
             for key, row, (entry,) in zip(_rows(batch, group), _rows(batch, inputs), _rows(batch, ["_entry"]), strict=True):
                 if key != current:
                     if current is not None:
-                        if fresh:
-                            fresh[-1] = (*fresh[-1][:-1], pickle.dumps(state.state()))
-                        else:
-                            ended()
+                        rows_before = fresh or results
+                        rows_before[-1] = (*rows_before[-1][:-1], end())
                     current, used = key, entry
                     state = machine(pickle.loads(used) if used else None)
                 fresh.append((*state.step(*row), used, None))
@@ -129,7 +129,7 @@ def state_fold(
                 yield _appended(held, results, fields)
             held, results = batch.drop_columns(["_entry"]), fresh
         if held is not None:
-            ended()
+            results[-1] = (*results[-1][:-1], end())
             yield _appended(held, results, fields)
 
     def one_round(rows: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def state_fold(
         ends = part.filter(F.col("_end").isNotNull()).groupBy(*group).agg(F.first("_end").alias("_end"), F.first("_used").alias("_used"))
         return ends.withColumn("_round", F.lit(number))
 
-    parts = [one_round(source.withColumn("_entry", F.lit(None).cast("binary")))]
+    parts = [one_round(source.withColumn("_entry", F.lit(pickle.dumps(None))))]
     ends = cut_lineage(ends_of(parts[0], 0))
     while True:
         wanted = ends.withColumn("_want", F.lag("_end").over(W.partitionBy(*keys).orderBy(CHUNK)))

@@ -53,12 +53,14 @@ def score_players(players: DataFrame, video: C.Video, s: C.HitterSettings = C.Hi
 class _Hitters:
     """Decides contacts in time order; the previous confident hitter adds one term."""
 
-    def __init__(self, state: Any, s: C.HitterSettings, diagonal: float) -> None:
-        self.previous, self.s, self.diagonal = state, s, diagonal
+    def __init__(self, state: Any, s: C.HitterSettings, video: C.Video) -> None:
+        self.previous, self.s, self.diagonal, self.fps = state, s, video.diagonal, video.fps
         self.total = s.w_proximity + s.w_tracking + s.w_direction + s.w_contact + s.w_court + s.w_sequence
 
-    def state(self) -> Any:
-        return self.previous
+    def state_at(self, frame: int) -> Any:
+        # A frame of slack, as times may be rounded.
+        recent = self.previous is not None and (frame - 1) / self.fps - self.previous[1] <= self.s.context_gap_s
+        return self.previous if recent else None
 
     def applies(self, t: float, rally: Any) -> bool:
         if self.previous is None or t - self.previous[1] > self.s.context_gap_s:
@@ -117,7 +119,7 @@ def identify(
     pack = F.struct("role", "side", "base_score", "inside", "distance_px", "tracking_confidence")
     packed = scored.groupBy("match_id", "frame").agg(F.array_sort(F.collect_list(pack)).alias("players"))
     timeline = cut_lineage(cols.join(packed, ["match_id", "frame"], "left"))
-    out = state_fold(timeline, ("match_id",), "frame", (), lambda st: _Hitters(st, s, video.diagonal), ("t_s", "visual", "rally_id", "players"), OUTPUT, chunk)
+    out = state_fold(timeline, ("match_id",), "frame", (), lambda st: _Hitters(st, s, video), ("t_s", "visual", "rally_id", "players"), OUTPUT, chunk)
     return out.drop("players", "by", "ay")
 
 

@@ -204,8 +204,8 @@ class _Cursor:
     def __init__(self, state: Any) -> None:
         self.at = state or 0
 
-    def state(self) -> Any:
-        return self.at
+    def state_at(self, frame: int) -> Any:
+        return self.at if self.at > frame else None
 
     def step(self, frame: int, cursor: int) -> tuple[bool]:
         if frame < self.at:

@@ -71,6 +71,7 @@ def test_rally_walk_over_chunks(tables, chunk):
 
 def test_tracklets_over_chunks(tables):
     ground = CP.ground_of(tables)
+    same(PL.tracklets(ground, V, chunk=5), PL.tracklets(ground, V), "frame", "detection_id", "tracklet_id", "link")
     same(PL.tracklets(ground, V, chunk=13), PL.tracklets(ground, V), "frame", "detection_id", "tracklet_id", "link")
 
 
@@ -179,3 +180,34 @@ def test_folds_keep_large_ids_beside_nulls(spark):
         state_fold(df, ["match_id"], "frame", (), _Sum, ["value"], "total bigint", 2),
     ):
         assert [(r.big, r.total) for r in out.orderBy("frame").collect()] == want
+
+
+def test_steady_persons_need_two_rounds(spark, monkeypatch):
+    """Four persons who walk slowly keep one name each through twenty chunks."""
+    from functools import partial
+
+    from courtflow.functions.folds import state_fold
+
+    rows = [(1, f, f * 4 + p, f / 30.0, 100.0 + 400 * p, 500.0, 1.0 + p + f / 900, 3.0 if p < 2 else 10.0, "near_side" if p < 2 else "far_side", 400.0, 500.0) for f in range(800) for p in range(4)]
+    kind = "match_id long, frame long, detection_id long, t_s double, gx_px double, gy_px double, x_m double, y_m double, side string, t double, b double"
+    ground = spark.createDataFrame(rows, kind)
+    monkeypatch.setattr(PL, "state_fold", partial(state_fold, max_rounds=2))
+    got = PL.tracklets(ground, V, chunk=40).select("detection_id", "tracklet_id").collect()
+    assert len(got) == 3200 and all(r.tracklet_id == r.detection_id % 4 for r in got)
+
+
+def test_walks_settle_in_few_rounds(tables, monkeypatch):
+    """Results over twenty chunks equal one chunk's, in at most three rounds."""
+    from functools import partial
+
+    from courtflow.functions.folds import state_fold
+    from courtflow.operators import hitters
+
+    few = partial(state_fold, max_rounds=3)
+    for module in (B, hitters):
+        monkeypatch.setattr(module, "state_fold", few)
+    supported = B.temporal_support(tables.candidates, V)
+    same(B.associate(supported, V, chunk=50), B.associate(supported, V))
+    contacts = CP.plain_contacts(tables)
+    people = CP.players_at(tables, contacts)
+    same(HT.identify(contacts, people, V, chunk=50), HT.identify(contacts, people, V), "frame", "hitter_id", "hitter_confidence", "context_used")
