@@ -204,7 +204,30 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archive_and_read(read(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op10_line_dedup")
+OP10_SQL = r"""
+WITH split AS (
+  SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN []::VARCHAR[] ELSE string_split(text, chr(10)) END AS lines FROM documents
+), flat AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM split
+), placed AS (SELECT *, row_number() OVER (ORDER BY doc_id, k) AS pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM flat
+), worded AS (SELECT pos, w, len(w) AS n, array_to_string(w, ' ') AS s, min(pos) OVER (PARTITION BY array_to_string(w, ' ')) AS first FROM placed WHERE len(w) > 0
+), long AS (SELECT * FROM worded WHERE pos = first AND n >= 5
+), variants AS (
+  SELECT pos, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:n]), ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM long)
+), gone AS (
+  SELECT pos FROM worded WHERE pos > first
+  UNION SELECT pos FROM (SELECT pos, min(pos) OVER (PARTITION BY n, i, v) AS m FROM variants) WHERE pos > m
+  UNION SELECT x.pos FROM variants x JOIN long y ON x.v = y.s AND y.pos < x.pos
+  UNION SELECT x.pos FROM long x JOIN variants y ON y.v = x.s AND y.pos < x.pos
+), kept AS (
+  SELECT doc_id, count(g.pos) AS n_removed, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE g.pos IS NULL) AS text
+  FROM placed p LEFT JOIN gone g ON g.pos = p.pos GROUP BY doc_id
+)
+SELECT s.doc_id, len(lines)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id
+"""
+
+
+@query("op10_line_dedup", OP10_SQL)
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from courtflow.llm.line_dedup import remove_similar_lines
 
