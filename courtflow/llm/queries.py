@@ -121,7 +121,27 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return link_components(read(spark, folder, "documents"))
 
 
-@query("op4_suffix_dedup")
+OP4_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM docs WHERE len(h) >= 200)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM windows) WHERE k > 1
+), marked AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM again
+), runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked
+), spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, run
+), pieces AS (
+  SELECT d.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY d.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY d.doc_id ORDER BY a), 0))) AS piece
+  FROM spans s JOIN docs d ON d.doc_id = s.doc_id
+), joined AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail, string_agg(piece, '' ORDER BY a) AS kept FROM pieces GROUP BY doc_id
+)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM docs d LEFT JOIN joined j ON j.doc_id = d.doc_id
+"""
+
+
+@query("op4_suffix_dedup", OP4_SQL)
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from courtflow.llm.suffix_dedup import remove_repeats
 
