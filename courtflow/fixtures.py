@@ -62,7 +62,7 @@ from orders
 
 SHOTS = f"""
 select o_custkey as match_id, l_orderkey as rally_id,
-  l_orderkey * 10000000 + cast(floor(l_extendedprice * 1e2) as bigint) as shot_id,
+  l_orderkey * 100000000 + cast(floor(l_extendedprice * 1e2) as bigint) * 8 + l_linenumber as shot_id,
   cast(l_linenumber as bigint) as shot_index,
   {_HITTER.format(k='(l_suppkey % 5)')} as hitter_id, {_TYPE.format(k='(l_partkey % 9)')} as shot_type,
   4e-1 + (l_partkey % 60) / 101e0 as confidence, 3e-1 + (l_suppkey % 70) / 103e0 as hitter_confidence,
@@ -99,7 +99,7 @@ from (select *, {_K} as k from events) e where k % 5 <> 0 and event_id % 7 = 3
 
 # Boxes per frame (frame = order) with shifted truth boxes.
 BOXES = """
-select l_orderkey as frame_id, l_orderkey * 10000000 + cast(floor(l_extendedprice * 1e2) as bigint) as box_id,
+select l_orderkey as frame_id, l_orderkey * 100000000 + cast(floor(l_extendedprice * 1e2) as bigint) * 8 + l_linenumber as box_id,
   l_quantity * 20e0 as l, l_extendedprice % 700e0 as t,
   l_quantity * 20e0 + 30e0 + 250e0 * l_tax as r, l_extendedprice % 700e0 + 30e0 + 250e0 * l_tax as b,
   2e-1 + 8e0 * l_discount + (l_partkey % 97) / 1e5 as confidence, cast(l_suppkey % 3 as bigint) as crop_id
@@ -107,7 +107,7 @@ from lineitem
 """
 
 TRUTH_BOXES = """
-select l_orderkey as frame_id, l_orderkey * 10000000 + cast(floor(l_extendedprice * 1e2) as bigint) as truth_id,
+select l_orderkey as frame_id, l_orderkey * 100000000 + cast(floor(l_extendedprice * 1e2) as bigint) * 8 + l_linenumber as truth_id,
   l_quantity * 20e0 + l_suppkey % 7 as l, l_extendedprice % 700e0 as t,
   l_quantity * 20e0 + 30e0 + 250e0 * l_tax + l_suppkey % 7 as r, l_extendedprice % 700e0 + 30e0 + 250e0 * l_tax as b,
   case l_suppkey % 3 when 0 then 'near' when 1 then 'far' else 'unknown' end as side
@@ -136,10 +136,10 @@ from conversations
 """
 
 CORRECTIONS = f"""
-select o_custkey as match_id, l_orderkey * 10000000 + cast(floor(l_extendedprice * 1e2) as bigint) as correction_id,
+select o_custkey as match_id, l_orderkey * 100000000 + cast(floor(l_extendedprice * 1e2) as bigint) * 8 + l_linenumber as correction_id,
   case l_suppkey % 4 when 0 then 'shot_type' when 1 then 'hitter' when 2 then 'rally_boundary' else 'player_identity' end as type,
   case when l_suppkey % 4 = 2 then 'rallies' when l_suppkey % 4 = 3 then 'players' else 'shots' end as target_collection,
-  case when l_suppkey % 4 = 2 then l_orderkey else l_orderkey * 10000000 + cast(floor(l_extendedprice * 1e2) as bigint) end as target_id,
+  case when l_suppkey % 4 = 2 then l_orderkey else l_orderkey * 100000000 + cast(floor(l_extendedprice * 1e2) as bigint) * 8 + l_linenumber end as target_id,
   {_TYPE.format(k='((l_partkey + 1) % 9)')} as new_type, {_HITTER.format(k='((l_suppkey + 1) % 5)')} as new_hitter,
   l_quantity / 1e1 as new_start_s, l_quantity / 1e1 + l_tax * 1e2 - 2e0 as new_end_s,
   l_partkey % 4 <> 0 as verified, l_suppkey % 10 <> 0 as active,
