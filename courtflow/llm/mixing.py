@@ -98,9 +98,10 @@ def _plan(rows: DataFrame, share: float, cap: int, weights: tuple[int, ...]) ->
     )
     cuts = thresholds(rows, targets.select("key", "budget"))
     # A source that is already taken as often as allowed has nothing left to add.
-    return targets.join(cuts, "key").select(
+    # Written, so that the planner knows its size: where that is small, rows join it without a shuffle.
+    return keep(targets.join(cuts, "key").select(
         "key", "source_size", "target", "full", F.when((F.col("budget") > 0) & (F.col("full") < cap), F.col("below")).otherwise(0).alias("below")
-    )
+    ))
 
 
 def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
