@@ -188,15 +188,8 @@ def _candidates(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(F.arrays_overlap("sa", "sb") & F.arrays_overlap("ta", "tb")).select("a", "b")
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (least doc_id that links lead to) for every row.
-
-    Words are runs of characters other than ASCII white space, lower-cased in A to
-    Z.  Rows of one text are linked with each other unless it has no words; null
-    and wordless texts have no shingles and are linked with nothing, so their
-    component is their own doc_id.  Rows without doc_id take part by their text;
-    a component without any doc_id has none.  Other columns are not read.
-    """
+def _families(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``token_sets`` of ``docs``, and node, n, root (of the component) and component_id, one row per distinct text."""
     sets = keep(token_sets(docs))
     nodes = keep(sets.where("tokens IS NOT NULL").drop("doc_id").dropDuplicates(["node"]))
     keyed = keep(_band_keys(nodes))
@@ -207,23 +200,49 @@ def link_components(docs: DataFrame) -> DataFrame:
     classes = keep(components(near))
     more = verified(_candidates(nodes, classes), nodes)
     roots = components(near.union(more))
-    own = sets.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
+    own = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = own.join(least, "root").select("node", "component_id")
+    return sets, own.join(least, "root").select("node", "n", "root", "component_id")
+
+
+def link_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (least doc_id that links lead to) for every row.
+
+    Words are runs of characters other than ASCII white space, lower-cased in A to
+    Z.  Rows of one text are linked with each other unless it has no words; null
+    and wordless texts have no shingles and are linked with nothing, so their
+    component is their own doc_id.  Rows without doc_id take part by their text;
+    a component without any doc_id has none.  Other columns are not read.
+    """
+    sets, families = _families(docs)
+    labels = families.select("node", "component_id")
     return sets.select("doc_id", "node", F.col("n").alias("n_shingles")).join(labels, "node").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that have near copies with a smaller doc_id.
+    """The rows of ``docs`` without near copies of a row that stays.
 
-    One row of each component stays, the one with the least doc_id (of rows that
-    share it, the one with the least hash of its values); texts without shingles
-    and rows without doc_id all stay.
+    One row of each component stays, the one with the least doc_id (null comes
+    last; of rows that share it, the one with the least hash of its values; of rows
+    equal in all values, any one).  Texts without shingles all stay.
     """
-    labels = link_components(docs).where("n_shingles > 0 AND doc_id IS NOT NULL")
-    # An id is a component's own if all of its rows lead there and none leads to a smaller one.
-    copies = labels.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).where("component_id < doc_id").select("doc_id")
-    left = docs.join(copies, "doc_id", "left_anti")
-    return left.select(*docs.columns)
+    node, value = F.xxhash64("text"), F.xxhash64(*docs.columns)
+    families = _families(docs)[1].where("n > 0").select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    # Repeated rows are counted first, so a text or an id in much of the table is one row from here on.
+    rows = docs.select(F.col("doc_id").alias("_id"), node.alias("_node"), value.alias("_value"))
+    rows = rows.groupBy("_id", "_node").agg(F.min("_value").alias("_value"), F.count(F.lit(1)).alias("_m"))
+    rows = keep(rows.join(families, "_node"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("nameless"), "_id", "_value", "_node")).alias("h")
+    heads = rows.groupBy("_root").agg(first).select(F.col("h._id").alias("_head"), F.col("h._node").alias("_head_node"))
+    at_head = F.col("_id").eqNullSafe(F.col("_head")) & (F.col("_node") == F.col("_head_node"))
+    # Only what goes or needs a choice: other rows stay as they are.
+    known = keep(rows.join(heads, at_head, "left").where("_head_node IS NULL OR _m > 1").select("_id", "_node", F.col("_head_node").isNotNull().alias("_stays")))
+    here = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_node"))
+    single = docs.join(known, here, "left_anti")
+    repeated = docs.join(known.where("_stays"), here, "left_semi")
+    chosen = repeated.select(F.col("doc_id").alias("_id"), node.alias("_node"), value.alias("_value"), F.struct(*docs.columns).alias("_row"))
+    chosen = chosen.groupBy("_id", "_node").agg(F.min_by("_row", "_value").alias("_row"))
+    return single.select(*docs.columns).union(chosen.select("_row.*"))
