@@ -80,6 +80,22 @@ def s6(t):
     return Q.rally_violations(rows, 3000)
 
 
+SHARED["ck_bursts2"] = "select * from fx_bursts union all select * replace (end_frame + 5 as end_frame) from fx_bursts where candidate_no % 13 = 0"
+
+
+@query(
+    "s6_rally_order_all",
+    """select match_id, candidate_no as rally_id, start_frame, unnest(reasons) as reason from (select *, list_filter([case when start_frame < 0 or end_frame < start_frame or end_frame >= 3000 then 'invalid_interval' end,
+      case when start_frame <= lag(end_frame) over (partition by match_id order by start_frame, candidate_no, end_frame) then 'overlaps_previous' end,
+      case when count(*) over (partition by match_id, candidate_no) > 1 then 'duplicate_id' end], lambda x: x is not null) as reasons from ck_bursts2)""",
+)
+def s6_all(t):
+    # Every burst, and each thirteenth id once more with the same start: ties and used ids are reported too.
+    b = t.bursts.withColumnRenamed("candidate_no", "rally_id")
+    again = b.filter("rally_id % 13 = 0").withColumn("end_frame", F.col("end_frame") + 5)
+    return Q.rally_violations(b.unionByName(again), 3000)
+
+
 @query(
     "s6_shot_index",
     """select match_id, rally_id, count(*) as shots, 'unknown_rally' as reason from fx_shots s where not exists (select 1 from fx_star_rallies r where r.match_id = s.match_id and r.rally_id = s.rally_id and r.rally_id % 13 <> 0) group by 1, 2
@@ -291,6 +307,33 @@ def p7(t):
     return c.join(s, ["match_id", "shot_id"]).select("match_id", "correction_id", snap.alias("prediction"))
 
 
+SHARED["ck_snap"] = """
+select match_id, 'shot_type' as type, shot_id as target_id, concat('{"shot_type":"', shot_type, '"}') as prediction from fx_shots
+union select match_id, 'hitter', shot_id, concat('{"hitter_id":"', hitter_id, '"}') from fx_shots
+union select match_id, 'bounce', shot_id, concat('{"is_bounce":true,"frame":', cast(shot_index * 30 as varchar), ',"at_s":', cast(shot_index * 1e0 as varchar),
+  case when hitter_x_m is null then '' else concat(',"court_x_m":', cast(hitter_x_m as varchar), ',"court_y_m":', cast(hitter_y_m as varchar)) end, '}') from fx_shots
+union select match_id, 'player_identity', shot_id, concat('{"player_id":"', hitter_id, '","logical_identity":"', hitter_id, '","display_name":"Player ', hitter_id, '"}') from fx_shots
+union select match_id, 'rally_boundary', rally_id, concat('{"start_frame":', cast(start_frame as varchar), ',"end_frame":', cast(start_frame + 30 as varchar), ',"start_s":', cast(start_s as varchar), ',"end_s":', cast(end_s as varchar), '}') from fx_star_rallies
+"""
+
+
+@query(
+    "p7_prediction_snapshot_all",
+    """select c.match_id, c.correction_id, c.type, s.prediction from (select distinct match_id, correction_id, case when correction_id % 10 = 7 and type <> 'rally_boundary' then 'bounce' else type end as type, target_id from fx_corrections) c
+    join ck_snap s on s.match_id = c.match_id and s.type = c.type and s.target_id = c.target_id""",
+)
+def p7_all(t):
+    # A shot row stands for the bounce and the player that a correction names as well.
+    kind = F.when((F.col("correction_id") % 10 == 7) & (F.col("type") != "rally_boundary"), "bounce").otherwise(F.col("type"))
+    c = t.corrections.withColumn("type", kind).select("match_id", "correction_id", "type", "target_id").distinct()
+    shots = t.shots.select("match_id", F.col("shot_id").alias("target_id"), F.lit(False).alias("rally"), "shot_type", "hitter_id", F.lit(True).alias("is_bounce"), (F.col("shot_index") * 30).alias("frame"), (F.col("shot_index") * 1.0).alias("at_s"), F.col("hitter_x_m").alias("court_x_m"), F.col("hitter_y_m").alias("court_y_m"),
+                           F.col("hitter_id").alias("player_id"), F.col("hitter_id").alias("logical_identity"), F.concat(F.lit("Player "), "hitter_id").alias("display_name"))
+    rallies = t.star_rallies.select("match_id", F.col("rally_id").alias("target_id"), F.lit(True).alias("rally"), "start_frame", (F.col("start_frame") + 30).alias("end_frame"), "start_s", "end_s")
+    records = shots.unionByName(rallies, allowMissingColumns=True).distinct()
+    c = c.withColumn("rally", F.col("type") == "rally_boundary")
+    return c.join(records, ["match_id", "target_id", "rally"]).select("match_id", "correction_id", "type", K.snapshot(F.col("type"), K.SNAPSHOT).alias("prediction"))
+
+
 @query(
     "j13_correction_targets",
     """select distinct c.match_id, c.correction_id, r.record_id from fx_corrections c join (select distinct match_id, shot_id as record_id, rally_id as player_id from fx_shots) r

@@ -18,6 +18,15 @@ ALLOWED = {
     "shot_type": ("shotType",),
 }
 
+# Fields of the predicted record that a correction of each type replaces.
+SNAPSHOT = {
+    "player_identity": ("player_id", "logical_identity", "display_name"),
+    "rally_boundary": ("start_frame", "end_frame", "start_s", "end_s"),
+    "bounce": ("is_bounce", "frame", "at_s", "court_x_m", "court_y_m"),
+    "hitter": ("hitter_id",),
+    "shot_type": ("shot_type",),
+}
+
 
 def validate(corrections: DataFrame, type_: str = "type", value: str = "value") -> DataFrame:
     """Corrections whose JSON value breaks the rules of their type, with the reason."""
