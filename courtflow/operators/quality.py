@@ -104,22 +104,34 @@ def shot_violations(shots: DataFrame, rallies: DataFrame) -> DataFrame:
 
 
 RECORD_LIMIT_BYTES = 2 * 1024 * 1024
+# Fields whose bytes belong in a file, in lower case without underscores.
+BINARY_FIELDS = (
+    "audiowaveform", "audiowaveforms", "debugartifactbytes", "modelweights", "mp4bytes", "rawdetectionarrays", "rawframes", "rawvideoframes", "videobytes",
+)
 
 
 def record_violations(records: DataFrame, id_column: str, payload: str = "payload", numbers: Sequence[str] = (), limit: int = RECORD_LIMIT_BYTES) -> DataFrame:
-    """Records with numbers that are not finite, unsafe field names, or too many bytes.
+    """Records with numbers that are not finite, unsafe or binary field names, or too many bytes.
 
-    Field names are read from the JSON text: a key is unsafe when it is empty, starts
-    with a dollar sign or holds a dot.
+    Field names and numbers are read from the JSON text, at any depth: a key is unsafe
+    when it is empty, starts with a dollar sign or holds a dot; a number is not finite
+    when it is written NaN or Infinity or has a fraction or exponent and no finite double.
     """
     keys = F.regexp_extract_all(F.col(payload), F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))
     unsafe = F.exists(keys, lambda k: (k == "") | k.startswith("$") | k.contains("."))
-    bad_number = F.lit(False)
+    binary = F.exists(keys, lambda k: F.lower(F.replace(k, F.lit("_"), F.lit(""))).isin(*BINARY_FIELDS))
+    bare = F.regexp_replace(F.col(payload), r'"(?:[^"\\]|\\.)*"', '""')  # without what strings hold
+    words = r"(?<![\w-])-?(?:NaN|Infinity)(?!\w)"
+    floats = F.regexp_extract_all(bare, F.lit(r"-?[0-9]+(?:\.[0-9]+)?[eE][-+]?[0-9]+|-?[0-9]+\.[0-9]+"), F.lit(0))
+    worded = F.coalesce(bare.rlike(words), F.lit(False))
+    bad_number = worded | F.coalesce(F.exists(floats, lambda x: F.abs(x.try_cast("double")) == float("inf")), F.lit(False))
+    no_object = F.get_json_object(payload, "$").isNull() & ~(worded & F.get_json_object(F.regexp_replace(bare, words, "0"), "$").isNotNull())
     for c in numbers:
-        bad_number = bad_number | F.isnan(c) | (F.abs(c) == float("inf"))
+        bad_number = bad_number | F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
     reasons = F.array_compact(F.array(
         F.when(F.coalesce(bad_number, F.lit(False)), "not_finite"), F.when(F.coalesce(unsafe, F.lit(False)), "unsafe_field_name"),
-        F.when(F.octet_length(payload) > limit, "too_large"), F.when(F.get_json_object(payload, "$").isNull(), "not_an_object")))
+        F.when(F.coalesce(binary, F.lit(False)), "binary_field_name"),
+        F.when(F.octet_length(payload) > limit, "too_large"), F.when(no_object, "not_an_object")))
     return records.withColumn("reason", F.explode(reasons)).select(id_column, "reason")
 
 
