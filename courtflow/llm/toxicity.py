@@ -1,7 +1,7 @@
 """Toxicity from a learned lexicon, misspellings and the words around.
 
-1. Words, and stems (leading letters) of words, are counted by label in a bounded
-   sample of labelled rows.  Those whose association with label 1 is beyond chance,
+1. Words, and stems (leading letters) of words, are counted by label in all
+   labelled rows.  Those whose association with label 1 is beyond chance,
    given how many were tried, make the lexicon.
 2. The lexicon is a trie.  The automaton that accepts everything within one edit
    of its words is the product of the trie and Levenshtein automata; its states are
@@ -9,7 +9,7 @@
    letters.  A path without edits through a stem's node accepts every ending.
 3. Every match is looked at in a window of words: within a pair of quotation marks
    it counts as quoted.  Counts of exact, stem, misspelled and quoted matches go
-   into a logistic model that is fitted on the same sample.
+   into a logistic model that is fitted on a bounded sample.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from courtflow.llm import kernels as K
 from courtflow.llm.tables import keep
 
-#: Labelled rows that the model is fitted on at most, and lexicon entries that it has at most.
-SAMPLE, LEXICON = 20_000, 2_000
+#: Labelled rows that the weights are fitted on at most, and terms that a task counts before it sends them on.
+SAMPLE, TERMS = 20_000, 200_000
 STEMS = (4, 5, 6, 7, 8)
 #: Words shorter than this are matched exactly only.
 FUZZY_FROM = 5
@@ -173,34 +173,43 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     Null labels and ids teach nothing; of several labels of one id the largest
-    holds.  At most ``sample`` ids are used, those with the least hashes.
+    holds.  The lexicon is counted on all of them, the weights are fitted on at most
+    ``sample`` ids, those with the least hashes.
     """
     chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = keep(docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y"))  # at most ``sample`` rows
-    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = docs.where("text IS NOT NULL").select("doc_id", "text")
+    labelled = texts.join(chosen, "doc_id").select("text", "y")
+    sizes = {r.y: r.n for r in labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         return Model(weights=np.array([30.0 if pos else -30.0, 0, 0, 0, 0, 0]))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = keep(texts.join(F.broadcast(chosen), "doc_id").select("text", "y"))  # at most ``sample`` ids
+
+    def table(seen):
+        terms = list(seen[0] | seen[1])
+        return pa.RecordBatch.from_pydict({
+            "term": pa.array(terms, pa.string()), "a": pa.array([seen[1][t] for t in terms], pa.int64()), "b": pa.array([seen[0][t] for t in terms], pa.int64()),
+        })
 
     def count(batches):
+        seen = (Counter(), Counter())
         for batch in K.pieces(batches, "text"):
-            seen = (Counter(), Counter())
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 words = set(WORD.findall(text.lower()))
                 seen[y].update(words)
                 seen[y].update({"*" + w[:k] for w in words for k in STEMS if len(w) > k})
-            terms = list(seen[0] | seen[1])
-            yield pa.RecordBatch.from_pydict({
-                "term": pa.array(terms), "a": pa.array([seen[1][t] for t in terms], pa.int64()), "b": pa.array([seen[0][t] for t in terms], pa.int64()),
-            })
+            if len(seen[0]) + len(seen[1]) > TERMS:
+                yield table(seen)
+                seen = (Counter(), Counter())
+        yield table(seen)
 
-    terms = keep(rows.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    terms = keep(labelled.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     beyond_chance = 2 * math.log(max(2, terms.count())) + 3
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     found = (
         terms.where((a >= 3) & (a * neg > b * pos * 5)).withColumn("llr", _association(a, b, pos, neg)).where(F.col("llr") >= beyond_chance)
-        .orderBy(F.desc("llr"), "term").limit(LEXICON).select("term").collect()
+        .orderBy(F.desc("llr"), "term").select("term").collect()
     )
     words = [r.term for r in found if r.term[0] != "*"]
     stems = [r.term[1:] for r in found if r.term[0] == "*"]
