@@ -252,3 +252,43 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from courtflow.llm.line_dedup import remove_similar_lines
 
     return remove_similar_lines(read(spark, folder, "documents"), with_kept=False)
+
+
+#: Rules of the registered query: hosts with paths, and patterns for what they leave open.
+SITES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+PATTERNS = [
+    ("^casino-", "block"), ("^free-bets.", "block"), ("-pills.", "block"), ("^adult-", "block"), ("^spam-farm.", "block"), ("^ads-track.", "block"),
+    ("||org^*utm_source=feed|", "block"), ("||example.org/en/*utm_source", "allow"),
+]
+
+OP12_SQL = r"""
+WITH urls AS (
+  SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u,
+    translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), judged AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.www.example.com' AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule,
+    regexp_matches(u, '(?s)^[^/?#]*?://([^/?#]*\.)?example\.org/en/.*utm_source') AS cleared,
+    regexp_matches(u, '(^|[^a-z0-9\x80-\x{10FFFF}])casino-') OR regexp_matches(u, '(^|[^a-z0-9\x80-\x{10FFFF}])free-bets\.') OR contains(u, '-pills.')
+      OR regexp_matches(u, '(^|[^a-z0-9\x80-\x{10FFFF}])adult-') OR regexp_matches(u, '(^|[^a-z0-9\x80-\x{10FFFF}])spam-farm\.')
+      OR regexp_matches(u, '(^|[^a-z0-9\x80-\x{10FFFF}])ads-track\.')
+      OR regexp_matches(u, '(?s)^[^/?#]*?://([^/?#]*\.)?org([^a-z0-9\x80-\x{10FFFF}]|\z).*utm_source=feed\z') AS spam
+  FROM urls
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN cleared THEN 'allow' WHEN spam THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+
+@query("op12_url_filters", OP12_SQL)
+def op12_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    from courtflow.llm.url_filters import judge, rules_table
+
+    sites = rules_table(spark, "host string, path string, verdict string", SITES)
+    patterns = rules_table(spark, "pattern string, verdict string", PATTERNS)
+    return judge(read(spark, folder, "pages").select("page_id", "url"), sites, patterns).select("page_id", "host", "path", "rule", "verdict")
