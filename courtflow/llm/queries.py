@@ -292,3 +292,15 @@ def op12_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     sites = rules_table(spark, "host string, path string, verdict string", SITES)
     patterns = rules_table(spark, "pattern string, verdict string", PATTERNS)
     return judge(read(spark, folder, "pages").select("page_id", "url"), sites, patterns).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: Folder of public vocabularies; every machine of the cluster has it.
+VOCABULARIES = "/opt/tokenizers"
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, folder: str, vocabularies: str = VOCABULARIES) -> DataFrame:
+    from courtflow.llm.alignment import align, link_scores
+
+    aligned = align(read(spark, folder, "documents"), f"{vocabularies}/byte_bpe_50k.json", f"{vocabularies}/piece_bpe_32k.model")
+    return link_scores(aligned).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

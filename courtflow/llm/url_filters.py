@@ -185,5 +185,7 @@ def _by_table(parts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def rules_table(spark: SparkSession, columns: str, rules: Iterable[tuple]) -> DataFrame:
-    """A table of rules from tuples, for lists that stand in code."""
-    return spark.createDataFrame(list(rules), columns)
+    """A table of rules from tuples of strings, for lists that stand in code."""
+    names = [c.split()[0] for c in columns.split(",")]
+    rows = [F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, r, strict=True)]) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
