@@ -304,3 +304,74 @@ def op13_alignment(spark: SparkSession, folder: str, vocabularies: str = VOCABUL
 
     aligned = align(read(spark, folder, "documents"), f"{vocabularies}/byte_bpe_50k.json", f"{vocabularies}/piece_bpe_32k.model")
     return link_scores(aligned).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+OP11_SQL = """
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, [1::BIGINT,1,1,1,1,1,1,1]),
+    lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) AS tab
+), own AS (
+  SELECT conv_id, turn, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS d, strlen(coalesce(text, ''))::BIGINT AS b
+  FROM conversations WHERE conv_id IS NOT NULL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS pos FROM own
+), heads AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, n,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id), crc_table
+), rebuilt AS (
+  SELECT h.conv_id, r.pos, r.d, r.b FROM heads h JOIN ranked r ON r.conv_id = h.base AND r.pos <= h.h
+  UNION ALL SELECT r.conv_id, least(h.h, coalesce(s.n, 0)) + r.pos - h.h, r.d, r.b FROM ranked r JOIN heads h ON h.conv_id = r.conv_id LEFT JOIN heads s ON s.conv_id = h.base WHERE r.pos > h.h
+), steps AS (
+  SELECT conv_id, pos AS depth, md5(string_agg(d, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS key, b FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', 0 FROM heads
+), nodes AS (SELECT key, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b FROM steps GROUP BY key
+), parents AS (SELECT DISTINCT s.key, p.key AS up FROM steps s JOIN steps p ON p.conv_id = s.conv_id AND p.depth = s.depth - 1
+), children AS (SELECT up AS key, count(*) AS n_children FROM parents GROUP BY up
+), below AS (SELECT DISTINCT p.key AS top, s.key FROM steps s JOIN steps p ON p.conv_id = s.conv_id AND p.depth <= s.depth
+), sums AS (
+  SELECT top AS key, count(*) FILTER (WHERE c.key IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.b) AS saved_tokens
+  FROM below w JOIN nodes n ON n.key = w.key LEFT JOIN children c ON c.key = w.key GROUP BY top
+), ends AS (
+  SELECT s.key, string_agg(s.conv_id::VARCHAR, ',' ORDER BY s.conv_id) AS ids FROM steps s
+  JOIN (SELECT conv_id, max(depth) AS depth FROM steps GROUP BY conv_id) m ON m.conv_id = s.conv_id AND m.depth = s.depth GROUP BY s.key
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(c.n_children, 0)::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.key = n.key LEFT JOIN children c ON c.key = n.key LEFT JOIN ends e ON e.key = n.key LEFT JOIN parents p ON p.key = n.key LEFT JOIN nodes u ON u.key = p.up
+"""
+
+
+def with_shared_heads(turns: DataFrame) -> DataFrame:
+    """Conversations as op11 rebuilds them: the first h turns of conversation c - c % 5, then c's own after its first h; h is crc32(c) % 9.
+
+    Every conversation also gets a row without digest at place 0, as it may be left without turns.
+    """
+    from pyspark.sql import Window
+
+    family, most = F.col("conv_id") - F.col("conv_id") % 5, 8
+    head = lambda conv: F.crc32(conv.cast("string").cast("binary")) % 9
+    whole = Window.partitionBy("family")  # the at most nine conversations that borrow from one
+    rows = (
+        turns.withColumn("family", family)
+        .withColumn("pos", F.row_number().over(Window.partitionBy("family", "conv_id").orderBy(F.asc_nulls_first("turn"), "digest")).cast("long"))
+        .withColumn("lent", F.least(F.count(F.when(F.col("conv_id") == F.col("family"), 1)).over(whole), F.lit(most)))
+        .withColumn("members", F.collect_set("conv_id").over(whole))
+    )
+    one = lambda conv, turn, digest, size: F.struct(conv.alias("conv_id"), turn.alias("turn"), digest.alias("digest"), size.alias("n_bytes"))
+    here = (F.col("digest"), F.col("n_bytes"))
+    zero = F.lit(0).cast("long")
+    none = F.array().cast("array<struct<conv_id:bigint,turn:bigint,digest:binary,n_bytes:bigint>>")
+    marked = F.when(F.col("pos") == 1, F.array(one(F.col("conv_id"), zero, F.lit(None).cast("binary"), zero))).otherwise(none)
+    h = head(F.col("conv_id"))
+    kept = F.when(F.col("pos") > h, F.array(one(F.col("conv_id"), F.least(h, "lent") + F.col("pos") - h, *here))).otherwise(none)
+    takers = F.filter("members", lambda c: F.col("pos") <= head(c))
+    given = F.when((F.col("conv_id") == F.col("family")) & (F.col("pos") <= most), F.transform(takers, lambda c: one(c, F.col("pos"), *here))).otherwise(none)
+    return rows.select(F.inline(F.concat(marked, kept, given)))
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from courtflow.llm.prefix_trie import narrow, prefix_trie
+
+    return prefix_trie(with_shared_heads(narrow(read(spark, folder, "conversations"))))
