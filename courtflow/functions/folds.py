@@ -4,6 +4,9 @@
 has partitioned and sorted (with spill). Groups are short clusters, and only the
 state of the group at hand is held, never its rows.
 
+``settle`` takes rows from the best down in chunks of a line, whatever the length of
+a chain of rows that touch each other.
+
 ``state_fold`` is for machines whose state runs through a whole timeline. The
 timeline is cut into chunks which run at the same time from a guessed entry
 state; chunks whose guess differs from the state their predecessor ended with
@@ -17,13 +20,13 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from courtflow.functions.sequences import CHUNK, chunk_of
+from courtflow.functions.sequences import CHUNK, HOME, chunk_of
 from courtflow.session import cut_lineage
 
 
@@ -164,8 +167,71 @@ def state_fold(
     return result.drop(CHUNK)
 
 
+OPEN, TAKEN, GONE = 0, 1, 2
+STATE, _NEW = "_state", "_new"
+
+
+def settle(
+    df: DataFrame,
+    keys: Sequence[str],
+    low: Column,
+    high: Column,
+    reach: float,
+    size: float,
+    order: Sequence,
+    machine: Callable[[], Any],
+    inputs: Sequence[str],
+    outputs: str = "",
+) -> DataFrame:
+    """Take rows from the best down, where only better rows near a row can bar it.
+
+    Two rows can touch only if ``[low - reach, high + reach]`` of one meets
+    ``[low, high]`` of the other. The line is cut into chunks of ``size``; a row is at
+    home in the chunk of ``low`` and a guest in the others within its reach. Every
+    chunk runs through its rows in ``order``: ``machine().step(home, state, *inputs)``
+    gives TAKEN, GONE or OPEN (and ``outputs``), OPEN for guests not yet decided and
+    for whatever hangs on an open row. Only chunks that are left with open rows run
+    again, with what was taken near them. The best open row hangs on none, so every
+    round decides some; a round is needed only where a string of decisions crosses
+    from chunk to chunk. No task holds more than a chunk and its guests.
+
+    Returns the rows with ``taken`` and ``outputs``.
+    """
+    keys, inputs = list(keys), list(inputs)
+    columns = df.columns
+    more = [f.name for f in T._parse_datatype_string(outputs).fields] if outputs else []
+
+    def spread(rows: DataFrame) -> DataFrame:
+        first, last = chunk_of(F.col("_low") - reach, size), chunk_of(F.col("_high") + reach, size)
+        return rows.withColumn(CHUNK, F.explode(F.sequence(first, last))).withColumn(HOME, F.col(CHUNK) == chunk_of("_low", size))
+
+    def one_round(rows: DataFrame) -> DataFrame:
+        out = sorted_fold(rows, [*keys, CHUNK], order, machine, (HOME, STATE, *inputs), f"{_NEW} int" + (f", {outputs}" if outputs else ""))
+        mine = out.filter(F.col(HOME) & (F.col(STATE) == OPEN))
+        return cut_lineage(mine.select(*columns, "_low", "_high", F.col(_NEW).alias(STATE), *more))
+
+    parts = [one_round(spread(df.withColumn("_low", low).withColumn("_high", high).withColumn(STATE, F.lit(OPEN))))]
+    while True:
+        left = parts[-1].filter(F.col(STATE) == OPEN)
+        if left.isEmpty():
+            break
+        parts[-1] = parts[-1].filter(F.col(STATE) != OPEN)
+        rows = left.select(*columns, "_low", "_high", STATE)
+        for part in parts:
+            rows = rows.unionByName(part.filter(F.col(STATE) == TAKEN).select(*columns, "_low", "_high", STATE))
+        busy = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], chunk_of("_low", size).alias("_at")).distinct()
+        near = F.col(CHUNK) == F.col("_at")
+        for i, k in enumerate(keys):
+            near = near & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        parts.append(one_round(spread(rows).join(busy, near, "left_semi")))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result.select(*columns, (F.col(STATE) == TAKEN).alias("taken"), *more)
+
+
 class GreedyPairs:
-    """One-to-one matching: take a proposal if neither side is taken yet."""
+    """One-to-one matching in one go: take a proposal if neither side is taken yet."""
 
     def __init__(self) -> None:
         self.left: set = set()
@@ -179,20 +245,42 @@ class GreedyPairs:
         return (True,)
 
 
-class KeepApart:
-    """Suppression on a line: keep a row if no kept row is nearer than allowed."""
+class SettlePairs:
+    """One-to-one matching for ``settle``."""
+
+    def __init__(self) -> None:
+        self.left: dict = {}
+        self.right: dict = {}
+
+    def step(self, home: bool, state: int, left: Any, right: Any) -> tuple[int]:
+        found = {self.left.get(left), self.right.get(right)}
+        if state == OPEN:
+            state = GONE if TAKEN in found else OPEN if OPEN in found or not home else TAKEN
+        if state == TAKEN or (state == OPEN and TAKEN not in found):
+            # What is open may still go; a later taken partner overrides it.
+            self.left[left] = max(state, self.left.get(left, OPEN))
+            self.right[right] = max(state, self.right.get(right, OPEN))
+        return (state,)
+
+
+class SettleApart:
+    """Suppression on a line for ``settle``: a row goes if a better one that stays is nearer than allowed."""
 
     def __init__(self, distance: float, inclusive: bool) -> None:
         self.distance, self.inclusive = distance, inclusive
-        self.cells: dict[int, list] = {}
-
-    def step(self, position: float) -> tuple[bool]:
-        width = max(self.distance, 1e-12)
-        cell = int(position // width)
-        for c in range(cell - 1, cell + 2):
-            for other in self.cells.get(c, ()):
-                apart = abs(position - other)
-                if apart < self.distance or (self.inclusive and apart == self.distance):
-                    return (False,)
-        self.cells.setdefault(cell, []).append(position)
-        return (True,)
+        self.width = max(distance, 1e-12)
+        self.cells: dict[int, list[tuple[float, int]]] = {}
+
+    def step(self, home: bool, state: int, position: float) -> tuple[int]:
+        cell = int(position // self.width)
+        if state == OPEN:
+            found = set()
+            for c in range(cell - 1, cell + 2):
+                for other, kind in self.cells.get(c, ()):
+                    apart = abs(position - other)
+                    if apart < self.distance or (self.inclusive and apart == self.distance):
+                        found.add(kind)
+            state = GONE if TAKEN in found else OPEN if OPEN in found or not home else TAKEN
+        if state != GONE:
+            self.cells.setdefault(cell, []).append((position, state))
+        return (state,)

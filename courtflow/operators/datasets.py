@@ -166,7 +166,7 @@ def overlay_reviews(shots: DataFrame, reviews: DataFrame, gate_s: float = 0.250)
     pairs = pairs.withColumn("delta_s", F.abs(F.col("shot_s") - F.col("review_s")))
     return greedy_pairs(
         pairs, ["source_hash"], "shot_id", "review_id", F.least("shot_s", "review_s"), F.greatest("shot_s", "review_s"),
-        [F.asc("shot_s"), F.asc("shot_id"), F.asc("delta_s"), F.asc("review_id")])
+        [F.asc("shot_s"), F.asc("shot_id"), F.asc("delta_s"), F.asc("review_id")], reach=gate_s)
 
 
 def review_progress(frames: DataFrame) -> DataFrame:

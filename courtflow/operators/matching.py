@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtflow.functions.folds import GreedyPairs, KeepApart, sorted_fold
-from courtflow.functions.sequences import band_join, cluster_starts, merged_starts
+from courtflow.functions.folds import SettleApart, SettlePairs, settle
+from courtflow.functions.sequences import band_join
 from courtflow.session import cut_lineage
 
 CHUNK_SECONDS = 600
@@ -23,18 +23,20 @@ def greedy_pairs(
     high: Column,
     order: Sequence[Column],
     size: float = CHUNK_SECONDS,
+    reach: float | None = None,
 ) -> DataFrame:
     """Accept proposals from the best down, each side once.
 
-    ``low``/``high`` span both partners. Proposals that share a partner touch, so
-    chains of touching spans are decided apart from each other, and a long match
-    falls into many of them. ``order`` must be total; add ids as last terms.
+    ``low``/``high`` span both partners, so proposals that share a partner touch;
+    ``reach`` is the longest span, measured where it is not given. ``order`` must be
+    total; add ids as last terms. A chain of touching proposals is decided chunk by
+    chunk, however long it is.
     """
-    # The chain labels read the proposals several times, so their join is run once.
-    spans = cut_lineage(proposals.withColumn("_lo", low).withColumn("_hi", high))
-    chained = merged_starts(spans, keys, "_lo", "_hi", 0, size, "_chain").drop("_lo", "_hi")
-    taken = sorted_fold(chained, [*keys, "_chain"], order, GreedyPairs, (left, right), "taken boolean")
-    return taken.filter("taken").drop("taken", "_chain")
+    if reach is None:
+        proposals = cut_lineage(proposals)
+        reach = proposals.agg(F.max(high - low)).first()[0] or 0
+    decided = settle(proposals, keys, low, high, reach, size, order, SettlePairs, (left, right))
+    return decided.filter("taken").drop("taken")
 
 
 def time_matches(
@@ -53,7 +55,7 @@ def time_matches(
     pairs = pairs.withColumn("signed_s", F.col(predicted_t) - F.col(truth_t)).withColumn("delta_s", F.abs("signed_s"))
     return greedy_pairs(
         pairs, keys, predicted_id, truth_id, F.least(predicted_t, truth_t), F.greatest(predicted_t, truth_t),
-        [F.asc("delta_s"), F.desc(score), F.asc(predicted_id), F.asc(truth_id)],
+        [F.asc("delta_s"), F.desc(score), F.asc(predicted_id), F.asc(truth_id)], reach=tolerance_s,
     )
 
 
@@ -98,11 +100,9 @@ def suppress_near(
 ) -> DataFrame:
     """Keep the strongest of candidates closer than ``distance`` (or as close, if inclusive).
 
-    Runs with no near neighbour are independent, so each is decided alone.
+    Equally strong ones stand in the order of their positions.
     """
-    runs = cluster_starts(candidates, keys, position, distance, size, "_chain", at_gap=not inclusive)
-    kept = sorted_fold(
-        runs, [*keys, "_chain"], [F.desc(score), F.asc(position)],
-        lambda: KeepApart(distance, inclusive), (position,), "kept boolean",
-    )
-    return kept.filter("kept").drop("kept", "_chain")
+    decided = settle(
+        candidates, keys, F.col(position), F.col(position), distance, size, [F.desc(score), F.asc(position)],
+        lambda: SettleApart(distance, inclusive), (position,))
+    return decided.filter("taken").drop("taken")

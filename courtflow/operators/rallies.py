@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from courtflow import config as C
 from courtflow.functions import geometry as G
-from courtflow.functions.folds import sorted_fold, state_fold
+from courtflow.functions.folds import GONE, OPEN, TAKEN, settle, state_fold
 from courtflow.functions.sequences import (
     CHUNK,
     CHUNK_FRAMES,
@@ -21,10 +21,10 @@ from courtflow.functions.sequences import (
     home_rows,
     interval_join,
     last_before,
-    merged_starts,
     running_count,
     with_halo,
 )
+from courtflow.session import cut_lineage
 
 KEYS = ("match_id",)
 
@@ -298,41 +298,49 @@ def boundary_audio(rallies: DataFrame, audio: DataFrame, video: C.Video, s: C.Ra
 
 
 class _Bursts:
-    """Accepts bursts from the strongest down, unless a clearly stronger one is near."""
+    """Accepts bursts from the strongest down, unless a clearly stronger one is near.
+
+    Accepted and open bursts are listed in the cells, one window wide, that they touch,
+    so a burst looks only at those near it.
+    """
 
     def __init__(self, fps: float, s: C.RallySettings) -> None:
-        self.fps, self.s, self.kept = fps, s, []
-
-    def step(self, number: int, start: int, end: int, quality: float) -> tuple:
-        best = None
-        for other in self.kept:
-            apart = (start - other[2] - 1) if start >= other[1] else (other[1] - end - 1)
-            gap = max(0.0, apart / self.fps)
-            margin = other[3] - quality
-            near = gap <= self.s.handoff_window_s and margin >= self.s.handoff_margin
-            if near and (best is None or other[3] > best[0][3]):
-                best = (other, gap, margin)
-        if best is None:
-            self.kept.append((number, start, end, quality))
-            return (True, None, None, None)
-        return (False, best[0][0], best[1], best[2])
+        self.fps, self.s, self.cells, self.seen = fps, s, {}, 0
+        self.width = s.handoff_window_s * fps + 1
+
+    def touched(self, start: float, end: float) -> range:
+        return range(int(start // self.width), int(end // self.width) + 1)
+
+    def step(self, home: bool, state: int, number: int, start: int, end: int, quality: float) -> tuple:
+        if state == OPEN:
+            listed = {o[0]: o for c in self.touched(start - self.width, end + self.width) for o in self.cells.get(c, ())}
+            for rank in sorted(listed):
+                _, kind, stronger, begin, finish, other = listed[rank]
+                apart = (start - finish - 1) if start >= begin else (begin - end - 1)
+                gap, margin = max(0.0, apart / self.fps), other - quality
+                if gap <= self.s.handoff_window_s and margin >= self.s.handoff_margin:
+                    # The strongest one that is near decides; while it is open, so is this one.
+                    if kind == TAKEN:
+                        return (GONE, stronger, gap, margin)
+                    break
+            else:
+                state = TAKEN if home else OPEN
+        entry = (self.seen, state, number, start, end, quality)
+        self.seen += 1
+        for c in self.touched(start, end):
+            self.cells.setdefault(c, []).append(entry)
+        return (state, None, None, None)
 
 
 def resolve_bursts(rallies: DataFrame, video: C.Video, s: C.RallySettings = C.RallySettings(), chunk: int = CHUNK_FRAMES) -> DataFrame:
-    """Mark weaker bursts next to a stronger one; both stay, linked.
-
-    Bursts further apart than the handoff window cannot meet, so each chain of
-    near bursts is decided alone.
-    """
-    gap = s.handoff_window_s * video.fps + 1
-    chained = merged_starts(rallies, KEYS, "start_frame", "end_frame", gap, chunk)
-    ranked = chained.withColumn("_len", F.col("start_frame") - F.col("end_frame"))
-    decided = sorted_fold(
-        ranked, ["match_id", "cluster"], [F.desc("quality"), F.asc("_len"), F.desc("confidence"), F.asc("candidate_no")],
-        lambda: _Bursts(video.fps, s), ("candidate_no", "start_frame", "end_frame", "quality"),
-        "accepted boolean, stronger_no bigint, gap_s double, margin double",
-    )
-    return decided.drop("_len", "cluster")
+    """Mark weaker bursts next to a stronger one; both stay, linked."""
+    rallies = cut_lineage(rallies)
+    longest = rallies.agg(F.max(F.col("end_frame") - F.col("start_frame"))).first()[0] or 0
+    return settle(
+        rallies, KEYS, F.col("start_frame"), F.col("end_frame"), s.handoff_window_s * video.fps + 1 + longest, chunk,
+        [F.desc("quality"), (F.col("start_frame") - F.col("end_frame")).asc(), F.desc("confidence"), F.asc("candidate_no")],
+        lambda: _Bursts(video.fps, s), ("candidate_no", "start_frame", "end_frame", "quality"), "stronger_no bigint, gap_s double, margin double",
+    ).withColumnRenamed("taken", "accepted")
 
 
 def number_rallies(decided: DataFrame, chunk: int = CHUNK_FRAMES) -> DataFrame:
