@@ -8,7 +8,7 @@ sum of its documents' vectors, each scaled by its number of trigrams.  Documents
 get the language whose prototype has the largest cosine.
 
 Bundling is linear, so documents become counts over the trigrams of their piece
-and are multiplied with those trigrams' vectors at once.
+and are multiplied with those trigrams' vectors, some thousand trigrams at a time.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from courtflow.llm import kernels as K
 
 DIMENSIONS = 512
 UNKNOWN = "und"
+#: Trigrams whose vectors are held at once.
+TILE = 4096
 #: A text of so many trigrams is in none of the learned languages if its cosine is below the floor.
 ENOUGH, FLOOR = 50, 0.15
 
@@ -73,19 +75,45 @@ def trigram_vectors(alphabet: np.ndarray, present: np.ndarray) -> np.ndarray:
     return (first * second * third).astype(np.float32)
 
 
-def _piece_counts(texts: list[str | None], group: int = 256):
-    """Count matrices of up to ``group`` texts at a time, with the vectors of their columns."""
-    alphabet, present, owner, which = trigram_counts(texts)
-    if not len(present):
-        yield np.zeros((len(texts), 0), np.float32), np.zeros((0, DIMENSIONS), np.float32)
+def _tiles(present: np.ndarray, which: np.ndarray):
+    """Occurrences of ``TILE`` trigrams at a time: first trigram, end, the occurrences (in the order of their texts) and their trigrams in the tile."""
+    if len(present) <= TILE:
+        yield 0, len(present), slice(None), which
         return
-    vectors = trigram_vectors(alphabet, present)
-    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    for a in range(0, len(texts), group):
-        b = min(len(texts), a + group)
-        own = slice(bounds[a], bounds[b])
-        flat = np.bincount((owner[own] - a) * len(present) + which[own], minlength=(b - a) * len(present))
-        yield flat.reshape(b - a, -1).astype(np.float32), vectors
+    order = np.argsort(which // TILE, kind="stable")
+    bounds = np.searchsorted(which[order] // TILE, np.arange(-(-len(present) // TILE) + 1))
+    for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        yield k * TILE, min(len(present), (k + 1) * TILE), order[a:b], which[order[a:b]] - k * TILE
+
+
+def bundles(texts: list[str | None], group: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's bundled vector (float64) and its number of trigrams; memory does not grow with the alphabet."""
+    alphabet, present, owner, which = trigram_counts(texts)
+    out = np.zeros((len(texts), DIMENSIONS))
+    for first, end, at, local in _tiles(present, which):
+        vectors = trigram_vectors(alphabet, present[first:end])
+        own = owner[at]
+        bounds = np.searchsorted(own, np.arange(len(texts) + 1))
+        width = end - first
+        for a in range(0, len(texts), group):
+            b = min(len(texts), a + group)
+            some = slice(bounds[a], bounds[b])
+            if bounds[a] < bounds[b]:
+                flat = np.bincount((own[some] - a) * width + local[some], minlength=(b - a) * width)
+                out[a:b] += flat.reshape(b - a, width).astype(np.float32) @ vectors
+    return out, np.bincount(owner, minlength=len(texts)).astype(np.int64)
+
+
+def bundled_shares(texts: list[str], labels: np.ndarray, kinds: int) -> np.ndarray:
+    """Per label (a number below ``kinds``) the sum of its texts' vectors, each divided by the text's number of trigrams."""
+    alphabet, present, owner, which = trigram_counts(texts)
+    out = np.zeros((kinds, DIMENSIONS))
+    share = 1 / np.maximum(1, np.bincount(owner, minlength=len(texts)))
+    for first, end, at, local in _tiles(present, which):
+        own, width = owner[at], end - first
+        weights = np.bincount(labels[own] * width + local, share[own], kinds * width).reshape(kinds, width)
+        out += weights @ trigram_vectors(alphabet, present[first:end])
+    return out
 
 
 @dataclass
@@ -99,20 +127,16 @@ class Prototypes:
 def learn(labelled: DataFrame) -> Prototypes:
     """Prototypes of all values of ``lang`` in ``labelled`` (text, lang); rows without either or without letters teach nothing.
 
+    Repeated rows teach as often as they stand; without rows nothing is learned.
     What reaches the driver is one vector per language.
     """
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in K.pieces(batches, "text"):
-            langs = np.array(batch.column("lang").to_pylist(), object)
-            done = 0
-            for counts, vectors in _piece_counts(batch.column("text").to_pylist()):
-                some = langs[done : done + len(counts)]
-                done += len(counts)
-                shares = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
-                for lang in set(some):
-                    sums[lang] = sums.get(lang, 0) + shares[some == lang].sum(axis=0).astype(np.float64) @ vectors
+            here, labels = np.unique(np.array(batch.column("lang").to_pylist(), object).astype(str), return_inverse=True)
+            for lang, vector in zip(here.tolist(), bundled_shares(batch.column("text").to_pylist(), labels, len(here)), strict=True):
+                sums[lang] = sums.get(lang, 0) + vector
         yield pa.RecordBatch.from_pydict(
             {"lang": pa.array(list(sums), pa.string()), "vector": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))}
         )
@@ -129,37 +153,44 @@ def learn(labelled: DataFrame) -> Prototypes:
 def identify(docs: DataFrame, prototypes: Prototypes, carry: list[str]) -> DataFrame:
     """``carry`` columns of every row with lang_pred, score (the largest cosine, 0 to 1, six digits) and trigrams (their number).
 
-    Whole texts are used.  Null texts and texts without letters get ``und`` and 0,
-    as do all rows if nothing was learned.
+    Whole texts are used, and only they go to Python.  Null texts and texts without
+    letters get ``und`` and 0, as do all rows if nothing was learned.  Equal texts
+    get equal results, of equal cosines the language that comes first holds; no rows
+    give no rows.
     """
 
-    def of_batches(batches):
-        for batch in K.pieces(batches, "_text"):
-            langs, scores, sizes = [], [], []
-            for counts, vectors in _piece_counts(batch.column("_text").to_pylist()):
-                bundled = (counts @ vectors).astype(np.float64)
-                norm = np.linalg.norm(bundled, axis=1)
-                if prototypes.langs:
-                    cosine = bundled @ prototypes.vectors.T / np.maximum(1e-12, norm)[:, None]
-                    best = np.argmax(cosine, axis=1)
-                    score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
-                else:
-                    best, score = np.zeros(len(counts), int), np.zeros(len(counts))
-                trigrams = counts.sum(axis=1).astype(np.int64)
-                sizes += trigrams.tolist()
-                known = (trigrams > 0) & bool(prototypes.langs)
-                langs += [prototypes.langs[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist(), strict=True)]
-                scores += np.where(known, np.round(score, 6), 0.0).tolist()
-            columns = [batch.column(c) for c in carry]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], [*carry, "lang_pred", "score", "trigrams"])
-
-    schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double").add("trigrams", "long")
-    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(of_batches, schema)
-
-
-def rejected():
-    """Whether a row of ``identify`` is in none of the learned languages: without letters, or long and unlike all of them."""
-    return (F.col("lang_pred") == UNKNOWN) | ((F.col("trigrams") >= ENOUGH) & (F.col("score") < FLOOR))
+    def of_piece(texts: list[str | None]) -> pa.StructArray:
+        bundled, trigrams = bundles(texts)
+        known = (trigrams > 0) & bool(prototypes.langs)
+        if prototypes.langs:
+            cosine = bundled @ prototypes.vectors.T / np.maximum(1e-12, np.linalg.norm(bundled, axis=1))[:, None]
+            best = np.argmax(cosine, axis=1)
+            score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
+        else:
+            best, score = np.zeros(len(texts), int), np.zeros(len(texts))
+        langs = [prototypes.langs[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist(), strict=True)]
+        columns = [pa.array(langs, pa.string()), pa.array(np.where(known, np.round(score, 6), 0.0)), pa.array(trigrams)]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "trigrams"])
+
+    def of_texts(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        none = pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("trigrams", pa.int64())]))
+        return pa.concat_arrays([none, *(of_piece(piece.column("text").to_pylist()) for piece in K.pieces([batch], "text"))])
+
+    # Marked so that a filter on the result does not make it run twice.
+    language = F.arrow_udf(of_texts, "lang_pred string, score double, trigrams long").asNondeterministic()
+    found = docs.select(*carry, language("text").alias("_found"))
+    return found.select(*carry, "_found.lang_pred", "_found.score", "_found.trigrams")
+
+
+def rejected(enough: int = ENOUGH, floor: float = FLOOR):
+    """Whether a row of ``identify`` is in none of the learned languages.
+
+    It is so without letters, or with at least ``enough`` trigrams and a score below
+    ``floor``.  Short texts stay, as their cosines scatter; with ``enough`` 0 the
+    floor holds for texts of every length.
+    """
+    return (F.col("lang_pred") == UNKNOWN) | ((F.col("trigrams") >= enough) & (F.col("score") < floor))
 
 
 def remainder(modulus: int, of: str = "doc_id"):

@@ -3,7 +3,8 @@
 An archive that is one gzip stream can only be read from its start.  The
 normaliser inflates such a stream once, record by record, writes every record as
 a gzip member of its own, and leaves an index of offsets beside the new archive.
-Any record can then be read alone.  A task holds one record at a time.
+Any record can then be read alone.  The normaliser holds one record at a time, the
+writer the batch of rows that it was given, the reader some megabytes.
 
 Archives lie in a folder that all executors share.  A task's files carry its
 attempt in their names and only those of attempts that ended are listed, so lost
@@ -13,6 +14,7 @@ and repeated attempts do no harm.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import re
 import uuid
@@ -34,6 +36,8 @@ ARCHIVE_BYTES = 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDED = "2000-01-01T00:00:00Z"
 READ = 1 << 20
+#: Bytes of blocks that the reader holds before it passes them on.
+YIELD = 8 << 20
 
 
 def mark_revisits(pages: DataFrame) -> DataFrame:
@@ -185,13 +189,19 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                         at += len(packed)
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k in ("offset", "length") else pa.string()) for k, v in index.items()})
 
-    names = archives.select("archive").distinct()
+    # Each name is listed once; a ``distinct`` here would let its own shuffle replace the one asked for.
+    names = archives.select("archive")
     parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keep(names.repartition(parts, "archive").mapInArrow(rewrite, "archive string, offset long, length long, record_id string, record_type string"))
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Read each record by its offset: page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload (null for revisits)."""
+    """Read each record by its offset: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload and intact.
+
+    Bytes and digest of a response are those of the payload that was read; ``intact``
+    tells whether its headers say the same.  A revisit has no payload (null) and the
+    bytes and digest of its headers.
+    """
 
     def page_of(urn: str | None):
         found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
@@ -201,7 +211,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         files, path = _open_folder(folder)
         name, source = None, None
         for batch in batches:
-            out = []
+            out, held = [], 0
             for archive, offset, length in zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True):
                 if archive != name:
                     if source is not None:
@@ -209,22 +219,26 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     name, source = archive, files.open_input_file(f"{path}/{archive}")
                 head, block = parse_record(zlib.decompress(source.read_at(length, offset), 31))
                 http, _, payload = block.partition(b"\r\n\r\n")
+                told = (int(re.search(rb"(?im)^content-length:\s*(\d+)", http)[1]), base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex())
+                whole = head["warc-type"] == "response"
+                seen = (len(payload), hashlib.sha1(payload).hexdigest()) if whole else told
                 out.append({
-                    "page_id": page_of(head["warc-record-id"]), "url": head["warc-target-uri"],
-                    "payload_bytes": int(re.search(rb"(?im)^content-length:\s*(\d+)", http)[1]),
-                    "payload_digest": base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex(),
-                    "record_type": head["warc-type"], "refers_to": page_of(head.get("warc-refers-to")),
-                    "payload": payload if head["warc-type"] == "response" else None,
+                    "page_id": page_of(head["warc-record-id"]), "url": head["warc-target-uri"], "payload_bytes": seen[0], "payload_digest": seen[1],
+                    "record_type": head["warc-type"], "refers_to": page_of(head.get("warc-refers-to")), "payload": payload if whole else None, "intact": seen == told,
                 })
+                held += len(block)
+                if held > YIELD:
+                    yield pa.RecordBatch.from_pylist(out, kind)
+                    out, held = [], 0
             yield pa.RecordBatch.from_pylist(out, kind)
 
     kind = pa.schema([
         ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
-        ("refers_to", pa.int64()), ("payload", pa.binary()),
+        ("refers_to", pa.int64()), ("payload", pa.binary()), ("intact", pa.bool_()),
     ])
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = index.select("archive", "offset", "length").repartitionByRange(parts, "archive", "offset").sortWithinPartitions("archive", "offset")
-    return spread.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return spread.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, intact boolean")
 
 
 def archive_and_read(pages: DataFrame, folder: str | None = None) -> DataFrame:

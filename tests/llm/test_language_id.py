@@ -1,7 +1,11 @@
+import random
+import tracemalloc
+
 import numpy as np
+import pytest
 from conftest import SF
 from courtflow.llm import queries
-from courtflow.llm.language_id import DIMENSIONS, _piece_counts, identify, learn, letter_vectors
+from courtflow.llm.language_id import DIMENSIONS, bundled_shares, bundles, identify, learn, letter_vectors, rejected
 from helpers import clashing, documents, empty, odd
 
 
@@ -18,10 +22,27 @@ def plain_vector(text):
     return out
 
 
-def test_bundles_equal_plain_ones():
-    texts = ["Hello, wörld!! 12 a", "", "x", "日本語 テスト abc", "...", "A" * 50]
-    got = np.concatenate([counts @ vectors for counts, vectors in _piece_counts(texts, 2)])
-    assert np.array_equal(got, np.array([plain_vector(t) for t in texts]))
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_bundles_equal_plain_ones(tile, monkeypatch):
+    monkeypatch.setattr("courtflow.llm.language_id.TILE", tile)
+    texts = ["Hello, wörld!! 12 a", "", "x", "日本語 テスト abc", "...", "A" * 50, None]
+    got, sizes = bundles(texts, 2)
+    want = np.array([plain_vector(t or "") for t in texts])
+    assert np.array_equal(got, want) and sizes.tolist() == [11, 0, 1, 9, 0, 50, 0]
+    labels = np.array([0, 0, 1, 1, 2, 0, 2])
+    shares = bundled_shares(texts, labels, 3)
+    plain = [sum(want[i] / max(1, sizes[i]) for i in range(len(texts)) if labels[i] == k) for k in range(3)]
+    assert np.allclose(shares, plain)
+
+
+def test_memory_does_not_grow_with_the_alphabet():
+    rnd = random.Random(1)
+    text = "".join(chr(rnd.randrange(0x4E00, 0x9FA0)) for _ in range(200_000))
+    tracemalloc.start()
+    bundles([text] * 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20  # 200,000 vectors alone would be as much
 
 
 def test_held_out_accuracy(spark):
@@ -40,3 +61,9 @@ def test_odd_rows(spark):
     assert identify(empty(spark), prototypes, ["doc_id"]).count() == 0
     nothing = learn(empty(spark))
     assert nothing.langs == [] and {r.lang_pred for r in identify(documents(spark, [(1, "abc def")]), nothing, ["doc_id"]).collect()} == {"und"}
+
+
+def test_rejection_at_every_length(spark):
+    rows = spark.createDataFrame([("en", 0.1, 10), ("en", 0.1, 60), ("en", 0.9, 60), ("und", 0.0, 0)], "lang_pred string, score double, trigrams long")
+    assert [r[0] for r in rows.select(rejected()).collect()] == [False, True, False, True]
+    assert [r[0] for r in rows.select(rejected(enough=0)).collect()] == [True, True, False, True]

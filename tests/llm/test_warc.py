@@ -6,7 +6,7 @@ import json
 import zlib
 
 import pytest
-from courtflow.llm.warc import archive_and_read, parse_record, record_bytes, records
+from courtflow.llm.warc import archive_and_read, mark_revisits, normalise, parse_record, read_records, record_bytes, records, write_archives
 
 KIND = "page_id long, url string, html string"
 
@@ -39,3 +39,25 @@ def test_round_trip_with_odd_rows(spark, tmp_path):
             lines += 1
     assert lines == len(rows)
     assert archive_and_read(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_archives_are_normalised_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("courtflow.llm.warc.ARCHIVE_BYTES", 2000)
+    rows = spark.createDataFrame([(i, f"http://a/{i}", f"text {i} " * 50) for i in range(64)], KIND).repartition(16, "page_id")
+    folder = str(tmp_path / "many")
+    archives = write_archives(mark_revisits(rows), folder)
+    index = normalise(archives, folder)
+    tasks = {name.rsplit("-", 1)[1] for (name,) in index.select("archive").distinct().collect()}
+    assert archives.count() >= 6 and len(tasks) >= 4
+    assert read_records(index, folder).where("intact").count() == 64
+
+
+def test_a_damaged_payload_shows(spark, tmp_path):
+    folder = tmp_path / "bad"
+    folder.mkdir()
+    good = record_bytes(1, "http://a", b"payload", hashlib.sha1(b"payload").hexdigest(), "response", None)
+    for name, data in (("stream-1.warc.gz", good), ("stream-2.warc.gz", good.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n").replace(b"page:1", b"page:2"))):
+        (folder / name).write_bytes(gzip.compress(data))
+    listed = spark.createDataFrame([("stream-1.warc.gz", 1), ("stream-2.warc.gz", 1)], "archive string, records long")
+    got = {r.page_id: r for r in read_records(normalise(listed, str(folder)), str(folder)).collect()}
+    assert got[1].intact and not got[2].intact and got[2].payload_digest == hashlib.sha1(b"pAyload").hexdigest()
