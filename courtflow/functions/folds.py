@@ -88,9 +88,18 @@ def state_fold(
     outputs: str,
     size: int,
     max_rounds: int | None = None,
+    entries: Callable[..., tuple[bool, list]] | None = None,
+    tail: int = 0,
 ) -> DataFrame:
     """Run ``machine(state)`` along each timeline; see the module text.
 
+    ``entries(*inputs)`` lists the states that a row can leave behind, and whether they
+    are all that are possible from there on. Where the guessed entry was wrong, every
+    chunk is then walked from all states that the last ``tail`` positions before it can
+    leave; walks that meet go on as one. What comes out is the chunk as a table from
+    entry to end, and a pass over one row per chunk puts these tables one after the
+    other: all entries are known at once, and chunks run again once, not one by one.
+
     ``machine`` takes a plain picklable state (``None`` at the start), offers
     ``step(*inputs)`` for a row and ``state()`` for what it carries on, or
     ``state_at(position)`` for what of it still matters from there on; where that is
@@ -143,6 +152,55 @@ def state_fold(
         ends = part.filter(F.col("_end").isNotNull()).groupBy(*group).agg(F.first("_end").alias("_end"), F.first("_used").alias("_used"))
         return ends.withColumn("_round", F.lit(number))
 
+    key_fields = to_arrow_schema(T.StructType([source.schema[k] for k in group]))
+    table_type = T._parse_datatype_string("ways array<struct<entry:binary,end:binary>>")
+
+    def walk_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's end for each state that the rows before it can leave."""
+        current, guesses, walks = None, {}, None
+
+        def ended() -> pa.RecordBatch:
+            ways = []
+            for walker, begun in walks:
+                at = getattr(walker, "state_at", None)
+                end = pickle.dumps(at((current[-1] + 1) * size) if at else walker.state())
+                ways += [{"entry": b, "end": end} for b in begun]
+            arrays = [pa.array([v], f.type) for v, f in zip(current, key_fields, strict=True)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([ways], to_arrow_schema(table_type)[0].type)], [*group, "ways"])
+
+        for batch in batches:
+            for key, row, (lead,) in zip(_rows(batch, group), _rows(batch, inputs), _rows(batch, ["_lead"]), strict=True):
+                if key != current:
+                    if walks:
+                        yield ended()
+                    current, guesses, walks = key, {}, None
+                if lead:
+                    alone, states = entries(*row)
+                    guesses = ({} if alone else guesses) | {pickle.dumps(x): x for x in states}
+                    continue
+                if walks is None:
+                    walks = [(machine(x), [b]) for b, x in guesses.items()]
+                for walker, _ in walks:
+                    walker.step(*row)
+                if len(walks) > 1:
+                    met: dict = {}
+                    for walker, begun in walks:
+                        met.setdefault(pickle.dumps(walker.state()), (walker, []))[1].extend(begun)
+                    walks = list(met.values())
+        if walks:
+            yield ended()
+
+    def composed() -> DataFrame:
+        """The entry of each chunk that follows from the tables of those before, where it is not the first guess."""
+        rows = parts[0].select(*columns)
+        lead = rows.filter(F.col(position) >= (F.col(CHUNK) + 1) * size - tail).withColumn(CHUNK, F.col(CHUNK) + 1)
+        both = rows.withColumn("_lead", F.lit(False)).unionByName(lead.withColumn("_lead", F.lit(True)))
+        ordered = both.repartition(*group).sortWithinPartitions(*group, position, *order)
+        tables = ordered.mapInArrow(walk_all, T.StructType([*[source.schema[k] for k in group], *table_type.fields]))
+        chunks = ends.join(tables, group, "left")
+        known = sorted_fold(chunks, keys, [CHUNK], _Compose, ("_used", "_end", "ways"), "_entry binary")
+        return known.filter(F.col("_entry").isNotNull() & ~F.col("_entry").eqNullSafe(F.col("_used"))).select(*group, "_entry")
+
     parts = [one_round(source.withColumn("_entry", F.lit(pickle.dumps(None))))]
     ends = cut_lineage(ends_of(parts[0], 0))
     while True:
@@ -153,6 +211,8 @@ def state_fold(
         stale = cut_lineage(stale)
         if stale.isEmpty():
             break
+        if entries is not None and len(parts) == 1:
+            stale = cut_lineage(composed())
         if max_rounds is not None and len(parts) >= max_rounds:
             raise RuntimeError("chunk states did not settle")
         parts.append(one_round(parts[0].select(*columns).join(stale, group).select(*columns, "_entry")))
@@ -167,6 +227,19 @@ def state_fold(
     return result.drop(CHUNK)
 
 
+class _Compose:
+    """Follows the chunks of a timeline through their tables from entry to end."""
+
+    def __init__(self) -> None:
+        self.entry: bytes | None = pickle.dumps(None)
+
+    def step(self, used: bytes, end: bytes, ways: Any) -> tuple:
+        entry, table = self.entry, {w["entry"]: w["end"] for w in ways or ()} | {used: end}
+        # Where the way in is unknown, the way out still is if all known ones lead there.
+        self.entry = table.get(entry) if entry is not None else end if len(set(table.values())) == 1 else None
+        return (entry,)
+
+
 OPEN, TAKEN, GONE = 0, 1, 2
 STATE, _NEW = "_state", "_new"
 
