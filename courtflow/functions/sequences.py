@@ -165,6 +165,17 @@ def band_join(
     return a.join(b, [*keys, "_b"]).filter(F.abs(F.col(left_pos) - F.col(right_pos)) <= tolerance).drop("_b")
 
 
+def spread_join(many: DataFrame, few: DataFrame, keys: Sequence[str], shares: int = 32, how: str = "inner") -> DataFrame:
+    """Join a table with one that has few rows per key, where one key may hold most rows.
+
+    Rows of ``many`` go to one of ``shares`` parts of their key by a hash of their
+    values; every part gets the key's rows of ``few``.
+    """
+    row = many.withColumn("_share", F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.lit(shares)))
+    part = few.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<bigint>")))
+    return row.join(part, [*keys, "_share"], how).drop("_share")
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from courtflow import config as C
-from courtflow.functions.sequences import CHUNK, chunk_window, home_rows, with_halo
+from courtflow.functions.sequences import CHUNK, chunk_window, home_rows, spread_join, with_halo
 from courtflow.operators.matching import suppress_near
 from courtflow.session import cut_lineage
 
@@ -112,34 +112,46 @@ def spectral_flux(features: DataFrame, spectrum: str = "spectrum", out: str = "o
     return rows.withColumn(out, F.when(F.col("_p").isNull(), 0.0).otherwise(F.sqrt(mean))).drop("_p")
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, width: float, out: str) -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, width: float, out: str, most: int = 50_000) -> DataFrame:
     """Median per key without gathering a key's values in one place.
 
-    Values are counted in buckets of ``width``; only the bucket or two that hold
-    the middle ranks are sorted.
+    Equal values count as one row with their number, so silence is a single row.
+    Distinct values are counted in buckets of ``width``; the bucket or two that hold
+    the middle ranks are cut into a thousand narrower ones until none has more than
+    ``most`` distinct values, and only these are ranked.
     """
     keys = list(keys)
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value, F.floor(F.col(value) / width).alias("_b"))
-    counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
-    w = W.partitionBy(*keys)
-    below = F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_below", below).withColumn("_n", F.sum("_c").over(w))
-    low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    holds = lambda r: (r > F.col("_below")) & (r <= F.col("_below") + F.col("_c"))
-    middle = counts.filter(holds(low) | holds(high)).select(*keys, "_b", "_below", low.alias("_lo"), high.alias("_hi"))
-    ranked = rows.join(middle, [*keys, "_b"])
-    rank = F.row_number().over(W.partitionBy(*keys, "_b").orderBy(value)) + F.col("_below")
-    ranked = ranked.withColumn("_r", rank).filter((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi")))
-    return ranked.groupBy(*keys).agg(F.avg(value).alias(out))
+    rows = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")))
+    # Values of the buckets in question, each with the rows of its key before its bucket.
+    rows = rows.withColumn("_below", F.lit(0).cast("bigint")).withColumn("_n", F.lit(None).cast("bigint"))
+    while True:
+        rows = rows.withColumn("_b", F.floor(F.col(value) / F.lit(width)))
+        counts = rows.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"), F.count("*").alias("_values"), F.first("_below").alias("_below"), F.first("_n").alias("_n"))
+        # A second middle bucket beside the first has rows before it already; both are counted from the first's.
+        w = W.partitionBy(*keys)
+        counts = counts.withColumn("_n", F.coalesce("_n", F.sum("_c").over(w))).withColumn(
+            "_below", F.min("_below").over(w) + F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
+        holds = lambda r: (r > F.col("_below")) & (r <= F.col("_below") + F.col("_c"))
+        middle = cut_lineage(counts.filter(holds(low) | holds(high)).select(*keys, "_b", "_below", "_n", "_values"))
+        rows = spread_join(rows.drop("_below", "_n"), middle, [*keys, "_b"])
+        if middle.filter(F.col("_values") > most).isEmpty():
+            break
+        rows, width = cut_lineage(rows.drop("_values")), width / 1024
+    upto = F.sum("_c").over(W.partitionBy(*keys, "_b").orderBy(value)) + F.col("_below")
+    ranked = rows.withColumn("_upto", upto).withColumn("_lo", F.floor((F.col("_n") + 1) / 2)).withColumn("_hi", F.floor((F.col("_n") + 2) / 2))
+    holds = lambda r: (F.col(r) <= F.col("_upto")) & (F.col(r) > F.col("_upto") - F.col("_c"))
+    found = ranked.groupBy(*keys).agg(F.max(F.when(holds("_lo"), F.col(value))).alias("_a"), F.max(F.when(holds("_hi"), F.col(value))).alias("_z"))
+    return found.select(*keys, ((F.col("_a") + F.col("_z")) / 2).alias(out))
 
 
 def robust_scores(features: DataFrame, value: str = "onset", width: float = 0.05, keys: Sequence[str] = ("match_id",)) -> DataFrame:
     """Rows with baseline, robust scale (median deviation) and z-score per key."""
     keys = list(keys)
     centre = exact_median(features, keys, value, width, "baseline")
-    rows = features.join(centre, keys).withColumn("_dev", F.abs(F.col(value) - F.col("baseline")))
+    rows = cut_lineage(spread_join(features, centre, keys).withColumn("_dev", F.abs(F.col(value) - F.col("baseline"))))
     scale = exact_median(rows, keys, "_dev", width, "_mad")
-    rows = rows.join(scale, keys).withColumn("scale", F.greatest(1.4826 * F.col("_mad"), F.lit(1e-6)))
+    rows = spread_join(rows, scale, keys).withColumn("scale", F.greatest(1.4826 * F.col("_mad"), F.lit(1e-6)))
     return rows.withColumn("z", (F.col(value) - F.col("baseline")) / F.col("scale")).drop("_dev", "_mad")
 
 

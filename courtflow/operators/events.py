@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from courtflow import config as C
 from courtflow.functions import geometry as G
-from courtflow.functions.sequences import CHUNK, CHUNK_FRAMES, home_rows, interval_join, last_before, with_halo
+from courtflow.functions.sequences import CHUNK, CHUNK_FRAMES, home_rows, interval_join, last_before, spread_join, with_halo
 from courtflow.operators.matching import suppress_near, time_matches
 from courtflow.session import cut_lineage
 
@@ -41,7 +41,7 @@ def local_shape(track: DataFrame, window: int, least: int, chunk: int = CHUNK_FR
         F.count(F.when(F.col("status") == "OBSERVED", 1)).over(around).alias("_obs"),
     )
     rows = home_rows(rows).filter((F.col("n_before") >= least) & (F.col("n_after") >= least))
-    rows = rows.join(frames_in(track), "match_id")
+    rows = spread_join(rows, frames_in(track), KEYS)
     rows = rows.filter((F.col("frame") >= window) & (F.col("frame") < F.col("frame_count") - window)).drop("frame_count")
     return (
         rows.withColumn("prominence_px", F.col("y_px") - F.greatest("_minb", "_mina"))

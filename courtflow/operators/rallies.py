@@ -22,6 +22,7 @@ from courtflow.functions.sequences import (
     interval_join,
     last_before,
     running_count,
+    spread_join,
     with_halo,
 )
 from courtflow.session import cut_lineage
@@ -190,7 +191,7 @@ def onset_jumps(kin: DataFrame, video: C.Video, s: C.RallySettings = C.RallySett
     back = C.frames_for(s.serve_baseline_s, video.fps) + 1
     ends = kin.groupBy("match_id").agg(F.max("frame").alias("last_frame"))
     rows = kin.select("match_id", "frame", "moving", "supported", "onset", "refined_start", F.col("x_px").isNotNull().alias("known"))
-    rows = with_halo(rows, "frame", back, ahead, chunk).join(ends, "match_id")
+    rows = spread_join(with_halo(rows, "frame", back, ahead, chunk), ends, KEYS)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         return _jumps_of_chunk(pdf, int(pdf["last_frame"].iat[0]), video, s)
