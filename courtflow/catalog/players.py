@@ -10,6 +10,7 @@ from courtflow.catalog.base import SHARED, query
 from courtflow.catalog.events import H, HI, bounces_of, contacts_of, greedy_sql, project_sql, rallies_of
 from courtflow.catalog.positions import FAR, LEN, NEAR, NET, WID
 from courtflow.functions import geometry as G
+from courtflow.functions.sequences import spread_join
 from courtflow.operators import audio as A
 from courtflow.operators import events as X
 from courtflow.operators import hitters as HT
@@ -199,7 +200,7 @@ def a21(t):
 )
 def e22(t):
     d, p = prototypes_of(t)
-    return d.join(p, "match_id").select("match_id", "observation_id", "role", PL.cosine("embedding", "prototype").alias("similarity"))
+    return spread_join(d, p, ["match_id"]).select("match_id", "observation_id", "role", PL.cosine("embedding", "prototype").alias("similarity"))
 
 
 SIM = "select cast(floor(event_id / 400) as bigint) as match_id, cast(floor(event_id / 4) as bigint) as observation_id, case event_id % 4 when 0 then 'ME' when 1 then 'PARTNER' when 2 then 'OPPONENT_1' else 'OPPONENT_2' end as role, case when event_id % 4 < 2 then 'near_side' else 'far_side' end as side, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) / 99e0 as similarity from {events}"
@@ -216,7 +217,47 @@ def _observations(t):
     return g.withColumn("observation_id", F.col("detection_id"))
 
 
-@query("f12_logical_identities")
+# What each observation brings for a role, by tracker id followed so far and by another.
+SHARED["ck_idterm"] = f"""
+select *, case when keeps then 55e-2 + 15e-2 * confidence + 10e-2 * place + 5e-2 * half end as same,
+  case when changes then 18e-2 + 12e-2 * confidence + 15e-2 * place + 10e-2 * half end as other
+from (select a.match_id, a.role, a.anchor_frame as first, g.frame, g.detection_id as id, g.t_s as t, g.tracker_id as k, g.x_m as x, g.y_m as y, g.confidence,
+    case g.region when 'inside' then 1e0 when 'near' then 65e-2 else 25e-2 end as place, case when g.side = a.side then 1e0 else 45e-2 end as half,
+    not (a.side <> 'ambiguous' and g.side <> 'ambiguous' and g.side <> a.side)
+      and (g.region <> 'outside' or coalesce(g.x_m between 0 and {WID} and not (g.y_m between 0 and {LEN}), false)) as keeps,
+    not (a.side <> 'ambiguous' and g.side <> 'ambiguous' and g.side <> a.side) and g.region not in ('outside', 'ambiguous') and g.x_m is not null as changes
+  from ck_anchor a join ck_ground g on g.match_id = a.match_id)
+"""
+_ID_NOTHING = "'id': cast(null as bigint), 'sc': cast(null as double), 'm': cast(null as varchar)"
+SHARED["ck_idframe"] = """
+select match_id, role, frame, abs(frame - first) as far, frame > first as ahead, list({'id': id, 't': t, 'k': k, 'x': x, 'y': y, 'same': same, 'other': other} order by id) as c
+from ck_idterm where frame <> first group by match_id, role, frame, first
+"""
+_MOVED = "case when p.x is not null and o.x is not null then 1 - sqrt(power(o.x - p.x, 2) + power(o.y - p.y, 2)) / (5e-1 + 8e0 * abs(o.t - p.t)) when o.k is not distinct from p.k then 35e-2 else -1e0 end"
+_SCORE = f"""case when o.t = p.t or abs(o.t - p.t) > 3 or {_MOVED} < 0 then null
+  when o.k is not distinct from p.k then case when o.same is not null then least(1e0, o.same + 15e-2 * {_MOVED}) end
+  when o.other is not null then least(1e0, o.other + 30e-2 * {_MOVED} + 15e-2 * greatest(0e0, 1 - abs(o.t - p.t) / 3)) end"""
+_RANKED = f"list_sort(list_filter(list_transform(x[1].c, lambda o: {{'n': -({_SCORE}), 'id': o.id, 't': o.t, 'k': o.k, 'x': o.x, 'y': o.y}}), lambda z: z.n <= -45e-2))"
+_FOLLOW = """{'f': x[1].f, 'c': x[1].c, 'id': s[1].id, 'sc': -s[1].n,
+  'm': case when len(s) = 0 then null when s[1].k is distinct from p.k and not (abs(x[1].f - p.f) > 1 and -s[1].n >= 65e-2) then 'id_change_requires_review'
+    when s[1].k is distinct from p.k or abs(x[1].f - p.f) > 1 then 'reacquisition' else 'continuity' end,
+  'p': case when len(s) = 0 then p else {'f': x[1].f, 't': s[1].t, 'k': s[1].k, 'x': s[1].x, 'y': s[1].y} end}"""
+# One walk forwards and one backwards from each anchor; a state holds what was followed last.
+SHARED["ck_idwalk"] = f"""
+select match_id, role, unnest(kept[2:]) as h from (
+ select f.match_id, f.role, f.ahead, list_reduce(list_prepend([{{'f': any_value(g.frame), 'c': any_value(f.c)[1:0], {_ID_NOTHING}, 'p': {{'f': any_value(g.frame), 't': any_value(g.t_s), 'k': any_value(g.tracker_id), 'x': any_value(g.x_m), 'y': any_value(g.y_m)}}}}],
+    list([{{'f': f.frame, 'c': f.c, {_ID_NOTHING}, 'p': {{'f': cast(null as bigint), 't': cast(null as double), 'k': cast(null as bigint), 'x': cast(null as double), 'y': cast(null as double)}}}}] order by f.far)),
+  lambda acc, x: list_concat(acc, list_transform(list_transform([acc[len(acc)].p], lambda p: {{'p': p, 's': {_RANKED}}}), lambda w: list_transform([w.p], lambda p: list_transform([w.s], lambda s: {_FOLLOW})[1])[1]))) as kept
+ from ck_idframe f join ck_anchor a on a.match_id = f.match_id and a.role = f.role join ck_ground g on g.match_id = a.match_id and g.detection_id = a.detection_id group by 1, 2, 3)
+"""
+
+
+@query(
+    "f12_logical_identities",
+    """select match_id, role, h.f as frame, h.id as observation_id, h.sc as confidence, h.m as method from ck_idwalk where h.id is not null
+    union all select match_id, role, anchor_frame, detection_id, 1e0, 'seed' from ck_anchor""",
+    "confidence",
+)
 def f12(t):
     obs, a = _observations(t), anchors_of(t)
     seeds = a.select("match_id", "role", "side", F.col("anchor_frame").alias("frame"), F.col("detection_id").alias("observation_id"), F.lit(True).alias("manual"))
