@@ -151,6 +151,18 @@ def test_exact_median(spark, width):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want.index)
 
 
+@pytest.mark.parametrize("most", [1, 7])
+def test_exact_median_refines_only_the_middle(spark, most):
+    """Mostly silence, all values in one wide bucket, and a key of a single value."""
+    rng = np.random.default_rng(4)
+    values = np.concatenate([np.zeros(300), rng.normal(0, 0.01, 200).round(5), rng.normal(0, 1e-4, 300)])
+    keys = np.concatenate([np.zeros(300), np.zeros(200), np.ones(300)]).astype(int)
+    frame = pd.concat([pd.DataFrame({"k": keys, "v": values}), pd.DataFrame({"k": [2, 3, 3], "v": [5.0, -1.0, 4.0]})])
+    got = {r.k: r.m for r in AU.exact_median(spark.createDataFrame(frame), ["k"], "v", 100.0, "m", most).collect()}
+    want = frame.groupby("k").v.median()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want.index) and len(got) == 4
+
+
 def test_sample_exactly_is_whole_and_seeded(spark):
     df = spark.range(1000).withColumn("k", F.col("id") % 3)
     one = rows_of(DS.sample_exactly(df, ["k"], 40, 7, "id"))
