@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtflow.llm import kernels as K
+from courtflow.llm.tables import free_name
 
 SPAN, GRAM = 10, 4
 WINDOW = SPAN - GRAM + 1
@@ -158,11 +159,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Z lower-cased.  A window is ``SPAN`` consecutive words of an item, or all of a
     shorter one.  Returns row (a hash of doc_id and text), doc_id, n_words, n_hit, spans (hit runs in words), items
     (ids with a window in the document, ordered as strings).  Null and wordless
-    texts have no words and no hits, such items no windows; items without id are
-    left out, and rows of equal doc_id and text are told apart only by what they
-    have in common.  Other columns are not read.
+    texts have no words and no hits, such items no windows; items without id count
+    for words and spans and are not listed, and rows of equal doc_id and text are
+    told apart only by what they have in common.  Other columns are not read.
     """
-    prints = item_prints(benchmark.where("item_id IS NOT NULL")).distinct()
+    prints = item_prints(benchmark).distinct()
     table, lengths = _filter(prints)
     hits = document_hits(docs, table, lengths)
     found = occurrences(hits, prints).groupBy("row").agg(
@@ -189,5 +190,6 @@ def items_digest(items: str = "items"):
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those that have a word in an occurrence of a benchmark window."""
-    hit = contamination(docs, benchmark).where("n_hit > 0").select(F.col("row").alias("_row"))
-    return docs.join(hit, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == F.col("_row"), "left_anti")
+    row = free_name(docs, "row")
+    hit = contamination(docs, benchmark).where("n_hit > 0").select(F.col("row").alias(row))
+    return docs.join(hit, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == F.col(row), "left_anti")

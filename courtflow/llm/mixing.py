@@ -10,12 +10,14 @@ subset of what a larger one takes, and reruns agree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtflow.llm.tables import keep, word_count
 
 LEVELS, BITS = 4, 12
+#: Parts into which rows of one id, source and text are divided when they are numbered.
+SHARES = 16
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
 
@@ -78,14 +80,44 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return budgets.join(found, "key", "left").select("key", F.coalesce("below", F.lit(1 << top)).alias("below"))
 
 
+def _hash(copy) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(F.col("identity"), F.lit("/"), copy.cast("string"))), 1, 12), 16, 10).cast("long")
+
+
 def _marked(docs: DataFrame, *columns) -> DataFrame:
-    """``columns`` with key (sorts null last) and hash of every row."""
-    identity = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")))
-    return docs.select(
-        *columns,
-        F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("key"),
-        F.conv(F.substring(F.md5(identity), 1, 12), 16, 10).cast("long").alias("hash"),
-    )
+    """``columns`` with key (sorts null last), identity, same (its 64-bit hash) and hash of every row as if none were repeated."""
+    key = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
+    parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key, F.md5(F.coalesce("text", F.lit("")))]
+    rows = docs.select(*columns, key.alias("key"), F.md5(F.concat_ws("/", *parts)).alias("identity"))
+    return rows.withColumns({"same": F.xxhash64("identity"), "hash": _hash(F.lit(0))})
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The values of ``same`` that more than one row has, once for each share of ``_copies``."""
+    more = rows.groupBy("same").count().where("count > 1")
+    return keep(more.select("same", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share")))
+
+
+def _copies(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Number the rows that are equal in id, source and text, and give each a hash of its own.
+
+    Only repeated rows are moved.  They are numbered within the partitions of a
+    written table; running totals of one row per partition give the first number
+    of each, so no task holds all rows of a text that fills much of the table.
+    """
+    if repeated.isEmpty():
+        return rows.drop("identity", "same")
+    shared = rows.withColumn("share", F.pmod(F.monotonically_increasing_id(), F.lit(SHARES)).cast("int"))
+    once = rows.join(repeated.where("share = 0").select("same"), "same", "left_anti")
+    again = keep(shared.join(repeated, ["same", "share"], "left_semi").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("same").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = again.groupBy("same", "part").agg(F.count(F.lit(1)).alias("n"))
+    firsts = firsts.select("same", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy("same", "part").orderBy("share")) - 1
+    again = again.withColumn("place", place).join(firsts, ["same", "part"])
+    again = again.withColumn("hash", _hash(F.col("first") + F.col("place")))
+    columns = [c for c in rows.columns if c not in ("identity", "same")]
+    return once.select(*columns).union(again.select(*columns))
 
 
 def _plan(rows: DataFrame, share: float, cap: int, weights: tuple[int, ...]) -> DataFrame:
@@ -110,11 +142,13 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
     Sizes are words separated by ASCII white space (null text: none).  Returns
     doc_id, source, size, source_size, target (of the source), passes (times the
     document is taken) and taken.  No document is taken more than ``cap`` times.
-    Null is a source of its own, the last.  The hash comes from doc_id and source
-    alone; rows that share both are taken or left together.  An empty table gives
-    no rows, and a source without words has target 0.
+    Null is a source of its own, the last.  The hash comes from doc_id, source and
+    text and, for rows equal in all three, a running number, so ids may be missing
+    or repeated.  An empty table gives no rows, and a source without words has
+    target 0.
     """
     rows = keep(_marked(docs, "doc_id", "source", word_count().alias("size")))
+    rows = _copies(rows, _repeated(rows))
     passes = F.col("full") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
     return rows.join(_plan(rows, share, cap, weights), "key").select(
         "doc_id", "source", "size", "source_size", "target", passes.alias("passes"), (F.col("size") * passes).alias("taken")
@@ -123,7 +157,9 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tupl
 
 def take(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows of ``docs`` as often as ``mix_sources`` takes them; texts are not shuffled where the plan has few sources."""
-    plan = _plan(keep(_marked(docs, word_count().alias("size"))), share, cap, weights).select("key", "full", "below")
-    rows = _marked(docs, F.struct(*docs.columns).alias("whole")).join(plan, "key")
+    sizes = keep(_marked(docs, word_count().alias("size")))
+    repeated = _repeated(sizes)
+    plan = _plan(_copies(sizes, repeated), share, cap, weights).select("key", "full", "below")
+    rows = _copies(_marked(docs, F.struct(*docs.columns).alias("whole")), repeated).join(plan, "key")
     times = F.col("full") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
     return rows.select("whole", F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("time")).select("whole.*")

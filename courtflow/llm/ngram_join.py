@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from courtflow.llm import kernels as K
 from courtflow.llm.blocks import KEYS_SCHEMA, Blocks, answers_in_order, ask, keys_table, send_keys
 from courtflow.llm.graph import components
-from courtflow.llm.tables import keep
+from courtflow.llm.tables import free_name, keep
 
 SIMILARITY = (4, 5)  # 0.8 as a fraction
 SHINGLE = 5
@@ -240,7 +240,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     at_head = F.col("_id").eqNullSafe(F.col("_head")) & (F.col("_node") == F.col("_head_node"))
     # Only what goes or needs a choice: other rows stay as they are.
     known = keep(rows.join(heads, at_head, "left").where("_head_node IS NULL OR _m > 1").select("_id", "_node", F.col("_head_node").isNotNull().alias("_stays")))
-    here = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_node"))
+    at_id, at_node = free_name(docs, "id"), free_name(docs, "node")
+    known = known.withColumnsRenamed({"_id": at_id, "_node": at_node})
+    here = docs["doc_id"].eqNullSafe(F.col(at_id)) & (F.xxhash64(docs["text"]) == F.col(at_node))
     single = docs.join(known, here, "left_anti")
     repeated = docs.join(known.where("_stays"), here, "left_semi")
     chosen = repeated.select(F.col("doc_id").alias("_id"), node.alias("_node"), value.alias("_value"), F.struct(*docs.columns).alias("_row"))

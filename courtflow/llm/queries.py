@@ -58,7 +58,8 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
 OP9_SQL = r"""
 WITH rows_ AS (
   SELECT doc_id, coalesce('0' || source, '1') AS key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || md5(coalesce(doc_id::VARCHAR, '') || '/' || coalesce(source, ''))[1:12])::BIGINT AS hash
+    ('0x' || md5(md5(coalesce(doc_id::VARCHAR, '') || '/' || coalesce('0' || source, '1') || '/' || md5(coalesce(text, ''))) || '/' ||
+      (row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1))[1:12])::BIGINT AS hash
   FROM documents
 ), sources AS (
   SELECT key, sum(size)::BIGINT AS source_size FROM rows_ GROUP BY key
@@ -163,7 +164,7 @@ WITH docs AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes WHERE len(w) >= n)
 ), found AS (SELECT p.doc_id, item_id, i, p.n FROM places p JOIN windows v ON p.n = v.n AND p.s = v.s
 ), words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id
-), ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id
+), ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -42,6 +42,14 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def n_bytes(text: str = "text"):
     """UTF-8 bytes of a text; null has none."""
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")

@@ -31,6 +31,6 @@ def clashing(df):
     """Extra columns with names that operators use inside."""
     from pyspark.sql import functions as F
 
-    for name in ("block", "key", "size", "tie", "node", "hash", "n", "bucket", "row", "start", "part", "value", "token"):
+    for name in ("block", "key", "size", "tie", "node", "hash", "n", "bucket", "row", "start", "part", "value", "token", "id", "_id", "_node", "_row", "same", "share", "copy"):
         df = df.withColumn(name, F.lit("x"))
     return df

@@ -24,7 +24,7 @@ def brute(rows, items):
                 for k in range(len(w) - n + 1):
                     if w[k : k + n] == v[i : i + n]:
                         hit.update(range(k, k + n))
-                        ids.add(item_id)
+                        ids.update([item_id] if item_id is not None else [])
         out.append((doc_id, len(w), len(hit), sorted(map(str, ids))))
     return sorted(out, key=str)
 
@@ -57,10 +57,12 @@ def test_equals_brute_force_with_short_and_repetitive_items(spark):
 
 def test_odd_rows(spark):
     df = odd(spark)
-    items = [(1, "the quick brown fox jumps over the lazy dog the"), (None, "no id"), (2, None), (3, "straße")]
+    items = [(1, "the quick brown fox jumps over the lazy dog the"), (None, "no id"), (2, None), (3, "straße"), (None, "straße 12")]
     benchmark = spark.createDataFrame(items, KIND)
-    want = brute([(r.doc_id, r.text) for r in df.collect()], [i for i in items if i[0] is not None])
+    want = brute([(r.doc_id, r.text) for r in df.collect()], items)
     assert rows_of(contamination(clashing(df), clashing(benchmark))) == want
+    kept = uncontaminated(df, spark.createDataFrame([(None, "no id")], KIND)).collect()
+    assert len(kept) == df.count() - 1 and all("no id" not in (r.text or "") for r in kept)
     assert uncontaminated(clashing(df), benchmark).columns == clashing(df).columns
     assert contamination(empty(spark), benchmark).count() == 0
     assert all(r.n_hit == 0 for r in contamination(df, spark.createDataFrame([], KIND)).collect())

@@ -1,7 +1,9 @@
 import random
 
+import duckdb
 import pytest
 from courtflow.llm.mixing import mix_sources, take
+from courtflow.llm.queries import OP9_SQL
 from helpers import clashing, documents, empty, odd
 
 
@@ -52,3 +54,27 @@ def test_odd_rows(spark):
     assert take(clashing(df)).columns == clashing(df).columns
     nothing = mix_sources(documents(spark, [(1, None, None, "a"), (2, "", None, None)])).collect()
     assert [(r.target, r.taken) for r in nothing] == [(0.0, 0)] * 2
+
+
+def test_missing_and_repeated_ids_meet_the_targets(spark):
+    """Nine of ten rows have no id, half of them one text; ids repeat among the others."""
+    rows = [(i % 40 if i % 10 == 0 else None, "w " * (7 if i % 2 else 1 + i % 23), None, "a" if i % 3 else None) for i in range(6000)]
+    df = documents(spark, rows).repartition(5)
+    got = mix_sources(df).collect()
+    assert len(got) == len(rows)
+    for source in ("a", None):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 23
+    assert sorted(got, key=str) == sorted(mix_sources(df.repartition(3)).collect(), key=str)
+    wide = take(clashing(df))
+    assert wide.count() == sum(r.passes for r in got) and wide.columns == clashing(df).columns
+
+
+def test_equals_sql_on_missing_and_repeated_ids(spark):
+    rows = [(i % 7 if i % 3 else None, None if i % 11 == 0 else "w " * (i % 5), None, (None, "", "a", "b")[i % 4]) for i in range(900)]
+    base = duckdb.connect()
+    documents_table = documents(spark, rows).toPandas()  # noqa: F841
+    base.execute("CREATE TABLE documents AS SELECT doc_id::BIGINT AS doc_id, text, source FROM documents_table")
+    want = base.execute(OP9_SQL).fetchall()
+    got = [(r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mix_sources(documents(spark, rows)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
