@@ -1,7 +1,7 @@
 """All registered queries and their check SQL."""
 
 from courtflow.catalog import base
-from courtflow.catalog import positions, analytics, ball, events, players, records  # noqa: F401
+from courtflow.catalog import positions, analytics, ball, events, players, calibrated, records  # noqa: F401
 
 
 def queries():

@@ -35,6 +35,9 @@ class Video:
     def diagonal(self) -> float:
         return math.hypot(self.width, self.height)
 
+    def frames(self, seconds: float, least: int = 1) -> int:
+        return frames_for(seconds, self.fps, least)
+
 
 def frames_for(seconds: float, fps: float, least: int = 1) -> int:
     """Whole frames for a duration; halves go to the even neighbour."""

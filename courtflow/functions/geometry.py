@@ -2,10 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtflow import config as C
+from courtflow.functions.sequences import spread_join
+
+CALIBRATION = ("fps", "width", "height", "image_to_court", "court_to_image", "rmse_m")
+
+
+@dataclass(frozen=True)
+class Camera:
+    """Frame rate, size and matrices of each row's own match, as ``calibrated`` joins them.
+
+    Takes the place of ``config.Video``, of corners and of a matrix where matches differ.
+    ``top_fps`` is the highest rate among them: how far a window can reach.
+    """
+
+    top_fps: float
+
+    @property
+    def fps(self) -> Column:
+        return F.col("fps")
+
+    @property
+    def width(self) -> Column:
+        return F.col("width")
+
+    @property
+    def height(self) -> Column:
+        return F.col("height")
+
+    @property
+    def diagonal(self) -> Column:
+        return hypot(self.width, self.height)
+
+    @property
+    def homography(self) -> list[Column]:
+        return coefficients("image_to_court")
+
+    @property
+    def inverse(self) -> list[Column]:
+        return coefficients("court_to_image")
+
+    @property
+    def corners(self) -> list[tuple[Column, Column]]:
+        """The court's corners in the image."""
+        at = [F.get(F.col("court_corners"), F.lit(i)) for i in range(8)]
+        return list(zip(at[::2], at[1::2], strict=True))
+
+    def frames(self, seconds: float, least: int = 1) -> Column:
+        return F.greatest(F.lit(least), F.bround(F.lit(seconds) * self.fps).cast("bigint"))
+
+    def reach(self, seconds: float, least: int = 1) -> int:
+        return C.frames_for(seconds, self.top_fps, least)
+
+
+def coefficients(matrix: str) -> list[Column]:
+    """The nine entries of an array column; null where it is missing or shorter."""
+    return [F.get(F.col(matrix), F.lit(i)) for i in range(9)]
+
+
+def camera_of(calibrations: DataFrame) -> Camera:
+    """Camera for rows joined with ``calibrations``; one number comes to the driver."""
+    top = calibrations.agg(F.max("fps")).first()[0]
+    return Camera(float(top) if top is not None else C.Video().fps)
+
+
+def calibrated(rows: DataFrame, calibrations: DataFrame, how: str = "left") -> DataFrame:
+    """Rows with the calibration of their match (one row each); null columns where it has none.
+
+    The corners of the court are projected once per match.  A match that holds most
+    rows is spread over several tasks.
+    """
+    w, l = C.COURT_WIDTH_M, C.COURT_LENGTH_M  # noqa: E741
+    corners = [v for x, y in ((0.0, 0.0), (w, 0.0), (w, l), (0.0, l)) for v in project(F.lit(x), F.lit(y), coefficients("court_to_image"))]
+    cameras = calibrations.select("match_id", *CALIBRATION, F.array(*corners).alias("court_corners"))
+    return spread_join(rows, cameras, ["match_id"], how=how)
 
 
 def col(c: str | Column) -> Column:

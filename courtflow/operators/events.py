@@ -19,17 +19,35 @@ def frames_in(track: DataFrame) -> DataFrame:
     return track.groupBy("match_id").agg((F.max("frame") + 1).alias("frame_count"))
 
 
-def local_shape(track: DataFrame, window: int, least: int, chunk: int = CHUNK_FRAMES) -> DataFrame:
+#: A radius of a match's own length, in the scale of ``in_radii``, and how far rounding may be off.
+UNIT, SLACK = 10**6, 500
+
+
+def in_radii(frame: str, radius: Column) -> Column:
+    """A frame's place in steps of ``radius`` frames, ``UNIT`` each.
+
+    Frames up to ``radius`` apart lie within ``UNIT + SLACK``, others beyond, for radii
+    below 1,000 frames: a window of a constant range then has each match's own radius.
+    """
+    return F.round(F.col(frame) * F.lit(float(UNIT)) / radius).cast("bigint")
+
+
+def local_shape(track: DataFrame, window: int | Column, least: int, chunk: int = CHUNK_FRAMES, reach: int | None = None) -> DataFrame:
     """Two-sided slopes, prominence and continuity at each known frame of a segment.
 
     All windows share one partitioning. Frames too near an end of the match, or
-    with too few known neighbours on a side, are dropped.
+    with too few known neighbours on a side, are dropped.  A ``window`` that
+    differs between matches is a column; ``reach`` is then the largest.
     """
     known = track.filter(F.col("x_px").isNotNull() & F.col("segment_id").isNotNull())
-    rows = with_halo(known, "frame", window, window, chunk)
-    w = W.partitionBy(*KEYS, CHUNK, "segment_id").orderBy("frame")
-    before, after, around = w.rangeBetween(-window, 0), w.rangeBetween(0, window), w.rangeBetween(-window, window)
-    strict_b, strict_a = w.rangeBetween(-window, -1), w.rangeBetween(1, window)
+    if isinstance(window, int):
+        reach, place, far, near = window, F.col("frame"), window, 1
+    else:
+        place, far, near = in_radii("frame", window), UNIT + SLACK, SLACK
+    rows = with_halo(known, "frame", reach, reach, chunk)
+    w = W.partitionBy(*KEYS, CHUNK, "segment_id").orderBy(place)
+    before, after, around = w.rangeBetween(-far, 0), w.rangeBetween(0, far), w.rangeBetween(-far, far)
+    strict_b, strict_a = w.rangeBetween(-far, -near), w.rangeBetween(near, far)
     slope = lambda c, over: F.coalesce(F.regr_slope(F.col(c), F.col("t_s")).over(over), F.lit(0.0))
     rows = rows.select(
         "*",
@@ -63,24 +81,29 @@ def with_rally(points: DataFrame, rallies: DataFrame | None) -> DataFrame:
 
 def bounce_candidates(
     track: DataFrame,
-    video: C.Video,
+    video: C.Video | G.Camera,
     corners: list[tuple],
     homography: list,
     rallies: DataFrame | None = None,
     s: C.BounceSettings = C.BounceSettings(),
     chunk: int = CHUNK_FRAMES,
 ) -> DataFrame:
-    """Downward-then-upward turns in image space, scored; cheap gates come first."""
-    window = max(s.min_each_side, round(s.window_s * video.fps))
+    """Downward-then-upward turns in image space, scored; cheap gates come first.
+
+    With a ``Camera``, ``track`` is ``calibrated`` and every match has its own
+    window, size, corners and matrix; matches without calibration have no candidates.
+    """
+    window = video.frames(s.window_s, s.min_each_side)
+    reach = video.reach(s.window_s, s.min_each_side) if isinstance(video, G.Camera) else None
     d = video.diagonal
     floor = s.min_vertical_speed * d
-    rows = local_shape(track, window, s.min_each_side, chunk)
+    rows = local_shape(track, window, s.min_each_side, chunk, reach)
     rows = rows.withColumn("reversal", (F.col("by") - F.col("ay")) / d).withColumn("prominence", F.col("prominence_px") / d)
     rows = rows.filter(
         (F.col("by") >= floor) & (F.col("ay") <= -floor) & (F.col("reversal") >= s.min_reversal)
         & (F.col("prominence") >= s.min_prominence) & (F.col("continuity") >= s.min_continuity)
     )
-    rows = with_rally(rows, rallies).withColumn("inside_image", G.in_convex("x_px", "y_px", corners))
+    rows = with_rally(rows, rallies).withColumn("inside_image", F.coalesce(G.in_convex("x_px", "y_px", corners), F.lit(False)))
     confidence = (
         0.27 * G.cap1(F.col("reversal") / (s.min_reversal * 3))
         + 0.18 * G.cap1(F.col("prominence") / (s.min_prominence * 3))
@@ -122,7 +145,7 @@ def audio_matches(events: DataFrame, audio: DataFrame, tolerance_s: float) -> Da
 
 def detect_bounces(
     track: DataFrame,
-    video: C.Video,
+    video: C.Video | G.Camera,
     corners: list[tuple],
     homography: list,
     audio: DataFrame,
@@ -131,7 +154,14 @@ def detect_bounces(
     chunk: int = CHUNK_FRAMES,
 ) -> DataFrame:
     raw = cut_lineage(bounce_candidates(track, video, corners, homography, rallies, s, chunk))
-    kept = cut_lineage(suppress_near(raw, KEYS, "frame", "visual", C.frames_for(s.spacing_s, video.fps), False, chunk))
+    apart = video.frames(s.spacing_s)
+    if isinstance(apart, int):
+        kept = suppress_near(raw, KEYS, "frame", "visual", apart, False, chunk)
+    else:
+        # Closer than the spacing is at most UNIT - UNIT / spacing in its own scale.
+        raw = raw.withColumn("_place", in_radii("frame", apart))
+        kept = suppress_near(raw, KEYS, "_place", "visual", UNIT - SLACK, False, chunk * UNIT // video.reach(s.spacing_s)).drop("_place")
+    kept = cut_lineage(kept)
     return evidence(kept, audio_matches(kept, audio, s.tolerance_s), s.accepted, s.audio_weight)
 
 

@@ -24,18 +24,22 @@ def landmark_residuals(landmarks: DataFrame, image_to_court: list, court_to_imag
         "image_px", G.hypot(qx - F.col("u"), qy - F.col("v")))
 
 
-def calibration_quality(residuals: DataFrame, video: C.Video) -> DataFrame:
-    """RMSE and maxima over all landmarks and over inliers, with the warnings they give."""
+def calibration_quality(residuals: DataFrame, video: C.Video | G.Camera) -> DataFrame:
+    """RMSE and maxima over all landmarks and over inliers, with the warnings they give.
+
+    With a ``Camera`` the size of each match's own image sets its limit.
+    """
+    keys = ["match_id", "width", "height"] if isinstance(video, G.Camera) else ["match_id"]
     rms = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
     inner = lambda c: F.sqrt(F.avg(F.when(F.col("inlier"), F.col(c) * F.col(c))))
-    out = residuals.groupBy("match_id").agg(
+    out = residuals.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if(~F.col("inlier")).alias("outliers"),
         rms("court_m").alias("rmse_m"), F.max("court_m").alias("max_m"), rms("image_px").alias("rmse_px"), F.max("image_px").alias("max_px"),
         inner("court_m").alias("inlier_rmse_m"), inner("image_px").alias("inlier_rmse_px"))
     warnings = F.array_compact(F.array(
         F.when(F.col("n") == 4, "four_points_only"), F.when(F.col("outliers") > 0, "outliers"),
         F.when(F.col("rmse_px") > 0.003 * video.diagonal, "image_rmse"), F.when(F.col("rmse_m") > 0.08, "court_rmse")))
-    out = out.withColumn("warnings", warnings)
+    out = out.withColumn("warnings", warnings).drop(*keys[1:])
     return out.withColumn("status", F.when(F.size("warnings") > 0, "warning").otherwise("pass"))
 
 

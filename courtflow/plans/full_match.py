@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtflow import config as C
+from courtflow.functions import geometry as G
 from courtflow.functions.sequences import CHUNK_FRAMES, chunk_of
 from courtflow.operators import analytics as A
 from courtflow.operators import ball as B
@@ -21,10 +22,13 @@ from courtflow.operators import shots as SH
 
 @dataclass
 class Inputs:
-    """Tables of one frame rate and camera geometry.
+    """Tables of one frame rate.
 
     ``candidates`` ball detections, ``matches`` (match_id, frame_count), ``positions``
-    raw player positions, ``boxes`` player boxes, ``audio`` transients.
+    raw player positions, ``boxes`` player boxes, ``audio`` transients.  ``calibrations``
+    (match_id, fps, width, height, image_to_court, court_to_image, rmse_m) give each match
+    its own camera for bounces; ``corners`` and ``homography`` stand for all matches
+    where there is no such table.
     """
 
     candidates: DataFrame
@@ -32,9 +36,10 @@ class Inputs:
     positions: DataFrame
     boxes: DataFrame
     audio: DataFrame
-    corners: list[tuple]
-    homography: list
+    corners: list[tuple] | None = None
+    homography: list | None = None
     video: C.Video = C.Video()
+    calibrations: DataFrame | None = None
 
 
 class Stages:
@@ -63,6 +68,15 @@ class Stages:
         return self.spark.read.parquet(path)
 
 
+def find_bounces(inputs: Inputs, track: DataFrame, rallies: DataFrame) -> DataFrame:
+    """Bounces under each match's own calibration, or under the one given for all."""
+    if inputs.calibrations is None:
+        return X.detect_bounces(track, inputs.video, inputs.corners, inputs.homography, inputs.audio, rallies)
+    camera = G.camera_of(inputs.calibrations)
+    seen = G.calibrated(track, inputs.calibrations, "inner")
+    return X.detect_bounces(seen, camera, camera.corners, camera.homography, inputs.audio, rallies).drop(*G.CALIBRATION, "court_corners")
+
+
 def analyse(inputs: Inputs, stages: Stages) -> dict[str, DataFrame]:
     v = inputs.video
     out: dict[str, DataFrame] = {}
@@ -78,7 +92,7 @@ def analyse(inputs: Inputs, stages: Stages) -> dict[str, DataFrame]:
     out["rallies"] = stages.table("rallies", lambda: R.number_rallies(found).select(
         "match_id", F.col("rally_no").alias("rally_id"), "start_frame", "end_frame",
         (F.col("start_frame") / v.fps).alias("start_s"), (F.col("end_frame") / v.fps).alias("end_s"), "confidence"), "start_frame")
-    out["bounces"] = stages.table("bounces", lambda: X.detect_bounces(track, v, inputs.corners, inputs.homography, inputs.audio, out["rallies"]))
+    out["bounces"] = stages.table("bounces", lambda: find_bounces(inputs, track, out["rallies"]))
     prior = out["bounces"].filter("accepted_fused").select("match_id", "frame", F.col("fused").alias("confidence"))
     out["contacts"] = stages.table("contacts", lambda: X.detect_contacts(track, inputs.boxes, v, prior, inputs.audio, out["rallies"]))
     near = X.candidate_players(out["contacts"], inputs.boxes, v, C.ContactSettings().max_proximity)
