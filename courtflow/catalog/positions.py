@@ -224,18 +224,25 @@ select *, x_m is not null and region in ('inside', 'near') as ok, x_m is not nul
 """
 SHARED["ck_sm_steps"] = """
 select match_id, role, sum(d) filter (where o = 'accepted') as distance_m, count(*) filter (where o = 'accepted') as steps,
-  count(*) filter (where o = 'gap') as gap_steps, count(*) filter (where o = 'speed') as speed_steps, sum(abs(dx)) filter (where o = 'accepted') as lateral_m
+  count(*) filter (where o = 'gap') as gap_steps, count(*) filter (where o = 'speed') as speed_steps, sum(abs(dx)) filter (where o = 'accepted') as lateral_m,
+  sum(abs(dx)) filter (where o = 'accepted') / sum(dt) filter (where o = 'accepted') as mean_lateral_mps, max(abs(dx) / dt) filter (where o = 'accepted') as max_lateral_mps
 from (select *, case when pf is null then null when frame - pf <> 1 or dt <= 0 or dt > 2e-1 then 'gap' when d / dt > 8e0 then 'speed' else 'accepted' end as o
  from (select match_id, role, frame, lag(frame) over w as pf, t_s - lag(t_s) over w as dt, x_m - lag(x_m) over w as dx,
         sqrt(power(x_m - lag(x_m) over w, 2) + power(y_m - lag(y_m) over w, 2)) as d
       from ck_sm_ok where ok window w as (partition by match_id, role order by frame))) group by 1, 2
 """
 
+SHARED["ck_sm_spacing"] = """
+select a.match_id, a.role = 'ME' as team, avg(sqrt(power(a.x_m - b.x_m, 2) + power(a.y_m - b.y_m, 2))) as spacing_m, count(*) as samples
+from ck_sm_ok a join ck_sm_ok b on b.match_id = a.match_id and b.frame = a.frame and b.role = case a.role when 'ME' then 'PARTNER' else 'OPPONENT_2' end
+where a.role in ('ME', 'OPPONENT_1') and a.ok and b.ok group by 1, 2
+"""
+
 
 def _zone_cols() -> str:
     z = zone_sql("y_m")
     return ", ".join(
-        f"count(*) filter (where inc and {z} = '{n}') as \"{n}_frames\", "
+        f"count(*) filter (where inc and {z} = '{n}') as \"{n}_frames\", count(*) filter (where inc and {z} = '{n}') / 30e0 as \"{n}_seconds\", "
         f"case when count(*) filter (where inc) > 0 then count(*) filter (where inc and {z} = '{n}') / count(*) filter (where inc) end as \"{n}_share\""
         for n in C.ZONES
     )
@@ -243,13 +250,15 @@ def _zone_cols() -> str:
 
 @query(
     "a13_player_summary",
-    f"""select b.*, s.* exclude (match_id, role) from (
+    f"""select b.*, s.* exclude (match_id, role), p.spacing_m, coalesce(p.samples, 0) as spacing_samples, coalesce(p.samples, 0) / n.frame_count as spacing_coverage from (
       select match_id, role, count(*) as source_frames, count(raw_x_m) as raw_frames, count(x_m) as smoothed_frames,
         count(*) filter (where ok) as eligible_frames, count(*) filter (where inc) as in_court_frames,
         avg({setback_sql('y_m')}) filter (where inc) as kitchen_distance_m, max(x_m) filter (where ok) - min(x_m) filter (where ok) as lateral_range_m,
-        {_zone_cols()}, count(*) filter (where ok) / count(*) as coverage from ck_sm_ok group by 1, 2) b
-      left join ck_sm_steps s on b.match_id = s.match_id and b.role = s.role""",
-    'distance_m lateral_m kitchen_distance_m lateral_range_m kitchen_share "transitionZone_share" backcourt_share coverage'.replace('"', ""),
+        stddev_pop(x_m) filter (where ok) as lateral_stddev_m, {_zone_cols()}, count(*) filter (where ok) / count(*) as coverage from ck_sm_ok group by 1, 2) b
+      left join ck_sm_steps s on b.match_id = s.match_id and b.role = s.role
+      join (select match_id, max(frame) + 1 as frame_count from ck_sm_ok group by 1) n on n.match_id = b.match_id
+      left join ck_sm_spacing p on p.match_id = b.match_id and p.team = (b.role in ('ME', 'PARTNER'))""",
+    'spacing_m spacing_coverage mean_lateral_mps max_lateral_mps lateral_stddev_m kitchen_seconds "transitionZone_seconds" backcourt_seconds distance_m lateral_m kitchen_distance_m lateral_range_m kitchen_share "transitionZone_share" backcourt_share coverage'.replace('"', ""),
 )
 def a13(t):
     return P.player_summary(t.raw_positions, 30.0)

@@ -177,6 +177,12 @@ def t3(t):
     return out.select("match_id", "shot_id", "shot_index", "shot_type", "total")
 
 
+@query("t3_deep_page", "select match_id, rally_id, shot_id, shot_index, (select count(*) from fx_shots) as total from fx_shots order by rally_id, shot_index, shot_id limit 100 offset 9900")
+def t3_deep(t):
+    out = ST.deep_page(t.shots, F.lit(True), ["rally_id", "shot_index", "shot_id"], 100, 9900, few=500)
+    return out.select("match_id", "rally_id", "shot_id", "shot_index", "total")
+
+
 # --- timeline ---------------------------------------------------------------
 
 

@@ -260,7 +260,8 @@ def player_summary(
     """All position metrics of a player in one row, on smoothed points.
 
     Smoothing and steps share one layout of chunks, so the timeline is shuffled once
-    for all windows, and the sums combine on the map side.
+    for all windows, and the sums combine on the map side. Partners meet by frame;
+    both get their team's spacing.
     """
     x, y = "sx_m", "sy_m"
     radius = settings.smoothing_window // 2
@@ -280,8 +281,10 @@ def player_summary(
     z = F.when(inside, G.zone(y, settings.transition_depth_m))
     n_ok, n_step = F.count(F.when(ok, 1)), F.count(F.when(slow, 1))
     n_fast = F.count(F.when(~slow, 1))
+    sideways = F.when(slow, F.abs("dx_m"))
     shares = []
     for name in C.ZONES:
+        shares.append((F.count(F.when(z == name, 1)) / fps).alias(f"{name}_seconds"))
         shares.append(F.count(F.when(z == name, 1)).alias(f"{name}_frames"))
         shares.append(G.ratio(F.count(F.when(z == name, 1)), F.count(F.when(inside, 1))).alias(f"{name}_share"))
     out = rows.groupBy(*KEYS).agg(
@@ -294,9 +297,14 @@ def player_summary(
         n_step.alias("steps"),
         F.greatest(n_ok - 1 - n_step - n_fast, F.lit(0)).alias("gap_steps"),
         n_fast.alias("speed_steps"),
-        F.sum(F.when(slow, F.abs("dx_m"))).alias("lateral_m"),
+        F.sum(sideways).alias("lateral_m"),
+        (F.sum(sideways) / F.sum(F.when(slow, F.col("dt_s")))).alias("mean_lateral_mps"),
+        F.max(sideways / F.col("dt_s")).alias("max_lateral_mps"),
+        F.stddev_pop(F.when(ok, F.col(x))).alias("lateral_stddev_m"),
         F.avg(F.when(inside, G.kitchen_setback(y))).alias("kitchen_distance_m"),
         (F.max(F.when(ok, F.col(x))) - F.min(F.when(ok, F.col(x)))).alias("lateral_range_m"),
         *shares,
     )
-    return out.withColumn("coverage", F.col("eligible_frames") / F.col("source_frames"))
+    out = out.withColumn("coverage", F.col("eligible_frames") / F.col("source_frames"))
+    spacing = partner_spacing(rows, x, y).withColumnsRenamed({"samples": "spacing_samples", "coverage": "spacing_coverage"})
+    return out.withColumn("team", team_of()).join(spacing, ["match_id", "team"], "left").drop("team")

@@ -108,6 +108,8 @@ def shot_violations(shots: DataFrame, rallies: DataFrame) -> DataFrame:
 
 
 RECORD_LIMIT_BYTES = 2 * 1024 * 1024
+# A whole JSON string; unrolled, so that long strings need no deep matching.
+JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 # Fields whose bytes belong in a file, in lower case without underscores.
 BINARY_FIELDS = (
     "audiowaveform", "audiowaveforms", "debugartifactbytes", "modelweights", "mp4bytes", "rawdetectionarrays", "rawframes", "rawvideoframes", "videobytes",
@@ -117,14 +119,16 @@ BINARY_FIELDS = (
 def record_violations(records: DataFrame, id_column: str, payload: str = "payload", numbers: Sequence[str] = (), limit: int = RECORD_LIMIT_BYTES) -> DataFrame:
     """Records with numbers that are not finite, unsafe or binary field names, or too many bytes.
 
-    Field names and numbers are read from the JSON text, at any depth: a key is unsafe
+    Field names, with their escapes decoded, and numbers are read at any depth: a key is unsafe
     when it is empty, starts with a dollar sign or holds a dot; a number is not finite
     when it is written NaN or Infinity or has a fraction or exponent and no finite double.
     """
-    keys = F.regexp_extract_all(F.col(payload), F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))
+    strings = F.regexp_extract_all(F.col(payload), F.lit(JSON_STRING + r"(?:\s*:)?"), F.lit(0))
+    names = F.transform(F.filter(strings, lambda s: s.endswith(":")), lambda s: F.rtrim(F.substring(s, F.lit(1), F.length(s) - 1), F.lit(" \t\r\n")))
+    keys = F.from_json(F.concat(F.lit("["), F.array_join(names, ","), F.lit("]")), "array<string>")
     unsafe = F.exists(keys, lambda k: (k == "") | k.startswith("$") | k.contains("."))
     binary = F.exists(keys, lambda k: F.lower(F.replace(k, F.lit("_"), F.lit(""))).isin(*BINARY_FIELDS))
-    bare = F.regexp_replace(F.col(payload), r'"(?:[^"\\]|\\.)*"', '""')  # without what strings hold
+    bare = F.regexp_replace(F.col(payload), JSON_STRING, '""')  # without what strings hold
     words = r"(?<![\w-])-?(?:NaN|Infinity)(?!\w)"
     floats = F.regexp_extract_all(bare, F.lit(r"-?[0-9]+(?:\.[0-9]+)?[eE][-+]?[0-9]+|-?[0-9]+\.[0-9]+"), F.lit(0))
     worded = F.coalesce(bare.rlike(words), F.lit(False))

@@ -58,8 +58,10 @@ def widest_pair(xs: pd.Series, ys: pd.Series) -> pd.Series:
     """Largest distance between any two points of each row's arrays (null for none)."""
     out = np.full(len(xs), np.nan)
     rows = [i for i, x in enumerate(xs) if x is not None and len(x)]
-    for low in range(0, len(rows), 512):
-        part = rows[low : low + 512]
+    most = max((len(xs.iat[i]) for i in rows), default=1)
+    together = max(1, 2_000_000 // most**2)  # rows whose pairs are held at once
+    for low in range(0, len(rows), together):
+        part = rows[low : low + together]
         longest = max(len(xs.iat[i]) for i in part)
         # Shorter rows repeat their last point, which adds no new distance.
         px = np.array([np.pad(xs.iat[i], (0, longest - len(xs.iat[i])), "edge") for i in part])
@@ -95,13 +97,11 @@ def kinematics(track: DataFrame, video: C.Video, s: C.RallySettings = C.RallySet
     rows = rows.withColumn("baseline", F.coalesce(F.percentile(F.coalesce("speed", F.lit(0.0)), F.lit(0.5)).over(back), F.lit(0.0)))
     rows = rows.withColumn("known_fraction", F.avg(is_known.cast("int")).over(ahead))
     rows = rows.withColumn("motion_fraction", F.avg(F.col("moving").cast("int")).over(ahead))
-    rows = rows.withColumn("_xs", F.collect_list("x_px").over(ahead)).withColumn("_ys", F.collect_list("y_px").over(ahead))
     early = F.greatest(F.lit(0), F.col("frame") - base)
     still = F.max(F.when(~F.col("moving"), F.col("frame"))).over(back)
     blank = F.max(F.when(~is_known, F.col("frame"))).over(back)
     rows = rows.withColumn("_walk", F.greatest(early, F.coalesce(still + 1, early)))
     rows = rows.withColumn("_walk2", F.greatest(early, F.coalesce(blank + 1, early)))
-    rows = home_rows(rows)
     surge = F.col("speed") / F.greatest("baseline", F.lit(s.min_motion_speed / 2))
     gate = (
         (F.col("speed") >= s.serve_min_speed)
@@ -109,14 +109,18 @@ def kinematics(track: DataFrame, video: C.Video, s: C.RallySettings = C.RallySet
         & (F.col("known_fraction") >= s.serve_min_known)
         & (F.col("motion_fraction") >= s.serve_min_motion)
     )
-    rows = rows.withColumn("surge", surge).withColumn("_gate", F.coalesce(gate, F.lit(False)))
-    # The widest pair is only sought where the cheap gates hold.
+    rows = rows.withColumn("surge", surge).withColumn("_gate", F.coalesce(gate, F.lit(False)) & F.col(HOME))
+    # Only points in the look-ahead of a gated frame are gathered; all other arrays stay empty.
+    near = F.max("_gate").over(w.rangeBetween(-confirm, 0))
+    rows = rows.withColumn("_pt", F.when(is_known & near, F.struct("x_px", "y_px")))
+    rows = rows.withColumn("_pts", F.collect_list("_pt").over(ahead))
+    rows = home_rows(rows).withColumn("_xs", F.col("_pts.x_px")).withColumn("_ys", F.col("_pts.y_px"))
     gated = lambda c: F.when(F.col("_gate"), F.col(c))
     spread = F.nanvl(widest_pair(gated("_xs"), gated("_ys")), F.lit(0.0)) / video.diagonal
     rows = rows.withColumn("displacement", F.when(F.col("_gate"), F.coalesce(spread, F.lit(0.0))))
     rows = rows.withColumn("onset", F.coalesce(F.col("displacement") >= s.serve_min_displacement, F.lit(False)))
     walked = F.when(F.col("_walk") < F.col("frame"), F.col("_walk")).otherwise(F.col("_walk2"))
-    return rows.withColumn("refined_start", F.when(F.col("onset"), walked)).drop("_xs", "_ys", "_walk", "_walk2", "_gate")
+    return rows.withColumn("refined_start", F.when(F.col("onset"), walked)).drop("_xs", "_ys", "_pt", "_pts", "_walk", "_walk2", "_gate")
 
 
 JUMPS = "match_id bigint, frame bigint, start_frame bigint, end_frame bigint, cursor bigint, long_enough boolean"

@@ -33,6 +33,35 @@ def upsert_parquet(batch: DataFrame, path: str, target: str, key: str, partition
     upserted(current, cut_lineage(batch), key).write.mode("errorifexists").partitionBy(*partition_by).parquet(target)
 
 
+def bucket_of(key: str, buckets: int) -> Column:
+    """Part of the key space that a record lives in."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(rows: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Store records by key space part (column ``part``), so that a later upsert rewrites only some parts."""
+    parts = rows.withColumn("part", bucket_of(key, buckets)).repartition("part")
+    parts.write.mode("errorifexists").partitionBy("part").parquet(path)
+
+
+def upsert_touched(batch: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Replace records by id in a table of ``write_bucketed``; files of other parts keep their names.
+
+    Only the parts that the batch falls into are read, and only they are swapped at
+    commit.  The new rows are checkpointed before the swap, so lost executors do not
+    send a task back to files that are gone.
+    """
+    if not batch_duplicates(batch, key).isEmpty():
+        raise ValueError(f"batch repeats {key}")
+    batch = cut_lineage(batch.withColumn("part", bucket_of(key, buckets)))
+    touched = [r["part"] for r in batch.select("part").distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return
+    current = batch.sparkSession.read.schema(batch.schema).parquet(path).filter(F.col("part").isin(touched))
+    merged = cut_lineage(upserted(current.select(*batch.columns), batch, key))
+    merged.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
 def latest(rows: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     """Newest row per key, by an aggregate that combines on the map side."""
     rest = [c for c in rows.columns if c not in keys]
@@ -51,3 +80,56 @@ def page(rows: DataFrame, where: Column, order: Sequence[Column], limit: int, of
     total = found.agg(F.count("*").alias("total")).withColumn("_k", F.lit(1))
     part = found.orderBy(*order).offset(offset).limit(limit)
     return part.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k")
+
+
+PIVOTS = 64
+
+
+def deep_page(rows: DataFrame, where: Column, order: Sequence[str], limit: int, offset: int, few: int = 10_000) -> DataFrame:
+    """One page at any depth, in ascending order with nulls first, with the total count.
+
+    The page's place is found by counting: rows are counted between up to 64 random
+    pivots, and only the interval that holds row number ``offset`` is looked at again, until
+    it has at most ``few`` rows or equal ones only.  What is left is a sort with a limit
+    behind the interval's lower end, so no task ever gets the rows before the page.
+    Rows equal in ``order`` stand by a hash of all their values, so pages never overlap.
+    An offset beyond the last row gives an empty page.
+    """
+    if not 1 <= limit <= MAX_PAGE or offset < 0:
+        raise ValueError("limit must lie between 1 and 100 and offset must not be negative")
+    found = rows.filter(where).withColumn("_key", F.struct(*order, F.xxhash64(*rows.columns).alias("_h")))
+    kind = found.schema["_key"].dataType
+    at = lambda key: F.struct(*[F.lit(key[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields])
+    total = size = found.count()
+    low = high = equal = None
+    while size > few and offset < size:
+        part = found
+        part = part if low is None else part.filter(F.col("_key") > at(low))
+        part = part if high is None else part.filter(F.col("_key") < at(high))
+        pivots = sorted_keys(part.select("_key").orderBy(F.rand()).limit(PIVOTS))
+        marks = F.array(*map(at, pivots))
+        # Odd places are rows equal to a pivot, even ones the rows between two pivots.
+        place = 2 * F.size(F.filter(marks, lambda p: p <= F.col("_key"))) - F.array_contains(marks, F.col("_key")).cast("int")
+        for i, size in sorted(map(tuple, part.groupBy(place.alias("i")).agg(F.count("*")).collect())):
+            if offset < size:
+                break
+            offset -= size
+        if i % 2:
+            equal = pivots[i // 2]
+            break
+        low = pivots[i // 2 - 1] if i else low
+        high = pivots[i // 2] if i // 2 < len(pivots) else high
+    if equal is None:
+        behind = found if low is None else found.filter(F.col("_key") > at(low))
+        part = behind.orderBy("_key").offset(offset).limit(limit)
+    else:  # rows that are the same in every value: any of them will do
+        same = min(limit, size - offset)
+        part = found.filter(F.col("_key") == at(equal)).limit(same)
+        if same < limit:
+            part = part.unionByName(found.filter(F.col("_key") > at(equal)).orderBy("_key").limit(limit - same))
+    return part.drop("_key").withColumn("total", F.lit(total).cast("bigint"))
+
+
+def sorted_keys(keys: DataFrame) -> list:
+    """Distinct keys of a small table in Spark's own order."""
+    return [r["_key"] for r in keys.distinct().orderBy("_key").collect()]
