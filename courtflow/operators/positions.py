@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from courtflow import config as C
@@ -212,13 +213,17 @@ def joint_frames(positions: DataFrame, x: str = "x_m", y: str = "y_m") -> DataFr
     return pairs.filter(F.col("ax").isNotNull() & F.col("bx").isNotNull())
 
 
+def _spacing(positions: DataFrame, x: str, y: str) -> DataFrame:
+    return joint_frames(positions, x, y).groupBy("match_id", "team").agg(
+        F.avg(G.distance("ax", "ay", "bx", "by")).alias("spacing_m"), F.count("*").alias("samples")
+    )
+
+
 def partner_spacing(positions: DataFrame, x: str = "x_m", y: str = "y_m") -> DataFrame:
     """Mean partner distance per team, with its coverage of the match's frames."""
     size = positions.groupBy("match_id").agg((F.max("frame") + 1).alias("frame_count"))
     size = size.withColumn("team", F.explode(F.array(*map(F.lit, C.TEAMS))))
-    spacing = joint_frames(positions, x, y).groupBy("match_id", "team").agg(
-        F.avg(G.distance("ax", "ay", "bx", "by")).alias("spacing_m"), F.count("*").alias("samples")
-    )
+    spacing = _spacing(positions, x, y)
     out = size.join(spacing, ["match_id", "team"], "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
     return out.withColumn("coverage", F.col("samples") / F.col("frame_count")).drop("frame_count")
 
@@ -274,37 +279,42 @@ def player_summary(
     linked = F.col("_ok") & F.lag("_ok").over(w) & (F.col("frame") == F.lag("frame").over(w) + 1)
     halo = halo.withColumn("dt_s", F.when(linked, dt))
     halo = halo.withColumn("dx_m", F.col(x) - F.lag(x).over(w)).withColumn("dy_m", F.col(y) - F.lag(y).over(w))
-    rows = home_rows(halo)
+    # A column of the same window: partners then meet on worked-out points, not on the formula of the median.
+    point = F.first(F.when(F.col("_ok"), F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).over(w.rowsBetween(0, 0))
+    rows = home_rows(halo.withColumn("_point", point))
     timed = (F.col("dt_s") > 0) & (F.col("dt_s") <= settings.max_step_gap_s)
     rows = rows.withColumn("step_m", F.when(timed, G.hypot(F.col("dx_m"), F.col("dy_m"))))
-    slow = F.col("step_m") / F.col("dt_s") <= settings.max_step_speed
-    z = F.when(inside, G.zone(y, settings.transition_depth_m))
-    n_ok, n_step = F.count(F.when(ok, 1)), F.count(F.when(slow, 1))
-    n_fast = F.count(F.when(~slow, 1))
-    sideways = F.when(slow, F.abs("dx_m"))
-    shares = []
-    for name in C.ZONES:
-        shares.append((F.count(F.when(z == name, 1)) / fps).alias(f"{name}_seconds"))
-        shares.append(F.count(F.when(z == name, 1)).alias(f"{name}_frames"))
-        shares.append(G.ratio(F.count(F.when(z == name, 1)), F.count(F.when(inside, 1))).alias(f"{name}_share"))
+    # Flags and values are columns of their own, so the aggregate stays small enough to be compiled.
+    rows = rows.withColumn("_slow", F.col("step_m") / F.col("dt_s") <= settings.max_step_speed).withColumn("_in", inside)
+    rows = rows.withColumn("_zone", F.when(F.col("_in"), G.zone(y, settings.transition_depth_m)))
+    rows = rows.withColumn("_setback", F.when(F.col("_in"), G.kitchen_setback(y))).withColumn("_x", F.when(F.col("_ok"), F.col(x)))
+    rows = rows.withColumn("_dt", F.when(F.col("_slow"), F.col("dt_s"))).withColumn("_side", F.when(F.col("_slow"), F.abs("dx_m")))
+    n_ok, n_in, n_step, n_fast = F.count_if("_ok"), F.count_if("_in"), F.count_if("_slow"), F.count_if(~F.col("_slow"))
     out = rows.groupBy(*KEYS).agg(
+        F.max("frame").alias("_last"),
         F.count("*").alias("source_frames"),
         F.count("x_m").alias("raw_frames"),
         F.count(x).alias("smoothed_frames"),
         n_ok.alias("eligible_frames"),
-        F.count(F.when(inside, 1)).alias("in_court_frames"),
-        F.sum(F.when(slow, F.col("step_m"))).alias("distance_m"),
+        n_in.alias("in_court_frames"),
+        F.sum(F.when(F.col("_slow"), F.col("step_m"))).alias("distance_m"),
         n_step.alias("steps"),
         F.greatest(n_ok - 1 - n_step - n_fast, F.lit(0)).alias("gap_steps"),
         n_fast.alias("speed_steps"),
-        F.sum(sideways).alias("lateral_m"),
-        (F.sum(sideways) / F.sum(F.when(slow, F.col("dt_s")))).alias("mean_lateral_mps"),
-        F.max(sideways / F.col("dt_s")).alias("max_lateral_mps"),
-        F.stddev_pop(F.when(ok, F.col(x))).alias("lateral_stddev_m"),
-        F.avg(F.when(inside, G.kitchen_setback(y))).alias("kitchen_distance_m"),
-        (F.max(F.when(ok, F.col(x))) - F.min(F.when(ok, F.col(x)))).alias("lateral_range_m"),
-        *shares,
+        F.sum("_side").alias("lateral_m"),
+        F.try_divide(F.sum("_side"), F.sum("_dt")).alias("mean_lateral_mps"),
+        F.max(F.col("_side") / F.col("_dt")).alias("max_lateral_mps"),
+        F.avg("_setback").alias("kitchen_distance_m"),
+        (F.max("_x") - F.min("_x")).alias("lateral_range_m"),
+        F.stddev_pop("_x").alias("lateral_stddev_m"),
+        *[F.count_if(F.col("_zone") == name).alias(f"{name}_frames") for name in C.ZONES],
     )
+    for name in C.ZONES:
+        frames = F.col(f"{name}_frames")
+        out = out.withColumn(f"{name}_seconds", frames / fps).withColumn(f"{name}_share", G.ratio(frames, F.col("in_court_frames")))
     out = out.withColumn("coverage", F.col("eligible_frames") / F.col("source_frames"))
-    spacing = partner_spacing(rows, x, y).withColumnsRenamed({"samples": "spacing_samples", "coverage": "spacing_coverage"})
-    return out.withColumn("team", team_of()).join(spacing, ["match_id", "team"], "left").drop("team")
+    # One row per player from here on.
+    spacing = _spacing(rows, "_point.x", "_point.y").withColumnRenamed("samples", "spacing_samples")
+    out = out.withColumn("team", team_of()).join(spacing, ["match_id", "team"], "left").fillna(0, "spacing_samples")
+    length = F.max("_last").over(W.partitionBy("match_id")) + 1
+    return out.withColumn("spacing_coverage", F.col("spacing_samples") / length).drop("team", "_last")
