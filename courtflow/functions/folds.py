@@ -104,7 +104,7 @@ def state_fold(
     ``step(*inputs)`` for a row and ``state()`` for what it carries on, or
     ``state_at(position)`` for what of it still matters from there on; where that is
     ``None``, the next chunk's guess was right. A later round reads and writes only the chunks that run again; a table with one row
-    per chunk tells which round of a chunk holds.
+    per chunk tells which round of a chunk holds. A state is written once per chunk, not beside each row, and may be large.
     """
     keys, inputs = list(keys), list(inputs)
     added = T._parse_datatype_string(outputs)
@@ -121,31 +121,37 @@ def state_fold(
         current, state, used = None, None, None
         held, results = None, []  # the last batch waits until it is known whether its chunk goes on
 
-        def end() -> bytes:
+        def end() -> tuple[bytes, bytes]:
             at = getattr(state, "state_at", None)
-            return pickle.dumps(at((current[-1] + 1) * size) if at else state.state())
+            return used, pickle.dumps(at((current[-1] + 1) * size) if at else state.state())
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            fresh = []
+            fresh, kept = [], []
             for key, row, (entry,) in zip(_rows(batch, group), _rows(batch, inputs), _rows(batch, ["_entry"]), strict=True):
                 if key != current:
-                    if current is not None:
-                        rows_before = fresh or results
-                        rows_before[-1] = (*rows_before[-1][:-1], end())
-                    current, used = key, entry
-                    state = machine(pickle.loads(used) if used else None)
-                fresh.append((*state.step(*row), used, None))
+                    rows_before = fresh or results
+                    if rows_before and rows_before[-1][-1] is None:
+                        rows_before[-1] = (*rows_before[-1][:-2], *end())
+                    current, used = key, entry or pickle.dumps(None)
+                    state = machine(pickle.loads(used))
+                kept.append(entry is None)
+                if entry is None:
+                    fresh.append((*state.step(*row), None, None))
+            if not fresh:
+                continue
             if held is not None:
                 yield _appended(held, results, fields)
-            held, results = batch.drop_columns(["_entry"]), fresh
+            held, results = batch.drop_columns(["_entry"]).filter(pa.array(kept)), fresh
         if held is not None:
-            results[-1] = (*results[-1][:-1], end())
+            results[-1] = (*results[-1][:-2], *end())
             yield _appended(held, results, fields)
 
-    def one_round(rows: DataFrame) -> DataFrame:
-        ordered = rows.repartition(*group).sortWithinPartitions(*group, position, *order)
+    def one_round(rows: DataFrame, entered: DataFrame | None = None) -> DataFrame:
+        """Run chunks, each from its row in ``entered``, which stands before the chunk's own rows."""
+        rows = rows.withColumn("_entry", F.lit(None).cast("binary"))
+        if entered is not None:
+            rows = rows.unionByName(entered.select(*group, "_entry"), allowMissingColumns=True)
+        ordered = rows.repartition(*group).sortWithinPartitions(*group, F.col("_entry").isNull(), position, *order)
         return cut_lineage(ordered.mapInArrow(run, schema))
 
     def ends_of(part: DataFrame, number: int) -> DataFrame:
@@ -201,7 +207,7 @@ def state_fold(
         known = sorted_fold(chunks, keys, [CHUNK], _Compose, ("_used", "_end", "ways"), "_entry binary")
         return known.filter(F.col("_entry").isNotNull() & ~F.col("_entry").eqNullSafe(F.col("_used"))).select(*group, "_entry")
 
-    parts = [one_round(source.withColumn("_entry", F.lit(pickle.dumps(None))))]
+    parts = [one_round(source)]
     ends = cut_lineage(ends_of(parts[0], 0))
     while True:
         wanted = ends.withColumn("_want", F.lag("_end").over(W.partitionBy(*keys).orderBy(CHUNK)))
@@ -215,7 +221,7 @@ def state_fold(
             stale = cut_lineage(composed())
         if max_rounds is not None and len(parts) >= max_rounds:
             raise RuntimeError("chunk states did not settle")
-        parts.append(one_round(parts[0].select(*columns).join(stale, group).select(*columns, "_entry")))
+        parts.append(one_round(parts[0].select(*columns).join(stale.select(*group), group, "left_semi").select(*columns), stale))
         redone = ends_of(parts[-1], len(parts) - 1)
         ends = cut_lineage(ends.join(stale.select(*group), group, "left_anti").unionByName(redone))
     result = None

@@ -83,6 +83,28 @@ def test_reviews_take_the_nearest_free_one(spark):
     assert got == want
 
 
+def test_dense_reviews_are_not_listed_as_pairs(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("every shot met every review of its gate")
+
+    monkeypatch.setattr(DS, "band_join", refuse, raising=False)
+    rng = random.Random(11)
+    # Many on equal times; reviews thin out, so that chunks begin with all taken as well as with many free.
+    shots = [("h", i, rng.randrange(150) / 30) for i in range(900)]
+    reviews = [("h", j, rng.randrange(1500) ** 2 / 4.5e5) for j in range(900)]
+    want, free = set(), {j: t for _, j, t in reviews}
+    for _, i, t in sorted(shots, key=lambda s: (s[2], s[1])):
+        j = min(free, key=lambda j: (abs(t - free[j]), j))
+        if abs(t - free[j]) <= 0.25:
+            want.add((i, j))
+            del free[j]
+    for size in (0.6, 4.0):
+        got = DS.overlay_reviews(
+            spark.createDataFrame([*shots, shots[3], ("h", 999, None)], "source_hash string, shot_id bigint, shot_s double"),
+            spark.createDataFrame([*reviews, reviews[5]], "source_hash string, review_id bigint, review_s double"), size=size).collect()
+        assert sorted((r.shot_id, r.review_id) for r in got) == sorted(want)
+
+
 def iou(a, b):
     w, h = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
     union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
