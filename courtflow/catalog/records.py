@@ -487,7 +487,8 @@ union all select i, unit, size, c0 + case when p = 0 then size else 0 end, c1 +
 
 @query("d5_leakage_safe_split", "select unit, size, case s when 0 then 'train' when 1 then 'validation' else 'test' end as split from ck_assign where unit is not null")
 def d5(t):
-    return DS.assign_splits(t.dataset_frames, F.concat_ws(":", "source_id", "clip_id"), (0.70, 0.15, 0.15), 7)
+    unit = F.concat(F.coalesce("source_id", F.lit("")), F.lit(":"), F.coalesce("clip_id", F.lit("")))
+    return DS.assign_splits(t.dataset_frames, unit, (0.70, 0.15, 0.15), 7, stepwise=True)
 
 
 @query("d6_split_leaks", "select source_id as unit, count(distinct case when n_chars % 10 < 7 then 'train' when n_chars % 10 < 8 then 'validation' else 'test' end) as splits from fx_dataset_frames group by 1 having splits > 1")
