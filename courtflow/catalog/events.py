@@ -547,7 +547,7 @@ SHARED["ck_boxm5"] = SHARED["ck_boxm"].replace("ck_boxopt", "ck_boxopt5")
 )
 def a29(t):
     full = E.match_boxes(t.boxes, t.truth_boxes).withColumn("strategy", F.lit("full"))
-    strict = E.match_boxes(t.boxes.filter("confidence >= 0.5"), t.truth_boxes).withColumn("strategy", F.lit("confident"))
+    strict = E.match_boxes(t.boxes, t.truth_boxes, min_confidence=0.5).withColumn("strategy", F.lit("confident"))
     return E.compare_strategies(full.unionByName(strict))
 
 

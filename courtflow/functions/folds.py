@@ -78,6 +78,43 @@ def sorted_fold(
     return ordered.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
 
 
+def group_fold(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence,
+    decide: Callable[[list[tuple]], Iterator[tuple]],
+    inputs: Sequence[str],
+    outputs: str,
+) -> DataFrame:
+    """Rows ``(*group, *outputs)`` that ``decide`` makes of a group's ``inputs``, in order.
+
+    A task holds the rows of one group; groups are small things like a frame.
+    """
+    group, inputs = list(group), list(inputs)
+    schema = T.StructType([*[df.schema[g] for g in group], *T._parse_datatype_string(outputs).fields])
+    fields = to_arrow_schema(schema)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(zip(*rows, strict=True), fields, strict=True)], fields.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, out = None, [], []
+        for batch in batches:
+            for key, row in zip(_rows(batch, group), _rows(batch, inputs), strict=True):
+                if key != current:
+                    out += [(*current, *x) for x in decide(held)] if held else []
+                    current, held = key, []
+                held.append(row)
+            if len(out) >= 10_000:
+                yield made(out)
+                out = []
+        out += [(*current, *x) for x in decide(held)] if held else []
+        if out:
+            yield made(out)
+
+    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)
+
+
 def state_fold(
     df: DataFrame,
     keys: Sequence[str],

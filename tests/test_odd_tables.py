@@ -5,7 +5,10 @@ import os
 
 import check_oracle
 import duckdb
+import pytest
 from conftest import SF
+from pyspark.sql import functions as F
+
 
 def changed(folder, **tables):
     """The smallest tables with some of them replaced."""
@@ -31,3 +34,14 @@ def test_split_with_ties_and_unknown_names(spark, tmp_path):
     rows = [(i, "x", "en" if i else None, "s", 1) for i in range(7)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     same(spark, changed(tmp_path, documents=docs), "d5_leakage_safe_split")
+
+
+@pytest.mark.parametrize("name", ["f2_frame_box_matching", "a27_detection_metrics", "a27_side_metrics", "a29_strategy_comparison"])
+def test_rows_that_share_a_box_id(spark, tmp_path, name):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    key = F.col("l_partkey") + F.col("l_orderkey")
+    again = lines.filter(key % 3 == 0).withColumns({
+        "l_quantity": F.col("l_quantity") + F.when(key % 2 == 0, 0.5).otherwise(4.0), "l_partkey": F.col("l_partkey") + key % 3,
+        "l_discount": (F.col("l_discount") + 0.03) % 0.11, "l_suppkey": F.col("l_suppkey") + 1})
+    odd = lines.unionByName(again).unionByName(lines.filter(key % 5 == 0))
+    same(spark, changed(tmp_path, lineitem=odd), name)
