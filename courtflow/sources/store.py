@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from courtflow.session import cut_lineage
@@ -88,46 +89,90 @@ PIVOTS = 64
 def deep_page(rows: DataFrame, where: Column, order: Sequence[str], limit: int, offset: int, few: int = 10_000) -> DataFrame:
     """One page at any depth, in ascending order with nulls first, with the total count.
 
-    The page's place is found by counting: rows are counted between up to 64 random
-    pivots, and only the interval that holds row number ``offset`` is looked at again, until
-    it has at most ``few`` rows or equal ones only.  What is left is a sort with a limit
-    behind the interval's lower end, so no task ever gets the rows before the page.
+    The rows are gone through twice: once for their ``order`` columns, which are kept in a
+    checkpoint, and once for the page.  In between its place is found by counting keys between
+    up to 64 random pivots, and only the interval that holds key number ``offset`` is looked at
+    again, until it has at most ``few`` keys or equal ones only.  The second time starts at the
+    interval's lower end and stops at a pivot behind the page, so no task ever gets the rows
+    before the page, and sources can leave out the others by the first column.
     Rows equal in ``order`` stand by a hash of all their values, so pages never overlap.
     An offset beyond the last row gives an empty page.
     """
     if not 1 <= limit <= MAX_PAGE or offset < 0:
         raise ValueError("limit must lie between 1 and 100 and offset must not be negative")
-    found = rows.filter(where).withColumn("_key", F.struct(*order, F.xxhash64(*rows.columns).alias("_h")))
-    kind = found.schema["_key"].dataType
-    at = lambda key: F.struct(*[F.lit(key[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields])
-    total = size = found.count()
-    low = high = equal = None
+    found = rows.filter(where)
+    keys = cut_lineage(found.select(*order))
+    total = keys.count()
+    low, equal, high, skip = _place(keys, order, limit, offset, total, few)
+    near = found.withColumn("_h", F.xxhash64(*rows.columns)).filter(_between(order, equal or low, high, equal is not None))
+    if equal is None:
+        part = near.orderBy(*order, "_h").offset(skip).limit(limit)
+    else:
+        ties = near.filter(_key(order) == _at(keys, order, equal))
+        hashes = cut_lineage(ties.select("_h"))
+        many = hashes.count()
+        same = max(0, min(limit, many - skip))
+        low, twin, top, skip = _place(hashes, ["_h"], same or 1, skip, many, few)
+        part = ties.filter(_between(["_h"], twin or low, top, twin is not None))
+        # Of rows that are the same in every value any will do.
+        part = part.orderBy("_h").offset(skip).limit(same) if twin is None else _from_twins(part, twin["_h"], skip, same, hashes)
+        if same < limit:
+            part = part.unionByName(near.filter(_key(order) > _at(keys, order, equal)).orderBy(*order, "_h").limit(limit - same))
+    return part.drop("_h").withColumn("total", F.lit(total).cast("bigint"))
+
+
+def _from_twins(rows: DataFrame, twin: int, skip: int, limit: int, hashes: DataFrame) -> DataFrame:
+    """Rows from the ``skip``-th of those with hash ``twin`` on."""
+    same = min(limit, hashes.filter(F.col("_h") == twin).count() - skip)
+    part = rows.filter(F.col("_h") == twin).limit(same)
+    return part if same == limit else part.unionByName(rows.filter(F.col("_h") > twin).orderBy("_h").limit(limit - same))
+
+
+def _key(order: Sequence[str]) -> Column:
+    return F.struct(*order)
+
+
+def _at(rows: DataFrame, order: Sequence[str], key: Row) -> Column:
+    return F.struct(*[F.lit(key[c]).cast(rows.schema[c].dataType).alias(c) for c in order])
+
+
+def _between(order: Sequence[str], low: Row | None, high: Row | None, closed: bool) -> Column:
+    """Rows above ``low`` (or at it, if closed) and up to ``high``; the first column is named
+    alone too, because sources understand that."""
+    first, inside = F.col(order[0]), F.lit(True)
+    lits = lambda key: F.struct(*[F.lit(key[c]).alias(c) for c in order])
+    if low is not None:
+        inside = inside & ((_key(order) >= lits(low)) if closed else (_key(order) > lits(low)))
+        if low[order[0]] is not None:
+            inside = inside & (first >= F.lit(low[order[0]]))
+    if high is not None:
+        inside = inside & (_key(order) <= lits(high))
+        inside = inside & (first.isNull() if high[order[0]] is None else first.isNull() | (first <= F.lit(high[order[0]])))
+    return inside
+
+
+def _place(keys: DataFrame, order: Sequence[str], limit: int, offset: int, size: int, few: int) -> tuple:
+    """Where a page starts: the key below it or, among equals, the key itself; a key at or behind
+    the page's last (null: none known); and how many keys to skip from there."""
+    low = high = top = None
     while size > few and offset < size:
-        part = found
-        part = part if low is None else part.filter(F.col("_key") > at(low))
-        part = part if high is None else part.filter(F.col("_key") < at(high))
-        pivots = sorted_keys(part.select("_key").orderBy(F.rand()).limit(PIVOTS))
-        marks = F.array(*map(at, pivots))
+        part = keys.filter(_key(order) > _at(keys, order, low)) if low is not None else keys
+        part = part.filter(_key(order) < _at(keys, order, high)) if high is not None else part
+        part = part.select(_key(order).alias("_key"))
+        pivots = sorted_keys(part.orderBy(F.rand()).limit(PIVOTS))
+        marks = F.array(*[_at(keys, order, p) for p in pivots])
         # Odd places are rows equal to a pivot, even ones the rows between two pivots.
         place = 2 * F.size(F.filter(marks, lambda p: p <= F.col("_key"))) - F.array_contains(marks, F.col("_key")).cast("int")
-        for i, size in sorted(map(tuple, part.groupBy(place.alias("i")).agg(F.count("*")).collect())):
-            if offset < size:
-                break
-            offset -= size
-        if i % 2:
-            equal = pivots[i // 2]
-            break
-        low = pivots[i // 2 - 1] if i else low
-        high = pivots[i // 2] if i // 2 < len(pivots) else high
-    if equal is None:
-        behind = found if low is None else found.filter(F.col("_key") > at(low))
-        part = behind.orderBy("_key").offset(offset).limit(limit)
-    else:  # rows that are the same in every value: any of them will do
-        same = min(limit, size - offset)
-        part = found.filter(F.col("_key") == at(equal)).limit(same)
-        if same < limit:
-            part = part.unionByName(found.filter(F.col("_key") > at(equal)).orderBy("_key").limit(limit - same))
-    return part.drop("_key").withColumn("total", F.lit(total).cast("bigint"))
+        counts = dict(map(tuple, part.groupBy(place.alias("i")).agg(F.count("*")).collect()))
+        upto = list(accumulate(counts.get(i, 0) for i in range(2 * len(pivots) + 1)))
+        here = next(i for i, n in enumerate(upto) if offset < n)
+        top = next((pivots[i // 2] for i, n in enumerate(upto) if n >= offset + limit and i % 2), top)
+        offset, size = offset - (upto[here - 1] if here else 0), counts[here]
+        if here % 2:
+            return None, pivots[here // 2], top, offset
+        low = pivots[here // 2 - 1] if here else low
+        high = pivots[here // 2] if here // 2 < len(pivots) else high
+    return low, None, top, offset
 
 
 def sorted_keys(keys: DataFrame) -> list:

@@ -52,3 +52,16 @@ def test_upsert_rewrites_only_the_parts_it_touches(spark, tmp_path):
     assert files() == after
     with pytest.raises(ValueError):
         store.upsert_touched(batch.union(batch), path, "id", 16)
+
+
+def test_a_page_goes_through_its_rows_twice(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        runs.add(1)
+        yield from batches
+
+    df = spark.range(5000, numPartitions=1).mapInArrow(seen, "id long")
+    got = store.deep_page(df, F.lit(True), ["id"], 100, 2500, few=20).collect()
+    assert sorted(r.id for r in got) == list(range(2500, 2600))
+    assert runs.value <= 4  # a checkpoint goes through them to count and again to write
