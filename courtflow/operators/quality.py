@@ -97,14 +97,20 @@ def shot_violations(shots: DataFrame, rallies: DataFrame) -> DataFrame:
     """Shots of no rally, and shot numbers that do not run 1, 2, 3 in their rally.
 
     Numbers run without a gap iff minimum, maximum and distinct count agree, so the
-    rally is summed up instead of sorted.
+    rally is summed up instead of sorted. Distinct numbers are bits, 62 to a word: a
+    rally is a row or few as soon as its shots meet, and rallies are looked up by these.
     """
-    orphans = shots.join(rallies.select("match_id", "rally_id").distinct(), ["match_id", "rally_id"], "left_anti")
-    lost = orphans.groupBy("match_id", "rally_id").agg(F.count("*").alias("shots")).withColumn("reason", F.lit("unknown_rally"))
-    per = shots.groupBy("match_id", "rally_id", "shot_index").agg(F.count("*").alias("_c"))
-    runs = per.groupBy("match_id", "rally_id").agg(F.min("shot_index").alias("_lo"), F.max("shot_index").alias("_hi"), F.count("*").alias("_d"), F.sum("_c").alias("shots"))
-    gaps = runs.filter((F.col("_lo") != 1) | (F.col("_hi") != F.col("_d")) | (F.col("shots") != F.col("_d")))
-    return lost.unionByName(gaps.select("match_id", "rally_id", "shots", F.lit("index_not_contiguous").alias("reason")))
+    keys, i = ["match_id", "rally_id"], F.col("shot_index")
+    bit = F.expr("shiftleft(1L, cast(pmod(shot_index, 62) as int))")
+    words = shots.groupBy(*keys, F.floor(i / 62).alias("_w")).agg(
+        F.min(i).alias("_lo"), F.max(i).alias("_hi"), F.bit_or(bit).alias("_bits"), F.count("*").alias("_c"))
+    runs = words.groupBy(*keys).agg(
+        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.sum(F.bit_count("_bits")).alias("_d"), F.sum("_c").alias("shots"))
+    whole = (F.col("_lo") == 1) & (F.col("_hi") == F.col("_d")) & (F.col("shots") == F.col("_d"))
+    known = rallies.select(*keys).distinct().withColumn("_known", F.lit(True))
+    reasons = F.array_compact(F.array(
+        F.when(F.col("_known").isNull(), "unknown_rally"), F.when(~F.coalesce(whole, F.lit(False)), "index_not_contiguous")))
+    return runs.join(known, keys, "left").select(*keys, "shots", F.explode(reasons).alias("reason"))
 
 
 RECORD_LIMIT_BYTES = 2 * 1024 * 1024

@@ -9,6 +9,8 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from courtflow.operators import quality as Q
+
 
 def changed(folder, **tables):
     """The smallest tables with some of them replaced."""
@@ -45,3 +47,14 @@ def test_rows_that_share_a_box_id(spark, tmp_path, name):
         "l_discount": (F.col("l_discount") + 0.03) % 0.11, "l_suppkey": F.col("l_suppkey") + 1})
     odd = lines.unionByName(again).unionByName(lines.filter(key % 5 == 0))
     same(spark, changed(tmp_path, lineitem=odd), name)
+
+
+def test_shot_numbers_of_long_and_unnumbered_rallies(spark):
+    numbers = {
+        1: range(1, 201), 2: [None], 3: [*range(1, 130), 7], 4: [1, 2, 2], 5: [1, 2, 3], 6: [1, 63, 2, 3], 7: [*range(1, 100), *range(101, 131), 5],
+        8: [0, 1, 2], 9: [-1, 1, 3], 10: [1, None, 3], 11: [1]}
+    shots = spark.createDataFrame([(1, r, n) for r, of in numbers.items() for n in of], "match_id long, rally_id long, shot_index long")
+    rallies = spark.createDataFrame([(1, r) for r in numbers if r != 11] * 2, "match_id long, rally_id long")
+    got = sorted(tuple(r)[1:] for r in Q.shot_violations(shots, rallies).collect())
+    bad = [r for r, of in numbers.items() if None in of or sorted(of) != list(range(1, len(of) + 1))]
+    assert got == sorted([(r, len(numbers[r]), "index_not_contiguous") for r in bad] + [(11, 1, "unknown_rally")])
