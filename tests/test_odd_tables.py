@@ -9,6 +9,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from courtflow.operators import quality as Q
 
 
@@ -58,3 +59,8 @@ def test_shot_numbers_of_long_and_unnumbered_rallies(spark):
     got = sorted(tuple(r)[1:] for r in Q.shot_violations(shots, rallies).collect())
     bad = [r for r, of in numbers.items() if None in of or sorted(of) != list(range(1, len(of) + 1))]
     assert got == sorted([(r, len(numbers[r]), "index_not_contiguous") for r in bad] + [(11, 1, "unknown_rally")])
+
+
+def test_shots_are_not_made_distinct_before_corrections_reach_them(spark):
+    plan = entry.queries()["j13_correction_targets"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Aggregate(") <= 2  # both halves of the one over what came out
