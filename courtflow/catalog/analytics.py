@@ -168,7 +168,6 @@ def a12_quality(t):
 )
 def a12(t):
     shots = t.shots.withColumn("match_id", F.col("match_id") % 25).withColumn("rally_id", F.col("rally_id") % 4)
-    shots = shots.join(t.rallies.select("match_id").distinct(), "match_id", "left_semi")
     doc = A.match_document(t.rallies, shots, t.raw_positions, 30.0)
     part = F.from_json(
         "metrics",

@@ -175,6 +175,110 @@ def data_quality(rallies: DataFrame, shots: DataFrame) -> DataFrame:
     return base.join(out, "match_id", "left").fillna(0, ["unknown_hitters", "unknown_types"])
 
 
+def _document_tallies(rallies: DataFrame, shots: DataFrame) -> DataFrame:
+    """What a document says of rallies and shots, one row per match with a rally.
+
+    Rallies and shots meet in one aggregation by rally, so both tables are read and
+    shuffled once for all parts; sums per match follow from a row per rally. Shots
+    outside the rallies count for players and classes, as in the parts on their own;
+    shots of matches without a rally drop out at the end.
+    """
+    z = shot_zone()
+    columns = [
+        "match_id", "rally_id", "hitter_id", "shot_type", "shot_index", z.alias("_zone"), F.col("confidence").alias("_shot_confidence"),
+        F.when(F.col("hitter_id").isin(*C.ROLES), F.col("hitter_confidence")).alias("_hitter_confidence"), F.lit(True).alias("_shot"),
+    ]
+    opened = with_duration(rallies).select("match_id", "rally_id", "start_frame", "duration_s", "confidence", F.lit(False).alias("_shot"))
+    rows = shots.select(*columns).unionByName(opened, allowMissingColumns=True)
+    kind, third = F.col("shot_type"), F.col("shot_index") == 3
+    flags = {
+        "third_shots": third,
+        "third_classified": third & (kind != C.UNKNOWN),
+        "drops": third & (kind == "DROP"),
+        "drives": third & (kind == "DRIVE"),
+        "excluded_position": F.col("_shot") & F.col("_zone").isNull(),
+        "excluded_type": F.col("_zone").isNotNull() & (kind == C.UNKNOWN),
+        "unknown_hitters": F.col("hitter_id") == C.UNKNOWN,
+        "unknown_types": kind == C.UNKNOWN,
+    }
+    for role in C.ROLES:
+        own = F.col("hitter_id") == role
+        flags |= {f"{role}|hits": own, f"{role}|classified": own & (kind != C.UNKNOWN)}
+        flags |= {f"{role}|{name}": own & (kind == name) for name in C.COUNTED_SHOT_TYPES}
+    flags |= {f"{zone}|{name}": (F.col("_zone") == zone) & (kind == name) for zone in C.ZONES for name in C.KNOWN_SHOT_TYPES}
+    means = ("duration_s", "confidence", "_shot_confidence", "_hitter_confidence")
+    top = F.struct("duration_s", (-F.col("start_frame")).alias("early"))
+    per_rally = rows.groupBy("match_id", "rally_id").agg(
+        F.count_if(~F.col("_shot")).alias("_rallies"),
+        F.count_if("_shot").alias("_shots"),
+        F.max(F.when(~F.col("_shot"), top)).alias("_top"),
+        *[f(c).alias(f"{c}|{n}") for c in means for f, n in ((F.sum, "sum"), (F.count, "n"))],
+        *[_count(flag).alias(name) for name, flag in flags.items()],
+    )
+    # Shots without a match or rally are in no rally.
+    keyed = F.col("match_id").isNotNull() & F.col("rally_id").isNotNull()
+    per_rally = per_rally.withColumn("_shots", F.when(keyed, F.col("_shots")).otherwise(0))
+    best = F.struct("_shots", "_top.duration_s", "_top.early", (-F.col("rally_id")).alias("rid"))
+    out = per_rally.groupBy("match_id").agg(
+        F.sum("_rallies").alias("rally_count"),
+        F.sum(F.col("_rallies") * F.col("_shots")).alias("shot_count"),
+        F.max(F.when(F.col("_rallies") > 0, best)).alias("b"),
+        *[F.try_divide(F.sum(f"{c}|sum"), F.sum(f"{c}|n")).alias(f"mean|{c}") for c in means],
+        *[F.sum(name).alias(name) for name in flags],
+    )
+    return out.filter("rally_count > 0")
+
+
+def _document_parts(tallies: DataFrame) -> DataFrame:
+    """Parts of the document that rest on rallies and shots, in the fields of the tables they are named after."""
+
+    def many(rows: list[Column]) -> Column:
+        return F.when(F.col("match_id").isNotNull(), F.array_sort(F.array(*rows)))
+
+    def cell(name: str) -> Column:
+        return F.col(f"`{name}`")
+
+    def rate(part: Column, whole: Column) -> Column:
+        return G.ratio(part, whole).alias("rate")
+
+    match = F.struct(
+        "rally_count", "shot_count", cell("mean|duration_s").alias("mean_duration_s"),
+        (F.col("shot_count") / F.col("rally_count")).alias("mean_length"), cell("mean|confidence").alias("mean_rally_confidence"),
+        (-F.col("b.rid")).alias("longest_rally_id"), F.col("b._shots").alias("longest_shots"),
+    )
+    players = [
+        F.struct(
+            F.lit(role).alias("player_id"), cell(f"{role}|hits").alias("hits"), cell(f"{role}|classified").alias("classified"),
+            F.lit(name).alias("shot_type"), cell(f"{role}|{name}").alias("n"), rate(cell(f"{role}|{name}"), cell(f"{role}|classified")),
+        )
+        for role in C.ROLES for name in C.COUNTED_SHOT_TYPES
+    ]
+    classified = cell("third_classified")
+    third = F.struct(
+        "third_shots", classified.alias("classified"), "drops", "drives",
+        G.ratio(F.col("drops"), classified).alias("drop_rate"), G.ratio(F.col("drives"), classified).alias("drive_rate"),
+    )
+    selection = []
+    for zone in C.ZONES:
+        whole = sum((cell(f"{zone}|{name}") for name in C.KNOWN_SHOT_TYPES), F.lit(0)).cast("bigint")
+        selection += [
+            F.struct(
+                "excluded_position", "excluded_type", F.lit(zone).alias("zone"), F.lit(name).alias("shot_type"),
+                cell(f"{zone}|{name}").alias("n"), whole.alias("zone_total"), rate(cell(f"{zone}|{name}"), whole),
+            )
+            for name in C.KNOWN_SHOT_TYPES
+        ]
+    quality = F.struct(
+        cell("mean|confidence").alias("mean_rally_confidence"), "unknown_hitters", "unknown_types",
+        cell("mean|_shot_confidence").alias("mean_shot_confidence"), cell("mean|_hitter_confidence").alias("mean_hitter_confidence"),
+    )
+    keyed = F.col("match_id").isNotNull()
+    return tallies.select(
+        "match_id", match.alias("match"), many(players).alias("players"), F.when(keyed, third).alias("thirdShots"),
+        many(selection).alias("shotSelection"), F.when(keyed, quality).alias("dataQuality"),
+    )
+
+
 def match_document(
     rallies: DataFrame,
     shots: DataFrame,
@@ -187,23 +291,16 @@ def match_document(
         fields = [c for c in df.columns if c != "match_id"]
         return df.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
 
-    def single(df: DataFrame, name: str) -> DataFrame:
-        return df.select("match_id", F.struct(*[c for c in df.columns if c != "match_id"]).alias(name))
-
     arrivals = kitchen_arrivals(rallies, positions, fps)
     parts = [
-        nest(player_hits(shots, rallies), "players"),
         nest(P.movement(P.steps(positions)), "movement"),
         nest(P.occupancy(positions, fps), "occupancy"),
         nest(P.partner_spacing(positions), "spacing"),
         nest(P.coverage(positions), "coverage"),
         nest(kitchen_arrival_rate(arrivals), "kitchenArrival"),
-        single(third_shots(shots, rallies), "thirdShots"),
-        nest(shot_selection(shots, rallies), "shotSelection"),
-        single(data_quality(rallies, shots), "dataQuality"),
     ]
-    out = single(match_metrics(rallies, shots), "match")
+    out = _document_parts(_document_tallies(rallies, shots))
     for part in parts:
         out = out.join(part, "match_id", "left")
-    names = [c for c in out.columns if c != "match_id"]
+    names = ["match", "players", "movement", "occupancy", "spacing", "coverage", "kitchenArrival", "thirdShots", "shotSelection", "dataQuality"]
     return out.select("match_id", F.to_json(F.struct(*names)).alias("metrics"))

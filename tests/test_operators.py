@@ -1,5 +1,6 @@
 """Small examples with known answers, and random cases against plain loops."""
 
+import json
 import math
 import random
 
@@ -170,6 +171,38 @@ def test_match_example(spark):
     assert cells["kitchen", "DROP"] == (1, 4) and cells["backcourt", "DROP"] == (0, 0)
 
 
+def test_document_reads_its_shots_once(spark):
+    rng = random.Random(8)
+    rallies = spark.createDataFrame(
+        [(m, r, 50 * r, 50 * r + 30, 2.0 * r, 2.0 * r + rng.random(), rng.random()) for m in (1, 2, 3) for r in range(4)] + [(None, 1, 0, 9, 0.0, 0.3, 0.5)],
+        "match_id bigint, rally_id bigint, start_frame bigint, end_frame bigint, start_s double, end_s double, confidence double")
+    rows = [
+        (rng.choice([1, 2, 4, None]), rng.choice([0, 1, 2, 7, None]), i, rng.randint(1, 4), rng.choice([*C.ROLES, "UNKNOWN"]), rng.choice(C.SHOT_TYPES),
+         rng.random(), rng.random(), 3.0, rng.uniform(0, 13), rng.choice(["inside", "near", "ambiguous"])) for i in range(200)]
+    read = spark.sparkContext.accumulator(0)
+    shots = spark.createDataFrame(
+        spark.sparkContext.parallelize(rows, 4).map(lambda row: (read.add(1), row)[1]),
+        "match_id bigint, rally_id bigint, shot_id bigint, shot_index bigint, hitter_id string, shot_type string, confidence double, hitter_confidence double, hitter_x_m double, hitter_y_m double, hitter_region string")
+    positions = spark.createDataFrame(
+        [(1, role, f, f / 30, 3.0, 4.0, 0.9, "inside", "observed") for role in C.ROLES for f in range(9)],
+        "match_id bigint, role string, frame bigint, t_s double, x_m double, y_m double, confidence double, region string, state string")
+    docs = {d.match_id: json.loads(d.metrics) for d in A.match_document(rallies, shots, positions, 30.0).collect()}
+    assert read.value == len(rows)
+    assert set(docs) == {1, 2, 3, None} and docs[None] == {"match": docs[None]["match"]} and docs[None]["match"]["shot_count"] == 0
+
+    def kept(row):
+        return {k: round(v, 9) if isinstance(v, float) else v for k, v in row.items() if v is not None and k != "match_id"}
+
+    parts = {"match": A.match_metrics(rallies, shots), "players": A.player_hits(shots, rallies), "thirdShots": A.third_shots(shots, rallies),
+             "shotSelection": A.shot_selection(shots, rallies), "dataQuality": A.data_quality(rallies, shots)}
+    for name, part in parts.items():
+        for m in (1, 2, 3):
+            want = [kept(r.asDict()) for r in part.filter(F.col("match_id") == m).collect()]
+            got = docs[m][name] if isinstance(docs[m][name], list) else [docs[m][name]]
+            got = [kept(g) for g in got]
+            assert len(got) == len(want) and all(w in got for w in want), (m, name)
+
+
 def test_zone_lines_belong_to_the_kitchen(spark):
     ys = [C.NEAR_KITCHEN_Y_M, C.FAR_KITCHEN_Y_M, C.NEAR_KITCHEN_Y_M - 1e-6, C.NEAR_KITCHEN_Y_M - C.NVZ_DEPTH_M - 0.01, C.FAR_KITCHEN_Y_M + 1.0]
     got = [r.z for r in spark.createDataFrame([(i, y) for i, y in enumerate(ys)], "i int, y double").select("i", G.zone("y").alias("z")).orderBy("i").collect()]
