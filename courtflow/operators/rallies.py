@@ -66,11 +66,18 @@ def widest_pair(xs: pd.Series, ys: pd.Series) -> pd.Series:
         # Shorter rows repeat their last point, which adds no new distance.
         px = np.array([np.pad(xs.iat[i], (0, longest - len(xs.iat[i])), "edge") for i in part])
         py = np.array([np.pad(ys.iat[i], (0, longest - len(ys.iat[i])), "edge") for i in part])
-        squares = (px[:, :, None] - px[:, None, :]) ** 2 + (py[:, :, None] - py[:, None, :]) ** 2
+        squares, other = px[:, :, None] - px[:, None, :], py[:, :, None] - py[:, None, :]
+        squares *= squares
+        other *= other
+        squares += other
         out[part] = np.sqrt(squares.max(axis=(1, 2)))
     return pd.Series(out)
 
 
+# Said not to be deterministic, so that a filter on its result does not evaluate it a second time in other workers.
+widest_pair = widest_pair.asNondeterministic()
+
+
 def kinematics(track: DataFrame, video: C.Video, s: C.RallySettings = C.RallySettings(), chunk: int = CHUNK_FRAMES) -> DataFrame:
     """W5 to W8 in windows over one partitioning of the timeline.
 

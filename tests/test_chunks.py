@@ -53,6 +53,21 @@ def test_rally_windows(tables):
     same(a, b, "frame", "speed", "baseline", "onset", "refined_start", "displacement")
 
 
+def test_onsets_gather_their_points_once(tables):
+    onsets = R.kinematics(tables.ball, V).filter("onset").select("match_id", "frame", "refined_start")
+    plan = onsets._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_widest_pair_is_the_largest_distance():
+    rng = np.random.default_rng(3)
+    xs = pd.Series([rng.normal(size=n) for n in (1, 2, 37, 5)] + [None, np.array([])])
+    ys = pd.Series([rng.normal(size=n) for n in (1, 2, 37, 5)] + [None, np.array([])])
+    want = [max(np.hypot(a - c, b - d) for a, b in zip(x, y) for c, d in zip(x, y)) for x, y in zip(xs[:4], ys[:4])]
+    got = R.widest_pair.func(xs, ys)
+    assert np.allclose(got[:4], want) and got[4:].isna().all()
+
+
 @pytest.mark.parametrize("chunk", [50, 300])
 def test_association_over_chunks(tables, chunk):
     supported = B.temporal_support(tables.candidates, V)
